@@ -1,0 +1,460 @@
+"""The registered queries: each reads whole tables of the given folder through the library."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.functions.clean import clean_text, strip_markup
+from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot
+from docspark.functions.sequences import FIRST_ID, UNK, pad_sequence
+from docspark.functions.tokens import filter_tokens, sentences, words
+from docspark.models.features import dense_topics, fourier_map
+from docspark.models.language import fit_language_model, language_profile
+from docspark.operators import evaluate, labels, training_log, vocabulary
+from docspark.operators.lookup import lookup_terms
+from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
+from docspark.session import fresh_path
+from docspark.sources.documents import read_documents_csv, write_documents_csv
+from docspark.sources.files import extract_units, label_names
+
+# What the pages have in place of translation units, and of labels in file names.
+PAGE_UNIT = r'(?s)<(?:p|div class="ad")>(.*?)</(?:p|div)>'
+PAGE_LABELS = {
+    "category": r"^https?://[^/]+/([a-z]{2})/",
+    "subcategory": r"[?&]ref=(\w+)",
+    "target_id": r"/(\d+)(?:[/?#]|$)",
+}
+LANGUAGE_NAMES = {"en": "english", "de": "german"}
+LEMMAS = {"thes": "the", "thats": "that", "onen": "on", "eing": "be", "ering": "er"}
+MAX_LEN = 50
+SENTENCE_LEN = 16
+CLASSES, WIDTH, INPUTS, FOURIER = 10, 16, 64, 32
+BATCH = 50
+REPORT_EVERY, PATIENCE = 6, 3
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# ---- extraction -------------------------------------------------------------------------------
+
+
+def path_labels(spark, folder):
+    return label_names(table(spark, folder, "pages"), "url", **PAGE_LABELS).select(
+        "page_id", "category", "subcategory", "target_id"
+    )
+
+
+def category_alias(spark, folder):
+    named = label_names(table(spark, folder, "pages"), "url", **PAGE_LABELS)
+    return named.select("page_id", labels.repair_category(F.col("category"), LANGUAGE_NAMES).alias("category"))
+
+
+def page_segments(spark, folder):
+    return extract_units(table(spark, folder, "pages"), "html", PAGE_UNIT, "page_id")
+
+
+def segment_extract(spark, folder):
+    return page_segments(spark, folder)
+
+
+def segment_filter(spark, folder):
+    return page_segments(spark, folder).filter(F.col("segment").rlike(r"<b[\s/>]"))
+
+
+def strip_html(spark, folder):
+    return table(spark, folder, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
+
+
+def clean_documents(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return docs.filter(F.length("text") > 0)
+
+
+def english_page_segments(spark, folder):
+    docs = table(spark, folder, "documents").select("lang", clean_text(F.col("text"), "safe").alias("text"))
+    model = fit_language_model(docs, "text", "lang")
+    return segments_in_language(clean_segments(page_segments(spark, folder)), model, "en")
+
+
+def english_segments(spark, folder):
+    return english_page_segments(spark, folder).select("page_id", "pos", "segment")
+
+
+def rejoined_pages(spark, folder):
+    return rejoin_segments(english_page_segments(spark, folder), "page_id")
+
+
+def rejoin_turns(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return rejoin_segments(turns, "conv_id", position="turn", segment="text")
+
+
+def csv_round_trip(spark, folder):
+    docs = clean_documents(spark, folder).join(table(spark, folder, "documents").drop("text"), "doc_id")
+    path = fresh_path(spark, "documents-csv")
+    write_documents_csv(
+        docs.select(
+            F.col("text").alias("sources"),
+            F.col("lang").alias("categories"),
+            F.col("source").alias("subcategories"),
+            F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("targetids"),
+        ),
+        path,
+    )
+    return read_documents_csv(spark, path)
+
+
+# ---- language ---------------------------------------------------------------------------------
+
+
+def lang_profile(spark, folder):
+    profile = language_profile(table(spark, folder, "documents"), "text", "lang")
+    return profile.withColumn("log_prob", F.round("log_prob", 6))
+
+
+def predicted_languages(spark, folder):
+    docs = table(spark, folder, "documents")
+    return fit_language_model(docs, "text", "lang").transform(docs, "text")
+
+
+def lang_predict(spark, folder):
+    return predicted_languages(spark, folder).select("doc_id", "lang", "prediction")
+
+
+def lang_report(spark, folder):
+    pairs = evaluate.pair_counts(predicted_languages(spark, folder), "lang")
+    return rounded_report(evaluate.classification_report(pairs))
+
+
+def sentence_rows(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def sentence_split(spark, folder):
+    return sentence_rows(spark, folder)
+
+
+def sentence_vote(spark, folder):
+    model = fit_language_model(table(spark, folder, "documents"), "text", "lang")
+    scored = model.transform(sentence_rows(spark, folder), "sentence", "label")
+    return evaluate.majority_vote(scored, "doc_id", "label", "pos").select("doc_id", "prediction", "votes")
+
+
+# ---- tokens, vocabulary, sequences --------------------------------------------------------------
+
+
+def document_tokens(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", filter_tokens(F.col("text")).alias("tokens"))
+
+
+def token_filter(spark, folder):
+    return document_tokens(spark, folder).select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")
+    )
+
+
+def lemma_lookup(spark, folder):
+    lemmas = spark.createDataFrame(list(LEMMAS.items()), "term string, value string")
+    found = lookup_terms(document_tokens(spark, folder), ["doc_id"], "tokens", lemmas, "lemmas")
+    return found.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+def vocab_df(spark, folder):
+    return vocabulary.document_frequency(document_tokens(spark, folder))
+
+
+def vocab_prune(spark, folder):
+    docs = document_tokens(spark, folder)
+    kept = vocabulary.prune_terms(vocabulary.document_frequency(docs), docs.count())
+    return vocabulary.number_terms(kept).select(F.col("term_id").cast("bigint").alias("term_id"), "term", "df")
+
+
+def vocab_topk(spark, folder):
+    return vocabulary.top_terms(vocabulary.document_frequency(document_tokens(spark, folder)), 100)
+
+
+def bag_of_words(spark, folder):
+    docs = document_tokens(spark, folder)
+    bags = vocabulary.bag_of_words(docs, vocabulary.bag_model(docs), "doc_id")
+    return bags.withColumn("term_id", F.col("term_id").cast("bigint"))
+
+
+def word_ids(spark, folder, rows, text, keys, max_len):
+    """Ids of the first words of each row, by the words of all documents."""
+    docs = table(spark, folder, "documents").select(words(F.col("text")).alias("tokens"))
+    terms = vocabulary.top_terms(vocabulary.document_frequency(docs))
+    known = vocabulary.number_terms(terms, FIRST_ID).select("term", F.col("term_id").alias("value"))
+    first = rows.withColumn("_words", F.slice(words(F.col(text)), 1, max_len - 2))
+    return lookup_terms(first, keys, "_words", known, "ids", missing=UNK).drop("_words")
+
+
+def sequence_ids(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return word_ids(spark, folder, docs, "text", ["doc_id"], MAX_LEN).select(
+        "doc_id", F.array_join("ids", " ").alias("ids")
+    )
+
+
+def flat_sequence(rows, *keys):
+    return rows.select(*keys, *[F.array_join(f"seq.{part}", " ").alias(part) for part in ("ids", "mask", "token_type_ids")])
+
+
+def sequence_pad(spark, folder):
+    items = table(spark, folder, "benchmark")
+    ids = word_ids(spark, folder, items, "text", ["item_id"], MAX_LEN)
+    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), MAX_LEN)), "item_id")
+
+
+def document_sequences(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = word_ids(spark, folder, docs, "text", ["doc_id"], MAX_LEN)
+    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), MAX_LEN)), "doc_id")
+
+
+def sentence_sequences(spark, folder):
+    ids = word_ids(spark, folder, sentence_rows(spark, folder), "sentence", ["doc_id", "pos"], SENTENCE_LEN)
+    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), SENTENCE_LEN)), "doc_id", "pos")
+
+
+def doc_prefix(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "lang").orderBy("doc_id").limit(10)
+
+
+def combined_features(spark, folder):
+    docs = table(spark, folder, "documents")
+    left = docs.select("doc_id", F.array(F.length("text"), F.size(sentences(F.col("text")))).alias("a"))
+    right = table(spark, folder, "labels").select("doc_id", F.array("quality", "toxic").alias("b"))
+    both = left.join(right, "doc_id").withColumn("features", F.concat("a", "b"))
+    return both.select("doc_id", F.array_join("features", " ").alias("features"))
+
+
+# ---- labels -----------------------------------------------------------------------------------
+
+
+def label_index(spark, folder):
+    index = labels.label_index(table(spark, folder, "documents"), "source")
+    return index.select(F.col("label_id").cast("bigint").alias("label_id"), "label")
+
+
+def class_counts(spark, folder):
+    return labels.class_counts(table(spark, folder, "documents"), "lang")
+
+
+def one_hot_rows(spark, folder):
+    docs = table(spark, folder, "documents")
+    known = labels.label_array(labels.fit_labels(docs, "lang"))
+    row = F.transform(one_hot(F.col("lang"), known), lambda v: v.cast("int"))
+    return docs.select("doc_id", F.array_join(row, " ").alias("target"))
+
+
+# ---- scores and evaluation ----------------------------------------------------------------------
+
+
+def scored_vectors(spark, folder):
+    """``vec_id, label, scores``: all vectors through a head with closed-form weights."""
+    j, i, k = np.arange(WIDTH), np.arange(INPUTS), np.arange(CLASSES)
+    hidden = np.cos(0.1 * i[None, :] * j[:, None])
+    output = np.sin(0.3 * j[None, :] + k[:, None])
+    head = head_forward(hidden, output)
+    return table(spark, folder, "embeddings").select("vec_id", "label", head("embedding").alias("scores"))
+
+
+def head_scores(spark, folder):
+    long = scored_vectors(spark, folder).select("vec_id", F.posexplode("scores").alias("class", "score"))
+    return long.select("vec_id", F.col("class").cast("bigint").alias("class"), F.round("score", 6).alias("score"))
+
+
+def rbf_features(spark, folder):
+    i, j = np.arange(INPUTS), np.arange(FOURIER)
+    mapped = fourier_map(np.sin(1.7 * (i[None, :] + 1) * (j[:, None] + 1)), j.astype("float64"))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.posexplode(mapped("embedding")).alias("j", "value"))
+    return rows.select("vec_id", F.col("j").cast("bigint").alias("j"), F.round("value", 6).alias("value"))
+
+
+def decoded(spark, folder):
+    """``vec_id, label, prediction`` as category names of the fitted classes."""
+    names = labels.label_array([f"class{i}" for i in range(CLASSES)])
+    scored = scored_vectors(spark, folder)
+    return scored.select(
+        "vec_id",
+        decode_label(F.col("label"), names).alias("label"),
+        decode_label(argmax(F.col("scores")), names).alias("prediction"),
+    )
+
+
+def class_pairs(spark, folder):
+    return evaluate.pair_counts(decoded(spark, folder))
+
+
+def entry_pairs(spark, folder):
+    """Truth against the largest of all entries of a vector: most predictions lie outside the truth."""
+    vectors = table(spark, folder, "embeddings").select("label", argmax(F.col("embedding")).alias("prediction"))
+    return evaluate.pair_counts(vectors)
+
+
+def argmax_label(spark, folder):
+    return decoded(spark, folder)
+
+
+def losses(spark, folder):
+    return scored_vectors(spark, folder).select("vec_id", cross_entropy(F.col("scores"), F.col("label")).alias("loss"))
+
+
+def cross_entropy_rows(spark, folder):
+    return losses(spark, folder).withColumn("loss", F.round("loss", 6))
+
+
+def validation_loss(spark, folder):
+    return evaluate.mean_loss(losses(spark, folder)).withColumn("loss", F.round("loss", 6))
+
+
+def epoch_loss(spark, folder):
+    batches = training_log.file_batches(losses(spark, folder), "vec_id", BATCH)
+    return evaluate.epoch_loss(batches).withColumn("loss", F.round("loss", 6))
+
+
+def accuracy(spark, folder):
+    return evaluate.accuracy(class_pairs(spark, folder)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def confusion_long(spark, folder):
+    return evaluate.confusion_matrix(class_pairs(spark, folder), "truth")
+
+
+def confusion_wide(spark, folder):
+    return evaluate.confusion_wide(class_pairs(spark, folder), [f"class{i}" for i in range(CLASSES)], "pred_")
+
+
+def rounded_report(report):
+    return report.withColumns({m: F.round(m, 6) for m in ("precision", "recall", "f1")})
+
+
+def classification_report(spark, folder):
+    return rounded_report(evaluate.classification_report(class_pairs(spark, folder)))
+
+
+def report_union(spark, folder):
+    return rounded_report(evaluate.classification_report(entry_pairs(spark, folder), "union"))
+
+
+def report_labels(spark, folder):
+    return evaluate.report_labels(entry_pairs(spark, folder))
+
+
+def unseen_predictions(spark, folder):
+    return evaluate.unseen_predictions(entry_pairs(spark, folder))
+
+
+def majority_vote(spark, folder):
+    return evaluate.majority_vote(table(spark, folder, "events"), "user_id", "event_type", "event_id")
+
+
+# ---- training log -------------------------------------------------------------------------------
+
+
+def minibatch(spark, folder):
+    return training_log.shuffled_batches(table(spark, folder, "documents").select("doc_id"), "doc_id", BATCH)
+
+
+def file_batch(spark, folder):
+    return training_log.file_batches(table(spark, folder, "documents").select("doc_id"), "doc_id", BATCH)
+
+
+def event_curve(spark, folder):
+    """Events as a training log: a run per user, an epoch per half of the month, a step per event."""
+    log = table(spark, folder, "events").select(
+        F.col("user_id").alias("run"),
+        F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).cast("bigint").alias("epoch"),
+        "event_id",
+        F.col("value").alias("loss"),
+        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("n_correct"),
+        F.lit(1).alias("n"),
+    )
+    steps = training_log.number_steps(log, ["run", "epoch"], "event_id", "loss", "n_correct", "n")
+    return training_log.training_curve(steps, ["run", "epoch"], "event_id", REPORT_EVERY)
+
+
+def training_curve(spark, folder):
+    return event_curve(spark, folder).drop("event_id")
+
+
+def early_stop(spark, folder):
+    stops = training_log.early_stop(event_curve(spark, folder), "run", "event_id", PATIENCE)
+    return stops.select("run", "epoch", "step", "loss", "accuracy", "peak")
+
+
+# ---- features ---------------------------------------------------------------------------------
+
+
+def topic_dense(spark, folder):
+    """Users' shares of event types as sparse topic scores, made dense."""
+    events = table(spark, folder, "events")
+    kinds = labels.fit_labels(events, "event_type")
+    counts = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    topic = labels.encode_label(F.col("event_type"), kinds)
+    pairs = counts.groupBy("user_id").agg(
+        F.collect_list(F.struct(topic.alias("topic"), F.col("n").alias("n"))).alias("pairs"), F.sum("n").alias("total")
+    )
+    scored = pairs.select(
+        "user_id", F.transform("pairs", lambda p: F.struct(p["topic"], p["n"] / F.col("total"))).alias("pairs")
+    )
+    dense = scored.select("user_id", F.posexplode(dense_topics(F.col("pairs"), len(kinds), 0.2)).alias("topic", "score"))
+    return dense.select("user_id", F.col("topic").cast("bigint").alias("topic"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {
+    "path_labels": path_labels,
+    "category_alias": category_alias,
+    "segment_extract": segment_extract,
+    "segment_filter": segment_filter,
+    "strip_html": strip_html,
+    "clean_documents": clean_documents,
+    "english_segments": english_segments,
+    "rejoin_segments": rejoined_pages,
+    "rejoin_turns": rejoin_turns,
+    "csv_round_trip": csv_round_trip,
+    "lang_profile": lang_profile,
+    "lang_predict": lang_predict,
+    "lang_report": lang_report,
+    "sentence_split": sentence_split,
+    "sentence_vote": sentence_vote,
+    "token_filter": token_filter,
+    "lemma_lookup": lemma_lookup,
+    "vocab_df": vocab_df,
+    "vocab_prune": vocab_prune,
+    "vocab_topk": vocab_topk,
+    "bag_of_words": bag_of_words,
+    "sequence_ids": sequence_ids,
+    "sequence_pad": sequence_pad,
+    "document_sequences": document_sequences,
+    "sentence_sequences": sentence_sequences,
+    "doc_prefix": doc_prefix,
+    "combined_features": combined_features,
+    "label_index": label_index,
+    "class_counts": class_counts,
+    "one_hot": one_hot_rows,
+    "head_forward": head_scores,
+    "rbf_features": rbf_features,
+    "argmax_label": argmax_label,
+    "cross_entropy": cross_entropy_rows,
+    "validation_loss": validation_loss,
+    "epoch_loss": epoch_loss,
+    "accuracy": accuracy,
+    "confusion_long": confusion_long,
+    "confusion_wide": confusion_wide,
+    "classification_report": classification_report,
+    "report_union": report_union,
+    "report_labels": report_labels,
+    "unseen_predictions": unseen_predictions,
+    "majority_vote": majority_vote,
+    "minibatch": minibatch,
+    "file_batch": file_batch,
+    "training_curve": training_curve,
+    "early_stop": early_stop,
+    "topic_dense": topic_dense,
+}
