@@ -44,6 +44,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), lambda word: word != "")
 
 
+def first_words(text: Column, count: int) -> Column:
+    """The first ``count`` of the ``words``, without splitting the rest of the text.
+
+    Only the first piece of a split can be empty, so one spare piece is enough.
+    """
+    pieces = F.slice(F.split(F.lower(text), NON_WORD, count + 2), 1, count + 1)
+    return F.slice(F.filter(pieces, lambda word: word != ""), 1, count)
+
+
 def _kept(pieces: Column, stop_words: Sequence[str]) -> Column:
     stops = sorted({word.lower() for word in stop_words})
     wanted = F.filter(

@@ -119,6 +119,12 @@ def fourier_map(weights: np.ndarray, offsets: np.ndarray, batch_size: int = 4096
     )
 
 
+def fourier_weights(size: int, width: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded weights (size, width) and offsets for the kernel ``exp(-gamma * |x - y|^2)``."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(scale=np.sqrt(2.0 * gamma), size=(size, width)), rng.uniform(0.0, 2.0 * np.pi, size=size)
+
+
 class RandomFourierFeatures(
     Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -138,9 +144,27 @@ class RandomFourierFeatures(
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, width = self.getOrDefault(self.numFeatures), self.getOrDefault(self.inputSize)
-        rng = np.random.default_rng(self.getSeed())
-        weights = rng.normal(scale=np.sqrt(2.0 * self.getOrDefault(self.gamma)), size=(size, width))
-        offsets = rng.uniform(0.0, 2.0 * np.pi, size=size)
+        weights, offsets = fourier_weights(
+            self.getOrDefault(self.numFeatures),
+            self.getOrDefault(self.inputSize),
+            self.getOrDefault(self.gamma),
+            self.getSeed(),
+        )
         mapped = fourier_map(weights, offsets)(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
+
+
+class TopicScores(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Vector stage of ``drop_small``: topic scores below ``least`` become zero."""
+
+    least = Param(Params._dummy(), "least", "smallest score that is kept", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, least=MIN_TOPIC_SCORE):
+        super().__init__()
+        self._setDefault(least=MIN_TOPIC_SCORE)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scores = drop_small(vector_to_array(F.col(self.getInputCol())), self.getOrDefault(self.least))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(scores))

@@ -1,6 +1,6 @@
 """Run registered queries against their SQL and report rows, columns and values that differ.
 
-    python -m checks.compare [sf dir] [query ...]
+    python -m docspark.registry.compare [sf dir] [query ...]
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import time
 import duckdb
 import pandas as pd
 
-from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from docspark.registry.oracle import ORACLE
+from docspark.registry.queries import QUERIES
 from docspark.session import local_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import queries as q
+from docspark.registry import queries as q
 from docspark.functions.clean import COMMON_ENTITIES
 from docspark.functions.sequences import FIRST_ID, UNK
 from docspark.functions.tokens import ENGLISH_STOP_WORDS, MAX_CHARS, MAX_TOKENS, NUMBER_TOKEN, SENTENCE
@@ -164,11 +164,11 @@ def report(decoded: str) -> str:
     return f"""
 WITH {decoded},
 names AS (SELECT label AS name FROM decoded UNION SELECT prediction FROM decoded),
-counts AS (SELECT name, (SELECT count(*) FROM decoded d WHERE d.label = name) AS support,
+sides AS (SELECT name, (SELECT count(*) FROM decoded d WHERE d.label = name) AS support,
                   (SELECT count(*) FROM decoded d WHERE d.prediction = name) AS predicted,
                   (SELECT count(*) FROM decoded d WHERE d.label = name AND d.prediction = name) AS hits FROM names),
 ratios AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS p,
-                  CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r FROM counts),
+                  CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r FROM sides),
 metrics AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM ratios)
 SELECT CAST(name AS VARCHAR) AS class, round(p::DOUBLE, 6) AS precision, round(r::DOUBLE, 6) AS recall,
        round(f::DOUBLE, 6) AS f1, support FROM metrics
@@ -222,7 +222,7 @@ decoded AS (SELECT lang AS label, prediction FROM documents JOIN predicted USING
     "sentence_vote": f"""WITH {language_model('text')}, sentences AS ({SENTENCES}),
 {predictions('sentences', 'doc_id, pos', 'sentence')},
 votes AS (SELECT doc_id, prediction, count(prediction) AS votes, min(pos) AS first
-          FROM sentences LEFT JOIN predicted USING (doc_id, pos) GROUP BY doc_id, prediction)
+          FROM documents LEFT JOIN sentences USING (doc_id) LEFT JOIN predicted USING (doc_id, pos) GROUP BY doc_id, prediction)
 SELECT doc_id, prediction, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""",
     "token_filter": f"SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM ({KEPT})",

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.clean import clean_text, strip_markup
 from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot
-from docspark.functions.sequences import FIRST_ID, UNK, pad_sequence
-from docspark.functions.tokens import filter_tokens, sentences, words
-from docspark.models.features import dense_topics, fourier_map
+from docspark.functions.tokens import filter_tokens, sentences
+from docspark.models.features import dense_topics, drop_small, fit_topics, fit_vectors, fourier_map
+from docspark.models.head import fit_head
 from docspark.models.language import fit_language_model, language_profile
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
+from docspark.plans import classical, sequence
 from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
-from docspark.session import fresh_path
+from docspark.session import fresh_path, materialize
 from docspark.sources.documents import read_documents_csv, write_documents_csv
 from docspark.sources.files import extract_units, label_names
 
@@ -130,19 +132,15 @@ def lang_report(spark, folder):
     return rounded_report(evaluate.classification_report(pairs))
 
 
-def sentence_rows(spark, folder):
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-
-
 def sentence_split(spark, folder):
-    return sentence_rows(spark, folder)
+    rows = sequence.sentence_rows(table(spark, folder, "documents"), "doc_id", "text")
+    return rows.filter(F.col("sentence").isNotNull())
 
 
 def sentence_vote(spark, folder):
-    model = fit_language_model(table(spark, folder, "documents"), "text", "lang")
-    scored = model.transform(sentence_rows(spark, folder), "sentence", "label")
-    return evaluate.majority_vote(scored, "doc_id", "label", "pos").select("doc_id", "prediction", "votes")
+    docs = table(spark, folder, "documents")
+    model = fit_language_model(docs, "text", "lang")
+    return sequence.vote_by_sentence(docs, "doc_id", "text", lambda rows: model.transform(rows, "sentence", "label"))
 
 
 # ---- tokens, vocabulary, sequences --------------------------------------------------------------
@@ -184,41 +182,34 @@ def bag_of_words(spark, folder):
     return bags.withColumn("term_id", F.col("term_id").cast("bigint"))
 
 
-def word_ids(spark, folder, rows, text, keys, max_len):
-    """Ids of the first words of each row, by the words of all documents."""
-    docs = table(spark, folder, "documents").select(words(F.col("text")).alias("tokens"))
-    terms = vocabulary.top_terms(vocabulary.document_frequency(docs))
-    known = vocabulary.number_terms(terms, FIRST_ID).select("term", F.col("term_id").alias("value"))
-    first = rows.withColumn("_words", F.slice(words(F.col(text)), 1, max_len - 2))
-    return lookup_terms(first, keys, "_words", known, "ids", missing=UNK).drop("_words")
+def vocabulary_of(spark, folder):
+    return sequence.word_vocabulary(table(spark, folder, "documents"), "text")
 
 
 def sequence_ids(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return word_ids(spark, folder, docs, "text", ["doc_id"], MAX_LEN).select(
-        "doc_id", F.array_join("ids", " ").alias("ids")
-    )
+    found = sequence.word_ids(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
+    return found.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
-def flat_sequence(rows, *keys):
-    return rows.select(*keys, *[F.array_join(f"seq.{part}", " ").alias(part) for part in ("ids", "mask", "token_type_ids")])
+def flat_sequences(rows, text, keys, vocabulary, max_len):
+    found = sequence.sequence_rows(rows, text, keys, vocabulary, max_len)
+    return found.select(*keys, *[F.array_join(part, " ").alias(part) for part in ("ids", "mask", "token_type_ids")])
 
 
 def sequence_pad(spark, folder):
     items = table(spark, folder, "benchmark")
-    ids = word_ids(spark, folder, items, "text", ["item_id"], MAX_LEN)
-    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), MAX_LEN)), "item_id")
+    return flat_sequences(items, "text", ["item_id"], vocabulary_of(spark, folder), MAX_LEN)
 
 
 def document_sequences(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = word_ids(spark, folder, docs, "text", ["doc_id"], MAX_LEN)
-    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), MAX_LEN)), "doc_id")
+    docs = table(spark, folder, "documents")
+    return flat_sequences(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
 
 
 def sentence_sequences(spark, folder):
-    ids = word_ids(spark, folder, sentence_rows(spark, folder), "sentence", ["doc_id", "pos"], SENTENCE_LEN)
-    return flat_sequence(ids.withColumn("seq", pad_sequence(F.col("ids"), SENTENCE_LEN)), "doc_id", "pos")
+    rows = sentence_split(spark, folder)
+    return flat_sequences(rows, "sentence", ["doc_id", "pos"], vocabulary_of(spark, folder), SENTENCE_LEN)
 
 
 def doc_prefix(spark, folder):
@@ -407,6 +398,41 @@ def topic_dense(spark, folder):
     return dense.select("user_id", F.col("topic").cast("bigint").alias("topic"), F.round("score", 6).alias("score"))
 
 
+def lda_topics(spark, folder):
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    stage = vocabulary.bag_model(docs)
+    scored = fit_topics(stage.transform(docs)).transform(stage.transform(docs))
+    rows = scored.select("doc_id", F.posexplode(drop_small(vector_to_array("topics"))).alias("topic", "score"))
+    return rows.withColumn("score", F.round("score", 6))
+
+
+def doc_vectors(spark, folder):
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    rows = fit_vectors(docs).transform(docs).select("doc_id", F.posexplode(vector_to_array("vector")).alias("j", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def svm_predict(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = classical.fit_domain_model(docs, "text", "lang")
+    return classical.predict_domains(docs.select("doc_id", "lang", "text"), model, "text").drop("text")
+
+
+def head_train(spark, folder):
+    docs = table(spark, folder, "documents")
+    kinds = labels.fit_labels(docs, "lang")
+    rows = docs.select(
+        "doc_id",
+        "lang",
+        labels.encode_label(F.col("lang"), kinds).cast("double").alias("label"),
+        filter_tokens(F.col("text")).alias("tokens"),
+    )
+    rows = materialize(rows, "tokens")
+    vectors = materialize(fit_vectors(rows).transform(rows).drop("tokens"), "vectors")
+    scored = fit_head(vectors, len(kinds)).transform(vectors)
+    return scored.select("doc_id", "lang", decode_label(F.col("class"), labels.label_array(kinds)).alias("prediction"))
+
+
 QUERIES = {
     "path_labels": path_labels,
     "category_alias": category_alias,
@@ -457,4 +483,8 @@ QUERIES = {
     "training_curve": training_curve,
     "early_stop": early_stop,
     "topic_dense": topic_dense,
+    "lda_topics": lda_topics,
+    "doc_vectors": doc_vectors,
+    "svm_predict": svm_predict,
+    "head_train": head_train,
 }

@@ -15,7 +15,8 @@ def write_documents_csv(df: DataFrame, path: str, columns: tuple[str, ...] = DOC
 
     Cleaned text has no line ends, so the files can be split when read.
     """
-    df.select(*columns).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    writer = df.select(*columns).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_documents_csv(
