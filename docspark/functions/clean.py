@@ -12,15 +12,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns. WHITESPACE is what Python calls white space: Java's own \s is ASCII only, and its
-# Unicode class lacks the four separators U+001C..U+001F. LEFTOVER_TAG's dot stops at \n only.
+# The characters Python calls white space, of which all but a few are also Java's
+# Unicode class; the separators U+001C..U+001F are not.
+SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 WHITESPACE = r"[\s\x1c-\x1f]"
-EDGE_SPACE = rf"(?U)^{WHITESPACE}+|{WHITESPACE}+\z"
 SPACE_RUN = rf"(?U){WHITESPACE}{{2,}}"
 ANY_SPACE = rf"(?U){WHITESPACE}+"
-LEFTOVER_TAG = r"(?d)<.*?>"
-NON_ASCII = r"[^\x00-\x7F]+"
-CONTROL = r"[\p{Cc}\p{Cs}]+"
+LEFTOVER_TAG = r"(?d)<.*?>"  # the dot stops at \n only
+NOT_PRINTABLE_ASCII = r"[^\x20-\x7E]+"
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
@@ -44,7 +43,7 @@ OTHER_ENTITY = "&(?!(?:" + "|".join(COMMON_ENTITIES) + ");)(?:#[0-9xX]|[a-zA-Z])
 
 def trim_space(text: Column) -> Column:
     """Drop Unicode white space at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def clean_text(text: Column, mode: str = "reference") -> Column:
@@ -57,10 +56,9 @@ def clean_text(text: Column, mode: str = "reference") -> Column:
     if mode not in ("reference", "safe"):
         raise ValueError(f"unknown mode {mode!r}")
     text = F.regexp_replace(trim_space(text), SPACE_RUN if mode == "reference" else ANY_SPACE, " ")
-    text = F.regexp_replace(text, LEFTOVER_TAG, "")
+    text = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, LEFTOVER_TAG, "")).otherwise(text)
     text = F.replace(text, F.lit("\\r\\n"), F.lit(""))
-    text = F.regexp_replace(text, NON_ASCII, "")
-    return F.regexp_replace(text, CONTROL, "")
+    return F.regexp_replace(text, NOT_PRINTABLE_ASCII, "")  # non-ASCII first, then what controls are left
 
 
 def decode_entities(text: Column, entities: str = "all") -> Column:

@@ -11,8 +11,8 @@ MAX_CHARS = 1_000_000
 MAX_TOKENS = 50
 NUMBER_TOKEN = "NUM"
 NON_WORD = r"[^\p{L}\p{N}]+"
-DIGITS = r"^\p{Nd}+$"
-LETTERS = r"^\p{L}+$"
+PURE_WORD = r"^(?:\p{L}+|\p{Nd}+)$"
+DIGIT_FIRST = r"^\p{Nd}"
 SENTENCE = r"[^.!?\n]+[.!?]*"
 
 # Fixed word list: the English list that ships with Spark's StopWordsRemover.
@@ -53,13 +53,13 @@ def first_words(text: Column, count: int) -> Column:
     return F.slice(F.filter(pieces, lambda word: word != ""), 1, count)
 
 
-def _kept(pieces: Column, stop_words: Sequence[str]) -> Column:
-    stops = sorted({word.lower() for word in stop_words})
-    wanted = F.filter(
-        pieces,
-        lambda tok: (tok.rlike(LETTERS) | tok.rlike(DIGITS)) & ~F.lower(tok).isin(stops),
+def _normal(token: Column, stops: list[str]) -> Column:
+    """The form under which a token is kept, or an empty string."""
+    return (
+        F.when(F.lower(token).isin(stops) | ~token.rlike(PURE_WORD), "")
+        .when(token.rlike(DIGIT_FIRST), NUMBER_TOKEN)
+        .otherwise(F.lower(token))
     )
-    return F.transform(wanted, lambda tok: F.when(tok.rlike(DIGITS), NUMBER_TOKEN).otherwise(F.lower(tok)))
 
 
 def filter_tokens(
@@ -78,19 +78,27 @@ def filter_tokens(
     """
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    everything = _kept(F.split(text, NON_WORD), stop_words)
-    if max_tokens is None:
-        tokens = everything
-    else:
+    stops = sorted({word.lower() for word in stop_words})
+    tokens = F.filter(F.transform(F.split(text, NON_WORD), lambda tok: _normal(tok, stops)), lambda tok: tok != "")
+    if max_tokens is not None:
         head = 4 * max_tokens
-        pieces = F.split(text, NON_WORD, head + 1)
-        first = _kept(F.slice(pieces, 1, head), stop_words)
-        tokens = F.when(
-            (F.size(pieces) > head) & (F.size(first) < max_tokens), F.slice(everything, 1, max_tokens)
-        ).otherwise(
-            F.when(F.size(pieces) > head, F.slice(first, 1, max_tokens)).otherwise(
-                F.slice(_kept(pieces, stop_words), 1, max_tokens)
-            )
+        # Kept tokens among the first pieces, with a null at the end if text is left over.
+        started = F.filter(
+            F.transform(
+                F.split(text, NON_WORD, head + 1), lambda tok, i: F.when(i < head, _normal(tok, stops))
+            ),
+            lambda tok: tok.isNull() | (tok != ""),
+        )
+        whole = F.slice(tokens, 1, max_tokens)
+        # The one-element transform computes ``started`` once for all its uses.
+        tokens = F.get(
+            F.transform(
+                F.array(started),
+                lambda kept: F.when(
+                    (F.size(kept) <= max_tokens) & F.exists(kept, lambda tok: tok.isNull()), whole
+                ).otherwise(F.slice(kept, 1, max_tokens)),
+            ),
+            F.lit(0),
         )
     return F.coalesce(tokens, F.array().cast("array<string>"))
 

@@ -1,7 +1,8 @@
 """Top-1 language of a text: multinomial naive Bayes over words, fitted on labelled texts.
 
 Stands in for a native detector with built-in tables, so its answers are not numerically those of
-that detector. Texts that share no word with the profile have no language.
+that detector. Like such a table the profile is bounded: the most frequent words of all labelled
+texts together, and the languages weigh the same. Texts that share no word with it have no language.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.tokens import words
-from docspark.operators.labels import encode_label, fit_labels, label_array
+from docspark.operators.labels import fit_labels, label_array
 
-MAX_PROFILE_TERMS = 1 << 18
+MAX_PROFILE_TERMS = 100_000
 
 
 class LanguageModel:
@@ -48,19 +50,46 @@ def _terms(text: Column) -> Column:
     return F.coalesce(words(text), F.array().cast("array<string>"))
 
 
+def profile_counts(
+    df: DataFrame, text: str, language: str, labels: list[str], max_terms: int = MAX_PROFILE_TERMS
+) -> DataFrame:
+    """``term, n_0, n_1, ..``: occurrences per language of the ``max_terms`` most frequent words.
+
+    One aggregate with a counter per language; a word shared by all texts is counted down to one
+    row per task before the shuffle. Equal totals are ordered by the word.
+    """
+    names = [f"n_{i}" for i in range(len(labels))]
+    found = df.filter(F.col(language).isin(labels)).select(
+        F.col(language).alias("_lang"), F.explode(words(F.col(text))).alias("term")
+    )
+    counts = found.groupBy("term").agg(
+        *[F.count(F.when(F.col("_lang") == label, True)).alias(name) for label, name in zip(labels, names)]
+    )
+    total = sum((F.col(name) for name in names[1:]), F.col(names[0]))
+    return counts.orderBy(total.desc(), "term").limit(max_terms)
+
+
 def fit_language_model(
     df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int = MAX_PROFILE_TERMS
 ) -> LanguageModel:
-    """Fit on labelled texts. The profile keeps the ``max_terms`` most frequent words of all.
+    """Fit on labelled texts, in one pass over them.
 
-    Word counts are combined before any shuffle, and the class sums travel as one vector per
-    language and task; what reaches the driver is bounded by ``max_terms`` times the languages.
+    The counts that reach the driver are bounded by ``max_terms`` times the number of languages;
+    they make up the model. Naive Bayes then sees one row of word counts per language.
     """
     labels = fit_labels(df, language)
-    rows = df.select(
-        encode_label(F.col(language), labels).cast("double").alias("_label"), _terms(F.col(text)).alias("_words")
-    ).filter(F.col("_label").isNotNull())
-    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=max_terms).fit(rows)
+    table = profile_counts(df, text, language, labels, max_terms).toArrow()
+    if not table.num_rows:
+        raise ValueError("no words to fit on")
+    spark = df.sparkSession
+    terms = spark.createDataFrame(table.select(["term"])).select(F.array("term").alias("_words"))
+    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=max_terms).fit(terms)
+    row_of = {term: i for i, term in enumerate(table["term"].to_pylist())}
+    order = [row_of[term] for term in counter.vocabulary]
+    rows = []
+    for i in range(len(labels)):
+        counts = table[f"n_{i}"].to_numpy()[order].astype("float64")
+        rows.append((float(i), Vectors.sparse(len(order), counts.nonzero()[0], counts[counts.nonzero()])))
     bayes = NaiveBayes(
         featuresCol="_counts",
         labelCol="_label",
@@ -69,21 +98,26 @@ def fit_language_model(
         probabilityCol="_probability",
         smoothing=smoothing,
         modelType="multinomial",
-    ).fit(counter.transform(rows))
+    ).fit(spark.createDataFrame(rows, ["_label", "_counts"]))
     return LanguageModel(PipelineModel([counter, bayes]), labels)
 
 
-def language_profile(df: DataFrame, text: str, language: str, smoothing: float = 1.0) -> DataFrame:
-    """``lang, term, n, log_prob``: the smoothed word log-probabilities, as a table.
+def language_profile(
+    df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int = MAX_PROFILE_TERMS
+) -> DataFrame:
+    """``lang, term, n, log_prob``: the profile as a table, for the words each language has.
 
-    Words a language lacks are not listed; their value is that of n = 0.
+    The unpartitioned windows see the profile, which holds at most ``max_terms`` rows.
     """
-    counts = (
-        df.select(F.col(language).alias("lang"), F.explode(words(F.col(text))).alias("term"))
-        .groupBy("lang", "term")
-        .agg(F.count("*").alias("n"))
-    )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    size = counts.agg(F.count_distinct("term").alias("terms")).scalar()
-    log_prob = F.log((F.col("n") + smoothing) / (F.col("total") + smoothing * size))
-    return counts.join(F.broadcast(totals), "lang").select("lang", "term", "n", log_prob.alias("log_prob"))
+    labels = fit_labels(df, language)
+    profile = profile_counts(df, text, language, labels, max_terms)
+    every = Window.partitionBy()
+    weights = {
+        f"w_{i}": F.sum(f"n_{i}").over(every) + smoothing * F.count("*").over(every) for i in range(len(labels))
+    }
+    entries = [
+        F.struct(F.lit(label).alias("lang"), "term", F.col(f"n_{i}").alias("n"), F.col(f"w_{i}").alias("weight"))
+        for i, label in enumerate(labels)
+    ]
+    rows = profile.withColumns(weights).select(F.inline(F.array(*entries))).filter(F.col("n") > 0)
+    return rows.select("lang", "term", "n", F.log((F.col("n") + smoothing) / F.col("weight")).alias("log_prob"))

@@ -6,6 +6,7 @@ from docspark.registry import queries as q
 from docspark.functions.clean import COMMON_ENTITIES
 from docspark.functions.sequences import FIRST_ID, UNK
 from docspark.functions.tokens import ENGLISH_STOP_WORDS, MAX_CHARS, MAX_TOKENS, NUMBER_TOKEN, SENTENCE
+from docspark.models.language import MAX_PROFILE_TERMS
 from docspark.operators.vocabulary import KEEP_TERMS, MAX_SHARE, MIN_DOCUMENTS
 
 # Python's white space, spelled out: DuckDB's \s is ASCII only.
@@ -92,17 +93,15 @@ FROM (SELECT * FROM frequencies WHERE df >= {MIN_DOCUMENTS} AND df <= {MAX_SHARE
 
 
 def language_model(fit_text: str) -> str:
-    """CTEs prior, grid: the naive Bayes model fitted on ``documents``."""
+    """CTEs counts, totals, size, grid: the naive Bayes model fitted on ``documents``."""
     return f"""
 occurrences AS (SELECT lang, unnest({words(fit_text)}) AS term FROM documents),
-counts AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term),
+profile AS (SELECT term FROM occurrences GROUP BY term ORDER BY count(*) DESC, term LIMIT {MAX_PROFILE_TERMS}),
+counts AS (SELECT lang, term, count(*) AS n FROM occurrences JOIN profile USING (term) GROUP BY lang, term),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
-size AS (SELECT count(DISTINCT term) AS v FROM counts),
-prior AS (SELECT lang, ln(count(*) + 1.0::DOUBLE)
-                 - ln((SELECT count(*) + count(DISTINCT lang) FROM documents)::DOUBLE) AS p
-          FROM documents GROUP BY lang),
+size AS (SELECT count(*) AS v FROM profile),
 grid AS (SELECT t.term, l.lang, ln(((coalesce(c.n, 0) + 1) / (l.total + size.v))::DOUBLE) AS lp
-         FROM (SELECT DISTINCT term FROM counts) t CROSS JOIN totals l CROSS JOIN size
+         FROM profile t CROSS JOIN totals l CROSS JOIN size
          LEFT JOIN counts c ON c.term = t.term AND c.lang = l.lang)"""
 
 
@@ -111,8 +110,8 @@ def predictions(rows: str, keys: str, column: str) -> str:
     return f"""
 said AS (SELECT {keys}, term, count(*) AS n FROM (SELECT {keys}, unnest({words(column)}) AS term FROM {rows}) GROUP BY {keys}, term),
 ranked AS (SELECT {keys}, g.lang, row_number() OVER (PARTITION BY {keys}
-                  ORDER BY round(sum(said.n * g.lp) + any_value(prior.p), 8) DESC, g.lang) AS place
-           FROM said JOIN grid g USING (term) JOIN prior ON prior.lang = g.lang GROUP BY {keys}, g.lang),
+                  ORDER BY round(sum(said.n * g.lp), 8) DESC, g.lang) AS place
+           FROM said JOIN grid g USING (term) GROUP BY {keys}, g.lang),
 predicted AS (SELECT {keys}, lang AS prediction FROM ranked WHERE place = 1)"""
 
 
@@ -208,10 +207,8 @@ FROM english GROUP BY page_id""",
 FROM conversations GROUP BY conv_id""",
     "csv_round_trip": f"""SELECT * FROM (SELECT {clean('text')} AS sources, lang AS categories, source AS subcategories,
 lpad(CAST(doc_id AS VARCHAR), 8, '0') AS targetids FROM documents) WHERE sources <> ''""",
-    "lang_profile": f"""WITH occurrences AS (SELECT lang, unnest({words('text')}) AS term FROM documents),
-counts AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term)
-SELECT lang, term, n, round(ln(((n + 1) / (sum(n) OVER (PARTITION BY lang) + (SELECT count(DISTINCT term) FROM counts)))::DOUBLE), 6)
-       AS log_prob FROM counts""",
+    "lang_profile": f"""WITH {language_model('text')}
+SELECT lang, term, n, round(lp, 6) AS log_prob FROM counts JOIN grid USING (lang, term)""",
     "lang_predict": f"""WITH {language_model('text')}, {predictions('documents', 'doc_id', 'text')}
 SELECT doc_id, lang, prediction FROM documents LEFT JOIN predicted USING (doc_id)""",
     "lang_report": report(

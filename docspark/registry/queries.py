@@ -17,7 +17,7 @@ from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
 from docspark.plans import classical, sequence
 from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
-from docspark.session import fresh_path, materialize
+from docspark.session import fresh_path, materialize, spread
 from docspark.sources.documents import read_documents_csv, write_documents_csv
 from docspark.sources.files import extract_units, label_names
 
@@ -41,6 +41,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Document columns for work on every text."""
+    return spread(table(spark, folder, "documents").select(*(columns or ("doc_id", "text"))))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "pages").select("page_id", "html"))
+
+
 # ---- extraction -------------------------------------------------------------------------------
 
 
@@ -56,7 +65,7 @@ def category_alias(spark, folder):
 
 
 def page_segments(spark, folder):
-    return extract_units(table(spark, folder, "pages"), "html", PAGE_UNIT, "page_id")
+    return extract_units(pages(spark, folder), "html", PAGE_UNIT, "page_id")
 
 
 def segment_extract(spark, folder):
@@ -68,16 +77,16 @@ def segment_filter(spark, folder):
 
 
 def strip_html(spark, folder):
-    return table(spark, folder, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
+    return pages(spark, folder).select("page_id", strip_markup(F.col("html")).alias("text"))
 
 
 def clean_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    docs = documents(spark, folder).select("doc_id", clean_text(F.col("text")).alias("text"))
     return docs.filter(F.length("text") > 0)
 
 
 def english_page_segments(spark, folder):
-    docs = table(spark, folder, "documents").select("lang", clean_text(F.col("text"), "safe").alias("text"))
+    docs = documents(spark, folder, "lang", "text").select("lang", clean_text(F.col("text"), "safe").alias("text"))
     model = fit_language_model(docs, "text", "lang")
     return segments_in_language(clean_segments(page_segments(spark, folder)), model, "en")
 
@@ -114,12 +123,12 @@ def csv_round_trip(spark, folder):
 
 
 def lang_profile(spark, folder):
-    profile = language_profile(table(spark, folder, "documents"), "text", "lang")
+    profile = language_profile(documents(spark, folder, "lang", "text"), "text", "lang")
     return profile.withColumn("log_prob", F.round("log_prob", 6))
 
 
 def predicted_languages(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "doc_id", "lang", "text")
     return fit_language_model(docs, "text", "lang").transform(docs, "text")
 
 
@@ -133,12 +142,12 @@ def lang_report(spark, folder):
 
 
 def sentence_split(spark, folder):
-    rows = sequence.sentence_rows(table(spark, folder, "documents"), "doc_id", "text")
+    rows = sequence.sentence_rows(documents(spark, folder), "doc_id", "text")
     return rows.filter(F.col("sentence").isNotNull())
 
 
 def sentence_vote(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "doc_id", "lang", "text")
     model = fit_language_model(docs, "text", "lang")
     return sequence.vote_by_sentence(docs, "doc_id", "text", lambda rows: model.transform(rows, "sentence", "label"))
 
@@ -147,7 +156,7 @@ def sentence_vote(spark, folder):
 
 
 def document_tokens(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", filter_tokens(F.col("text")).alias("tokens"))
+    return documents(spark, folder).select("doc_id", filter_tokens(F.col("text")).alias("tokens"))
 
 
 def token_filter(spark, folder):
@@ -183,11 +192,11 @@ def bag_of_words(spark, folder):
 
 
 def vocabulary_of(spark, folder):
-    return sequence.word_vocabulary(table(spark, folder, "documents"), "text")
+    return sequence.word_vocabulary(documents(spark, folder, "text"), "text")
 
 
 def sequence_ids(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder)
     found = sequence.word_ids(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
     return found.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
@@ -203,7 +212,7 @@ def sequence_pad(spark, folder):
 
 
 def document_sequences(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return flat_sequences(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
 
 
@@ -217,7 +226,7 @@ def doc_prefix(spark, folder):
 
 
 def combined_features(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     left = docs.select("doc_id", F.array(F.length("text"), F.size(sentences(F.col("text")))).alias("a"))
     right = table(spark, folder, "labels").select("doc_id", F.array("quality", "toxic").alias("b"))
     both = left.join(right, "doc_id").withColumn("features", F.concat("a", "b"))
@@ -413,13 +422,13 @@ def doc_vectors(spark, folder):
 
 
 def svm_predict(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "doc_id", "lang", "text")
     model = classical.fit_domain_model(docs, "text", "lang")
-    return classical.predict_domains(docs.select("doc_id", "lang", "text"), model, "text").drop("text")
+    return classical.predict_domains(docs, model, "text").select("doc_id", "lang", "prediction")
 
 
 def head_train(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "doc_id", "lang", "text")
     kinds = labels.fit_labels(docs, "lang")
     rows = docs.select(
         "doc_id",
