@@ -56,17 +56,19 @@ def clean_text(text: Column, mode: str = "reference") -> Column:
     if mode not in ("reference", "safe"):
         raise ValueError(f"unknown mode {mode!r}")
     text = F.regexp_replace(trim_space(text), SPACE_RUN if mode == "reference" else ANY_SPACE, " ")
-    text = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, LEFTOVER_TAG, "")).otherwise(text)
+    text = F.regexp_replace(text, LEFTOVER_TAG, "")
     text = F.replace(text, F.lit("\\r\\n"), F.lit(""))
     return F.regexp_replace(text, NOT_PRINTABLE_ASCII, "")  # non-ASCII first, then what controls are left
 
 
-def decode_entities(text: Column, entities: str = "all") -> Column:
+def decode_entities(text: Column, entities: str = "all", raw: Column | None = None) -> Column:
     """Decode character references once.
 
     The common named ones are string replacements. With ``entities="all"`` a text that holds any
     other reference (named or numeric) is decoded by ``html.unescape`` in Arrow batches; texts
-    without one reach Python as nulls, so the transfer costs next to nothing for them.
+    without one reach Python as nulls, so the transfer costs next to nothing for them. When
+    ``text`` is costly to compute, give the column it comes from as ``raw``: it is searched for
+    such references in its place, and ``text`` is computed once on either way.
     """
     common = text
     for name, char in COMMON_ENTITIES.items():
@@ -82,11 +84,13 @@ def decode_entities(text: Column, entities: str = "all") -> Column:
     def decode_all(texts: pd.Series) -> pd.Series:
         return texts.map(unescape, na_action="ignore")
 
-    return F.coalesce(decode_all(F.when(text.rlike(OTHER_ENTITY), text)), common)
+    searched = text if raw is None else raw
+    return F.coalesce(decode_all(F.when(searched.rlike(OTHER_ENTITY), text)), common)
 
 
 def strip_markup(text: Column, entities: str = "all") -> Column:
     """Text of an HTML fragment: comments, scripts, styles and tags removed, entities decoded."""
+    raw = text
     for pattern in (COMMENT, SCRIPT, STYLE, TAG):
         text = F.regexp_replace(text, pattern, "")
-    return decode_entities(text, entities)
+    return decode_entities(text, entities, raw)

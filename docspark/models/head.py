@@ -20,7 +20,7 @@ def fit_head(
     output: str = "class",
     kind: str = "layers",
     hidden: int | None = None,
-    max_iter: int = 100,
+    max_iter: int = 50,
     seed: int = 7,
 ) -> Model:
     """A softmax classifier over document vectors with one hidden layer, or none.

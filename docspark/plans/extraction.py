@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from docspark.functions.clean import clean_text, strip_markup
 from docspark.models.language import LanguageModel
+from docspark.operators.rows import keep_rows
 from docspark.sources.files import extract_trans_units, label_names, scan_labelled_files
 
 
 def clean_segments(segments: DataFrame, mode: str = "reference") -> DataFrame:
     """Replace ``segment`` by its clean text and drop the empty ones."""
     text = clean_text(strip_markup(F.col("segment")), mode)
-    return segments.withColumn("segment", text).filter(F.length("segment") > 0)
+    return keep_rows(segments.withColumn("segment", text), lambda row: F.length(row["segment"]) > 0)
 
 
 def segments_in_language(segments: DataFrame, model: LanguageModel, language: str) -> DataFrame:
     """Keep the segments whose top-ranked language is the wanted one."""
     scored = model.transform(segments, "segment", "_language")
-    return scored.filter(F.col("_language") == language).drop("_language")
+    return keep_rows(scored, lambda row: row["_language"] == language).drop("_language")
 
 
 def rejoin_segments(segments: DataFrame, *keys: str, text: str = "text", position: str = "pos", segment: str = "segment") -> DataFrame:

@@ -15,6 +15,7 @@ from docspark.models.head import fit_head
 from docspark.models.language import fit_language_model, language_profile
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
+from docspark.operators.rows import keep_rows
 from docspark.plans import classical, sequence
 from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
 from docspark.session import fresh_path, materialize, spread
@@ -82,7 +83,7 @@ def strip_html(spark, folder):
 
 def clean_documents(spark, folder):
     docs = documents(spark, folder).select("doc_id", clean_text(F.col("text")).alias("text"))
-    return docs.filter(F.length("text") > 0)
+    return keep_rows(docs, lambda row: F.length(row["text"]) > 0)
 
 
 def english_page_segments(spark, folder):

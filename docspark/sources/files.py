@@ -82,7 +82,7 @@ def unit_source(unit: Column) -> Column:
             ),
         ).otherwise(F.regexp_replace(part, "<[^>]*>", "")),
     )
-    return decode_entities(F.array_join(parts, ""))
+    return decode_entities(F.array_join(parts, ""), raw=unit)
 
 
 def extract_trans_units(df: DataFrame, content: str, *keep: str) -> DataFrame:
