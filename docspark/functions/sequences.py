@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
@@ -42,7 +44,7 @@ def subword_ids(spark: SparkSession, tokenizer_file: str):
     locate = SparkFiles.get
 
     @F.pandas_udf("array<int>")
-    def encode(batches):
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(locate(name))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions.clean import clean_text, strip_markup
 from docspark.models.language import LanguageModel
 from docspark.operators.rows import keep_rows
+from docspark.session import spread
 from docspark.sources.files import extract_trans_units, label_names, scan_labelled_files
 
 
@@ -35,16 +36,13 @@ def rejoin_segments(segments: DataFrame, *keys: str, text: str = "text", positio
     )
 
 
-def extract_documents(
-    spark: SparkSession, folder: str, model: LanguageModel, language: str, mode: str = "reference"
-) -> DataFrame:
-    """``doc_id, sources, categories, subcategories, targetids`` for a folder of labelled files.
+def documents_of_files(files: DataFrame, model: LanguageModel, language: str, mode: str = "reference") -> DataFrame:
+    """``doc_id, sources, categories, subcategories, targetids`` of rows ``path, name, content``.
 
     Files without a category, and files with no segment left, have no row. ``doc_id`` is the path.
     """
-    files = label_names(scan_labelled_files(spark, folder))
     labels = ("path", "category", "subcategory", "target_id")
-    segments = clean_segments(extract_trans_units(files, "content", *labels), mode)
+    segments = clean_segments(extract_trans_units(label_names(files), "content", *labels), mode)
     documents = rejoin_segments(segments_in_language(segments, model, language), *labels, text="sources")
     return documents.select(
         F.col("path").alias("doc_id"),
@@ -53,3 +51,10 @@ def extract_documents(
         F.col("subcategory").alias("subcategories"),
         F.col("target_id").alias("targetids"),
     )
+
+
+def extract_documents(
+    spark: SparkSession, folder: str, model: LanguageModel, language: str, mode: str = "reference"
+) -> DataFrame:
+    """``documents_of_files`` for a folder of labelled files."""
+    return documents_of_files(spread(scan_labelled_files(spark, folder)), model, language, mode)

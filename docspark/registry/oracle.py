@@ -39,8 +39,8 @@ def strip(column: str) -> str:
         r"</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     ):
         column = drop(column, pattern)
-    for name, char in COMMON_ENTITIES.items():
-        column = f"replace({column}, '&{name};', {text(char)})"
+    for name, char in COMMON_ENTITIES.items():  # all but these two may lack the semicolon
+        column = drop(column, f"&{name};" + ("" if name in ("apos", "#39") else "?"), char)
     return column
 
 
@@ -162,7 +162,7 @@ decoded AS (SELECT label, CAST(list_position(embedding, list_max(embedding)) - 1
 def report(decoded: str) -> str:
     return f"""
 WITH {decoded},
-names AS (SELECT label AS name FROM decoded UNION SELECT prediction FROM decoded),
+names AS (SELECT label AS name FROM decoded UNION SELECT prediction FROM decoded WHERE prediction IS NOT NULL),
 sides AS (SELECT name, (SELECT count(*) FROM decoded d WHERE d.label = name) AS support,
                   (SELECT count(*) FROM decoded d WHERE d.prediction = name) AS predicted,
                   (SELECT count(*) FROM decoded d WHERE d.label = name AND d.prediction = name) AS hits FROM names),
@@ -213,7 +213,7 @@ SELECT lang, term, n, round(lp, 6) AS log_prob FROM counts JOIN grid USING (lang
 SELECT doc_id, lang, prediction FROM documents LEFT JOIN predicted USING (doc_id)""",
     "lang_report": report(
         f"""{language_model('text')}, {predictions('documents', 'doc_id', 'text')},
-decoded AS (SELECT lang AS label, prediction FROM documents JOIN predicted USING (doc_id))"""
+decoded AS (SELECT lang AS label, prediction FROM documents LEFT JOIN predicted USING (doc_id))"""
     ),
     "sentence_split": SENTENCES,
     "sentence_vote": f"""WITH {language_model('text')}, sentences AS ({SENTENCES}),

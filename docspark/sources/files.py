@@ -27,8 +27,13 @@ def scan_labelled_files(spark: SparkSession, folder: str, glob: str = "*#categor
 
     The name pattern is applied while listing, so other files are never opened.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), file_text("content").alias("content"))
+    return named_text(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder))
+
+
+def named_text(files: DataFrame) -> DataFrame:
+    """``path, name, content`` of binary file rows, with the content as text."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), file_text("content").alias("content"))
 
 
 def file_text(content: Column | str) -> Column:
