@@ -44,6 +44,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), lambda word: word != "")
 
 
+def grams(text: Column, size: int) -> Column:
+    """Overlapping runs of ``size`` characters of the lower-case text, white-space runs as one space."""
+    flat = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
+    return F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{int(size)}}}))"), F.lit(1))
+
+
 def first_words(text: Column, count: int) -> Column:
     """The first ``count`` of the ``words``, without splitting the rest of the text.
 

@@ -1,8 +1,9 @@
-"""Top-1 language of a text: multinomial naive Bayes over words, fitted on labelled texts.
+"""Top-1 language of a text: multinomial naive Bayes over terms, fitted on labelled texts.
 
 Stands in for a native detector with built-in tables, so its answers are not numerically those of
-that detector. Like such a table the profile is bounded: the most frequent words of all labelled
-texts together, and the languages weigh the same. Texts that share no word with it have no language.
+that detector. Like such a table the profile is bounded: the most frequent terms of all labelled
+texts together, and the languages weigh the same. Texts that share no term with it have no language.
+Terms are words or, for scripts without spaces, runs of ``gram`` characters (Cavnar and Trenkle 1994).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.tokens import words
+from docspark.functions.tokens import grams, words
 from docspark.operators.labels import fit_labels, label_array
 
 MAX_PROFILE_TERMS = 100_000
@@ -23,13 +24,14 @@ MAX_PROFILE_TERMS = 100_000
 class LanguageModel:
     """Fitted labels with the MLlib stages that score a text; scoring shuffles nothing."""
 
-    def __init__(self, stages: PipelineModel, labels: list[str]):
+    def __init__(self, stages: PipelineModel, labels: list[str], gram: int | None = None):
         self.stages = stages
         self.labels = labels
+        self.gram = gram
 
     def transform(self, df: DataFrame, text: str, output: str = "prediction") -> DataFrame:
-        """Add the top-ranked language, null where no word is known; ties go to the first label."""
-        scored = self.stages.transform(df.withColumn("_words", _terms(F.col(text))))
+        """Add the top-ranked language, null where no term is known; ties go to the first label."""
+        scored = self.stages.transform(df.withColumn("_terms", _terms(F.col(text), self.gram)))
         known = F.size(F.unwrap_udt("_counts")["indices"]) > 0
         label = F.when(known, F.get(label_array(self.labels), F.col("_class").cast("int")))
         return scored.select(*df.columns, label.alias(output))
@@ -37,30 +39,37 @@ class LanguageModel:
     def save(self, path: str) -> None:
         """Write the stages and the label list below ``path``."""
         self.stages.write().overwrite().save(f"{path}/stages")
-        rows = SparkSession.getActiveSession().createDataFrame(list(enumerate(self.labels)), "id int, label string")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        rows = [(i, label, self.gram) for i, label in enumerate(self.labels)]
+        saved = SparkSession.getActiveSession().createDataFrame(rows, "id int, label string, gram int")
+        saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
     @classmethod
     def load(cls, path: str) -> LanguageModel:
         rows = SparkSession.getActiveSession().read.parquet(f"{path}/labels").orderBy("id").collect()
-        return cls(PipelineModel.load(f"{path}/stages"), [row.label for row in rows])
+        return cls(PipelineModel.load(f"{path}/stages"), [row.label for row in rows], rows[0].gram)
 
 
-def _terms(text: Column) -> Column:
-    return F.coalesce(words(text), F.array().cast("array<string>"))
+def _terms(text: Column, gram: int | None) -> Column:
+    found = words(text) if gram is None else grams(text, gram)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def profile_counts(
-    df: DataFrame, text: str, language: str, labels: list[str], max_terms: int = MAX_PROFILE_TERMS
+    df: DataFrame,
+    text: str,
+    language: str,
+    labels: list[str],
+    max_terms: int = MAX_PROFILE_TERMS,
+    gram: int | None = None,
 ) -> DataFrame:
-    """``term, n_0, n_1, ..``: occurrences per language of the ``max_terms`` most frequent words.
+    """``term, n_0, n_1, ..``: occurrences per language of the ``max_terms`` most frequent terms.
 
-    One aggregate with a counter per language; a word shared by all texts is counted down to one
-    row per task before the shuffle. Equal totals are ordered by the word.
+    One aggregate with a counter per language; a term shared by all texts is counted down to one
+    row per task before the shuffle. Equal totals are ordered by the term.
     """
     names = [f"n_{i}" for i in range(len(labels))]
     found = df.filter(F.col(language).isin(labels)).select(
-        F.col(language).alias("_lang"), F.explode(words(F.col(text))).alias("term")
+        F.col(language).alias("_lang"), F.explode(_terms(F.col(text), gram)).alias("term")
     )
     counts = found.groupBy("term").agg(
         *[F.count(F.when(F.col("_lang") == label, True)).alias(name) for label, name in zip(labels, names)]
@@ -70,20 +79,25 @@ def profile_counts(
 
 
 def fit_language_model(
-    df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int = MAX_PROFILE_TERMS
+    df: DataFrame,
+    text: str,
+    language: str,
+    smoothing: float = 1.0,
+    max_terms: int = MAX_PROFILE_TERMS,
+    gram: int | None = None,
 ) -> LanguageModel:
     """Fit on labelled texts, in one pass over them.
 
     The counts that reach the driver are bounded by ``max_terms`` times the number of languages;
-    they make up the model. Naive Bayes then sees one row of word counts per language.
+    they make up the model. Naive Bayes then sees one row of counts per language.
     """
     labels = fit_labels(df, language)
-    table = profile_counts(df, text, language, labels, max_terms).toArrow()
+    table = profile_counts(df, text, language, labels, max_terms, gram).toArrow()
     if not table.num_rows:
-        raise ValueError("no words to fit on")
+        raise ValueError("no terms to fit on")
     spark = df.sparkSession
-    terms = spark.createDataFrame(table.select(["term"])).select(F.array("term").alias("_words"))
-    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=max_terms).fit(terms)
+    terms = spark.createDataFrame(table.select(["term"])).select(F.array("term").alias("_terms"))
+    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms).fit(terms)
     row_of = {term: i for i, term in enumerate(table["term"].to_pylist())}
     order = [row_of[term] for term in counter.vocabulary]
     rows = []
@@ -99,13 +113,13 @@ def fit_language_model(
         smoothing=smoothing,
         modelType="multinomial",
     ).fit(spark.createDataFrame(rows, ["_label", "_counts"]))
-    return LanguageModel(PipelineModel([counter, bayes]), labels)
+    return LanguageModel(PipelineModel([counter, bayes]), labels, gram)
 
 
 def language_profile(
     df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int = MAX_PROFILE_TERMS
 ) -> DataFrame:
-    """``lang, term, n, log_prob``: the profile as a table, for the words each language has.
+    """``lang, term, n, log_prob``: the profile as a table, for the terms each language has.
 
     The unpartitioned windows see the profile, which holds at most ``max_terms`` rows.
     """

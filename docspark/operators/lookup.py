@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 1_000_000
+HOT_SHARE = 1_000
 
 
 def lookup_terms(
@@ -55,12 +56,23 @@ def _join_lookup(
     df: DataFrame, keys: list[str], tokens: str, table: DataFrame, output: str, kind: str, missing: object
 ) -> DataFrame:
     fallback: Column = F.col("term") if missing is None else F.lit(missing).cast(kind)
+    long = df.select(*keys, F.posexplode(tokens).alias("pos", "term"))
+    values = table.select("term", "value")
+    # Terms with at least 1 / HOT_SHARE of all occurrences; there cannot be more than HOT_SHARE of them.
+    counts = long.groupBy("term").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") * HOT_SHARE >= long.count()).select("term").join(values, "term", "left")
+    hot = hot.select("term", F.lit(True).alias("_hot"), F.col("value").alias("_hot_value"))
+    # Rows of hot terms are done after the broadcast; a key of their own spreads them over the shuffle.
+    apart = F.concat(F.lit("\u0000"), F.xxhash64(*keys, "pos").cast("string"))
+    rows = long.join(F.broadcast(hot), "term", "left").withColumn(
+        "_key", F.when(F.col("_hot"), apart).otherwise(F.col("term"))
+    )
+    rows = rows.join(values.withColumnRenamed("term", "_key"), "_key", "left")
+    value = F.coalesce(F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("value")), fallback)
     found = (
-        df.select(*keys, F.posexplode(tokens).alias("pos", "term"))
-        .join(table.select("term", "value"), "term", "left")
-        .select(*keys, F.struct("pos", F.coalesce("value", fallback).alias("value")).alias("hit"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list("hit")), lambda hit: hit["value"]).alias(output))
+        rows.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))).alias("hits"))
+        .select(*keys, F.transform("hits", lambda hit: hit["value"]).alias(output))
     )
     empty = F.when(F.col(tokens).isNotNull(), F.array().cast(f"array<{kind}>"))
     return df.join(found, keys, "left").withColumn(output, F.coalesce(output, empty))

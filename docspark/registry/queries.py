@@ -11,7 +11,7 @@ from docspark.functions.clean import clean_text, strip_markup
 from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot
 from docspark.functions.tokens import filter_tokens, sentences
 from docspark.models.features import dense_topics, drop_small, fit_topics, fit_vectors, fourier_map
-from docspark.models.head import fit_head
+from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
@@ -106,7 +106,8 @@ def rejoin_turns(spark, folder):
 
 
 def csv_round_trip(spark, folder):
-    docs = clean_documents(spark, folder).join(table(spark, folder, "documents").drop("text"), "doc_id")
+    docs = documents(spark, folder, "doc_id", "lang", "source", "text").withColumn("text", clean_text(F.col("text")))
+    docs = keep_rows(docs, lambda row: F.length(row["text"]) > 0)
     path = fresh_path(spark, "documents-csv")
     write_documents_csv(
         docs.select(
@@ -222,6 +223,27 @@ def sentence_sequences(spark, folder):
     return flat_sequences(rows, "sentence", ["doc_id", "pos"], vocabulary_of(spark, folder), SENTENCE_LEN)
 
 
+def sequence_vote(spark, folder):
+    """Sentences as sequences through a scorer with closed-form scores, then the vote per document."""
+
+    def load():
+        ranks = np.arange(1, 5)
+
+        def predict(ids, mask, kinds):
+            return (np.sin(ids[:, :, None] * ranks) * mask[:, :, None]).sum(axis=1)
+
+        return predict
+
+    vocabulary = vocabulary_of(spark, folder)
+    scorer = sequence_scorer(load, SENTENCE_LEN, batch_size=4096)
+
+    def score(rows):
+        found = sequence.sequence_rows(rows, "sentence", ["doc_id", "pos"], vocabulary, SENTENCE_LEN)
+        return sequence.score_sequences(found, scorer).withColumn("label", argmax(F.col("scores")))
+
+    return sequence.vote_by_sentence(documents(spark, folder), "doc_id", "text", score)
+
+
 def doc_prefix(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "lang").orderBy("doc_id").limit(10)
 
@@ -385,7 +407,8 @@ def training_curve(spark, folder):
 
 
 def early_stop(spark, folder):
-    stops = training_log.early_stop(event_curve(spark, folder), "run", "event_id", PATIENCE)
+    curve = materialize(event_curve(spark, folder), "curve")
+    stops = training_log.early_stop(curve, "run", "event_id", PATIENCE)
     return stops.select("run", "epoch", "step", "loss", "accuracy", "peak")
 
 
@@ -469,6 +492,7 @@ QUERIES = {
     "sequence_pad": sequence_pad,
     "document_sequences": document_sequences,
     "sentence_sequences": sentence_sequences,
+    "sequence_vote": sequence_vote,
     "doc_prefix": doc_prefix,
     "combined_features": combined_features,
     "label_index": label_index,

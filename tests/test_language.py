@@ -71,3 +71,16 @@ def test_saved_model_gives_the_same_predictions(spark, tmp_path):
     model.save(str(tmp_path / "model"))
     again = LanguageModel.load(str(tmp_path / "model"))
     assert again.transform(df, "t").orderBy("i").collect() == model.transform(df, "t").orderBy("i").collect()
+
+
+def test_character_runs(spark, tmp_path):
+    rows = [(0, "日本語の文章です", "ja"), (1, "中文的文字是这样", "zh"), (2, "ab  ab", "xx")]
+    df = spark.createDataFrame(rows, "i int, t string, lang string")
+    model = fit_language_model(df, "t", "lang", gram=2)
+    assert sorted(model.stages.stages[0].vocabulary) == sorted(
+        {t[i : i + 2] for t in ("日本語の文章です", "中文的文字是这样", "ab ab") for i in range(len(t) - 1)}
+    )
+    held = spark.createDataFrame([(0, "文章です"), (1, "文字是"), (2, "Ab"), (3, "q")], "i int, t string")
+    model.save(str(tmp_path / "model"))
+    for scorer in (model, LanguageModel.load(str(tmp_path / "model"))):
+        assert [row.prediction for row in scorer.transform(held, "t").orderBy("i").collect()] == ["ja", "zh", "xx", None]
