@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.tokens import grams, words
+from docspark.functions.tokens import NON_WORD, grams
 from docspark.operators.labels import fit_labels, label_array
 
 MAX_PROFILE_TERMS = 100_000
@@ -50,7 +50,8 @@ class LanguageModel:
 
 
 def _terms(text: Column, gram: int | None) -> Column:
-    found = words(text) if gram is None else grams(text, gram)
+    """Terms of a text; the empty pieces of a split are in no profile and need no filter here."""
+    found = F.split(F.lower(text), NON_WORD) if gram is None else grams(text, gram)
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -71,7 +72,7 @@ def profile_counts(
     found = df.filter(F.col(language).isin(labels)).select(
         F.col(language).alias("_lang"), F.explode(_terms(F.col(text), gram)).alias("term")
     )
-    counts = found.groupBy("term").agg(
+    counts = found.filter(F.col("term") != "").groupBy("term").agg(
         *[F.count(F.when(F.col("_lang") == label, True)).alias(name) for label, name in zip(labels, names)]
     )
     total = sum((F.col(name) for name in names[1:]), F.col(names[0]))

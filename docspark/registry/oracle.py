@@ -7,6 +7,7 @@ from docspark.functions.clean import COMMON_ENTITIES
 from docspark.functions.sequences import FIRST_ID, UNK
 from docspark.functions.tokens import ENGLISH_STOP_WORDS, MAX_CHARS, MAX_TOKENS, NUMBER_TOKEN, SENTENCE
 from docspark.models.language import MAX_PROFILE_TERMS
+from docspark.models.ngram import BACKOFF, MAX_GRAMS
 from docspark.operators.vocabulary import KEEP_TERMS, MAX_SHARE, MIN_DOCUMENTS
 
 # Python's white space, spelled out: DuckDB's \s is ASCII only.
@@ -222,6 +223,23 @@ votes AS (SELECT doc_id, prediction, count(prediction) AS votes, min(pos) AS fir
           FROM documents LEFT JOIN sentences USING (doc_id) LEFT JOIN predicted USING (doc_id, pos) GROUP BY doc_id, prediction)
 SELECT doc_id, prediction, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""",
+    "ngram_classify": f"""WITH said AS (SELECT doc_id, lang, {words('text')} AS ws FROM documents),
+used AS (SELECT doc_id, lang, false AS pair, unnest(ws) AS gram FROM said
+    UNION ALL SELECT doc_id, lang, true, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM said),
+kept AS (SELECT gram, pair FROM used GROUP BY gram, pair ORDER BY count(*) DESC, pair, gram LIMIT {MAX_GRAMS}),
+counts AS (SELECT k.gram, k.pair, l.lang, count(u.gram) AS n FROM kept k CROSS JOIN (SELECT DISTINCT lang FROM documents) l
+    LEFT JOIN used u ON u.gram = k.gram AND u.pair = k.pair AND u.lang = l.lang GROUP BY k.gram, k.pair, l.lang),
+sizes AS (SELECT lang, (sum(n) + count(*))::DOUBLE AS t FROM counts WHERE NOT pair GROUP BY lang),
+weights AS (SELECT c.gram, c.pair, c.lang, CASE WHEN NOT c.pair THEN ln((c.n + 1) / t) WHEN c.n = 0 THEN 0
+        ELSE ln(c.n / f.n) - ln({BACKOFF}::DOUBLE) - ln((g.n + 1) / t) END AS w
+    FROM counts c JOIN sizes USING (lang)
+    LEFT JOIN counts f ON c.pair AND NOT f.pair AND f.lang = c.lang AND f.gram = split_part(c.gram, ' ', 1)
+    LEFT JOIN counts g ON c.pair AND NOT g.pair AND g.lang = c.lang AND g.gram = split_part(c.gram, ' ', 2)),
+scores AS (SELECT u.doc_id, s.lang, sum(coalesce(w.w, CASE WHEN u.pair THEN 0 ELSE -ln(s.t) END)) AS score
+    FROM (SELECT doc_id, gram, pair FROM used) u CROSS JOIN sizes s
+    LEFT JOIN weights w ON w.gram = u.gram AND w.pair = u.pair AND w.lang = s.lang GROUP BY u.doc_id, s.lang),
+best AS (SELECT doc_id, lang FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 8) DESC, lang) = 1)
+SELECT doc_id, best.lang AS prediction FROM documents LEFT JOIN best USING (doc_id)""",
     "token_filter": f"SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM ({KEPT})",
     "lemma_lookup": f"""WITH kept AS ({KEPT}), lemmas(form, lemma) AS (VALUES {LEMMA_VALUES}),
 long AS (SELECT doc_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS t FROM kept),

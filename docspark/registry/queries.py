@@ -13,6 +13,7 @@ from docspark.functions.tokens import filter_tokens, sentences
 from docspark.models.features import dense_topics, drop_small, fit_topics, fit_vectors, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
+from docspark.models.ngram import fit_ngrams
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.rows import keep_rows
@@ -154,6 +155,11 @@ def sentence_vote(spark, folder):
     return sequence.vote_by_sentence(docs, "doc_id", "text", lambda rows: model.transform(rows, "sentence", "label"))
 
 
+def ngram_classify(spark, folder):
+    docs = documents(spark, folder, "doc_id", "lang", "text")
+    return fit_ngrams(docs, "text", "lang").predict(docs, ["doc_id"], "text")
+
+
 # ---- tokens, vocabulary, sequences --------------------------------------------------------------
 
 
@@ -482,6 +488,7 @@ QUERIES = {
     "lang_report": lang_report,
     "sentence_split": sentence_split,
     "sentence_vote": sentence_vote,
+    "ngram_classify": ngram_classify,
     "token_filter": token_filter,
     "lemma_lookup": lemma_lookup,
     "vocab_df": vocab_df,

@@ -5,6 +5,7 @@ from statistics import mode
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot, target_index
@@ -133,3 +134,18 @@ def test_mean_of_means_differs_with_a_short_batch(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 6.0), (1, None)], "batch_id int, loss double")
     assert tuple(epoch_loss(df).first()) == (2, 3.75)
     assert tuple(mean_loss(df).first()) == (3, 3.0)
+
+
+def test_weighted_rows_equal_mllibs(spark):
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(4)), float(rng.randrange(5))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    report = {row["class"]: row for row in classification_report(pair_counts(df)).collect()}
+    for metric, row, column in (
+        ("accuracy", "accuracy", "f1"),
+        ("weightedPrecision", "weighted avg", "precision"),
+        ("weightedRecall", "weighted avg", "recall"),
+        ("f1", "weighted avg", "f1"),
+    ):
+        value = MulticlassClassificationEvaluator(metricName=metric).evaluate(df)
+        assert report[row][column] == pytest.approx(value)
