@@ -41,7 +41,7 @@ def as_text(value: Column, null_as: str | None = None) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
 
 
 def grams(text: Column, size: int) -> Column:
@@ -56,7 +56,7 @@ def first_words(text: Column, count: int) -> Column:
     Only the first piece of a split can be empty, so one spare piece is enough.
     """
     pieces = F.slice(F.split(F.lower(text), NON_WORD, count + 2), 1, count + 1)
-    return F.slice(F.filter(pieces, lambda word: word != ""), 1, count)
+    return F.slice(F.array_remove(pieces, ""), 1, count)
 
 
 def _normal(token: Column, stops: list[str]) -> Column:

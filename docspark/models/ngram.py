@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scores import argmax
@@ -37,15 +37,18 @@ class NgramModel:
         are formed before the shuffle, which moves one row of scores per text.
         """
         ranks = range(len(self.labels))
-        joined = df.select(*keys, F.explode_outer(_grams(F.col(text))).alias("_gram")).select(
-            *keys, F.col("_gram.gram").alias("gram"), F.col("_gram.pair").alias("pair")
-        )
-        joined = joined.join(F.broadcast(self.weights), ["gram", "pair"], "left")
-        missing = [F.when(F.col("pair"), 0.0).when(F.col("gram").isNotNull(), self.unknown[i]) for i in ranks]
-        sums = [F.sum(F.coalesce(F.col(f"w_{i}"), missing[i])).alias(f"s_{i}") for i in ranks]
+        names = [f"w_{i}" for i in ranks]
+        alone = self.weights.filter(~F.col("pair")).select(F.col("gram").alias("word"), *names)
+        pairs = self.weights.filter("pair").select(F.col("gram").alias("two"), *[F.col(n).alias(f"p{n}") for n in names])
+        rows = _word_rows(df, text, *keys, outer=True)
+        rows = rows.join(F.broadcast(alone), "word", "left").join(F.broadcast(pairs), "two", "left")
+        # A row without a word stands for a text without one and scores nothing.
+        unknown = [F.when(F.col("word").isNotNull(), self.unknown[i]) for i in ranks]
+        each = [F.coalesce(f"w_{i}", unknown[i]) + F.coalesce(f"pw_{i}", F.lit(0.0)) for i in ranks]
+        sums = [F.sum(value).alias(f"s_{i}") for i, value in enumerate(each)]
         scores = F.array(*[F.round(f"s_{i}", 8) for i in ranks])
         label = F.get(label_array(self.labels), argmax(scores))
-        return joined.groupBy(*keys).agg(*sums).select(*keys, label.alias(output))
+        return rows.groupBy(*keys).agg(*sums).select(*keys, label.alias(output))
 
     def save(self, path: str) -> None:
         """Write the weights, and the labels with their unknown-word weights, below ``path``."""
@@ -62,16 +65,13 @@ class NgramModel:
         return cls(weights, [row.unknown for row in rows], [row.label for row in rows])
 
 
-def _grams(text: Column) -> Column:
-    """Words and neighbouring pairs as structs ``gram, pair``."""
-    found = words(text)
-    firsts = F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))
-    seconds = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
-    pairs = F.zip_with(firsts, seconds, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(
-        F.transform(found, lambda word: F.struct(word.alias("gram"), F.lit(False).alias("pair"))),
-        F.transform(pairs, lambda pair: F.struct(pair.alias("gram"), F.lit(True).alias("pair"))),
-    )
+def _word_rows(df: DataFrame, text: str, *keep: str, outer: bool = False) -> DataFrame:
+    """``keep, word, two``: a row per word, with the pair it forms with the word before it, if any."""
+    spread_out = F.posexplode_outer if outer else F.posexplode
+    rows = df.select(*keep, words(F.col(text)).alias("_words"))
+    rows = rows.select(*keep, "_words", spread_out("_words").alias("_pos", "word"))
+    before = F.when(F.col("_pos") > 0, F.get("_words", F.col("_pos") - 1))
+    return rows.select(*keep, "word", F.concat(before, F.lit(" "), F.col("word")).alias("two"))
 
 
 def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int = MAX_GRAMS) -> NgramModel:
@@ -82,10 +82,13 @@ def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int = MAX_GRA
     """
     labels = fit_labels(df, category)
     ranks = range(len(labels))
-    found = df.filter(F.col(category).isin(labels)).select(
-        F.col(category).alias("_class"), F.explode(_grams(F.col(text))).alias("_gram")
+    found = _word_rows(df.filter(F.col(category).isin(labels)), text, category)
+    both = F.array(
+        F.struct(F.col("word").alias("gram"), F.lit(False).alias("pair")),
+        F.struct(F.col("two").alias("gram"), F.lit(True).alias("pair")),
     )
-    counts = found.groupBy("_gram.gram", "_gram.pair").agg(
+    found = found.select(F.col(category).alias("_class"), F.inline(both)).filter(F.col("gram").isNotNull())
+    counts = found.groupBy("gram", "pair").agg(
         *[F.count(F.when(F.col("_class") == label, True)).alias(f"n_{i}") for i, label in enumerate(labels)]
     )
     total = sum((F.col(f"n_{i}") for i in ranks[1:]), F.col("n_0"))
