@@ -1,0 +1 @@
+"""Domain classification of large text collections as Spark jobs."""

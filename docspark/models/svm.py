@@ -91,11 +91,14 @@ def fit_kernel_svm(
     scheme: str = "rest",
     max_iter: int = 50,
     seed: int = 7,
+    at_once: int = 4,
 ) -> KernelMachine:
     """Fit on a feature vector and class indexes 0..k-1 (as doubles, k >= 2).
 
     ``gamma`` defaults to ``1 / (d * var)``. ``scheme="rest"`` fits one machine per class,
     ``"pairs"`` one per pair of classes on the rows of the two, as the exact solver does.
+    ``at_once`` machines are fitted side by side, each with its own cached blocks of the rows; set
+    it to 1 where those blocks would fill the cluster.
     """
     counts = {int(row[label]): row["count"] for row in df.groupBy(label).count().collect()}
     classes = max(counts) + 1
@@ -108,7 +111,8 @@ def fit_kernel_svm(
     try:
         if scheme == "rest":
             machine = _machine(sum(counts.values()), cost, max_iter)
-            machines = OneVsRest(classifier=machine, featuresCol="_fourier", labelCol=label, parallelism=4).fit(mapped).models
+            rest = OneVsRest(classifier=machine, featuresCol="_fourier", labelCol=label, parallelism=at_once)
+            machines = rest.fit(mapped).models
         elif scheme == "pairs":
             machines = _fit_pairs(mapped, label, counts, classes, cost, max_iter)
         else:

@@ -30,9 +30,9 @@ def report_labels(pairs: DataFrame) -> DataFrame:
 def unseen_predictions(pairs: DataFrame) -> DataFrame:
     """Predicted classes that no truth has, with how many rows they take out of a truth-only matrix."""
     zero = F.lit(0).cast("bigint")
-    sides = pairs.select(
-        F.inline(F.array(_side("label", predicted=zero, true=F.lit(True)), _side("prediction", predicted="n", true=F.lit(False))))
-    )
+    truths = _side("label", predicted=zero, true=F.lit(True))
+    guesses = _side("prediction", predicted="n", true=F.lit(False))
+    sides = pairs.select(F.inline(F.array(truths, guesses)))
     return (
         sides.groupBy(F.col("name").alias("prediction"))
         .agg(F.sum("predicted").alias("n"), F.bool_or("true").alias("seen"))
@@ -52,16 +52,23 @@ def confusion_matrix(pairs: DataFrame, labels: str | list = "truth") -> DataFram
     """``label, prediction, n`` for every pair of classes, zero-filled.
 
     ``labels`` is ``"truth"`` (pairs with a class that no truth has vanish), ``"union"`` or a
-    fitted list. The pairs travel in one array of at most k x k entries, k classes.
+    fitted list. The pairs and as many zeros as the matrix has cells travel in one array, so the
+    rows behind them are read once.
     """
     gathered = pairs.agg(
         _class_list(pairs, labels).alias("classes"),
         F.collect_list(F.struct("label", "prediction", "n")).alias("pairs"),
     )
-    grid = gathered.select("classes", "pairs", F.explode("classes").alias("label"))
-    grid = grid.select("pairs", "label", F.explode("classes").alias("prediction"))
-    hits = F.filter("pairs", lambda p: (p["label"] == F.col("label")) & (p["prediction"] == F.col("prediction")))
-    return grid.select("label", "prediction", F.coalesce(F.get(hits, F.lit(0))["n"], F.lit(0)).alias("n"))
+    known = F.filter(
+        "pairs",
+        lambda p: F.array_contains(F.col("classes"), p["label"]) & F.array_contains(F.col("classes"), p["prediction"]),
+    )
+    zero = F.lit(0).cast("bigint").alias("n")
+    cells = gathered.select(known.alias("known"), "classes", F.explode("classes").alias("label"))
+    row = F.transform("classes", lambda name: F.struct(F.col("label"), name.alias("prediction"), zero))
+    own = F.filter("known", lambda p: p["label"] == F.col("label"))
+    rows = cells.select(F.inline(F.concat(own, row)))
+    return rows.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def confusion_wide(pairs: DataFrame, labels: list, prefix: str = "p") -> DataFrame:

@@ -84,7 +84,8 @@ def folder(tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     write(source, "#category#legal#targetid#007#.xlf", BASIC)
-    german = BASIC.replace("The <g id=\"1\">red</g> house &amp;amp; garden", "das rote haus").replace("the old mill&lt;/b&gt; by the river", "am fluss")
+    german = BASIC.replace('The <g id="1">red</g> house &amp;amp; garden', "das rote haus")
+    german = german.replace("the old mill&lt;/b&gt; by the river", "am fluss")
     write(source, "#category#tourism#.xlf", german)
     write(source, "unlabelled.xlf", BASIC)
     return source

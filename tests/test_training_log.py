@@ -86,5 +86,7 @@ def test_curve_reports_and_state_across_epochs(spark):
     assert [row[:2] for row in got] == [row[:2] for row in expected]
     for mine, theirs in zip(got, expected):
         assert mine[2:] == pytest.approx(theirs[2:], abs=6e-5)
-    stop = early_stop(spark.createDataFrame([("r", 0, 1, 0.5), ("r", 0, 2, 0.5), ("r", 1, 3, 0.4)], "run string, epoch int, place long, accuracy double"), "run", "place", 2)
+    rows = [("r", 0, 1, 0.5), ("r", 0, 2, 0.5), ("r", 1, 3, 0.4)]
+    curve = spark.createDataFrame(rows, "run string, epoch int, place long, accuracy double")
+    stop = early_stop(curve, "run", "place", 2)
     assert [(row.epoch, row.place, row.peak) for row in stop.collect()] == [(1, 3, 0.5)]

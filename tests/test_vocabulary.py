@@ -62,8 +62,10 @@ def test_lookup_is_the_same_by_broadcast_and_by_join(spark, max_rows):
 
 
 def test_join_lookup_with_a_term_in_most_of_the_text(spark):
-    rng_terms = ["hot"] * 7 + ["gone"] * 4 + [f"t{j}" for j in range(3000)]
-    rows = [(i, [rng_terms[(i * 31 + j * j) % len(rng_terms)] if j % 2 else ("hot" if j % 4 else "gone") for j in range(40)]) for i in range(200)]
+    def token(i, j):
+        return f"t{(i * 31 + j * j) % 3000}" if j % 2 else ("hot" if j % 4 else "gone")
+
+    rows = [(i, [token(i, j) for j in range(40)]) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
     table = spark.createDataFrame([("hot", 1)] + [(f"t{j}", j + 10) for j in range(0, 3000, 2)], "term string, value int")
     known = {row.term: row.value for row in table.collect()}
