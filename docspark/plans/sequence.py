@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.scores import argmax, cross_entropy, decode_label, one_hot, target_index
 from docspark.functions.sequences import FIRST_ID, UNK, pad_sequence
 from docspark.functions.tokens import as_text, first_words, sentences, words
-from docspark.operators.evaluate import majority_vote
+from docspark.operators.evaluate import classification_report, confusion_matrix, majority_vote, mean_loss, pair_counts
+from docspark.operators.labels import encode_label, label_array
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.vocabulary import KEEP_TERMS, document_frequency, number_terms, top_terms
+from docspark.session import materialize
 
 
 def word_vocabulary(docs: DataFrame, text: str, keep: int = KEEP_TERMS) -> DataFrame:
@@ -46,12 +49,34 @@ def vote_by_sentence(
 ) -> DataFrame:
     """Score every sentence and vote per document; a document without sentences gets null.
 
-    ``score`` adds a ``label`` column to rows ``key, pos, sentence``.
+    ``score`` turns rows ``key, pos, sentence`` into rows with ``key, pos, label``; what it makes of the
+    null sentence of an empty document does not count.
     """
     scored = score(sentence_rows(docs, key, text, protect))
+    scored = scored.withColumn("label", F.when(F.col("pos").isNotNull(), F.col("label")))
     return majority_vote(scored, key, "label", "pos")
 
 
 def score_sequences(sequences: DataFrame, scorer: Callable[[Column, Column, Column], Column], output: str = "scores") -> DataFrame:
     """Apply a scorer of the three sequence columns to every row."""
     return sequences.withColumn(output, scorer(F.col("ids"), F.col("mask"), F.col("token_type_ids")))
+
+
+def evaluate_scores(
+    scored: DataFrame, category: str, labels: list[str], scores: str = "scores", unknown: str = "class0"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mean loss, report and confusion matrix of scored documents, as validation prints them.
+
+    A category that is not among the fitted ``labels`` has no label; its loss follows ``unknown``. The
+    report covers classes of truth and prediction, the matrix those of the truth. The scores are
+    computed once: labels, predictions and losses are written before the three results read them.
+    """
+    names = label_array(labels)
+    rows = scored.select(
+        decode_label(encode_label(F.col(category), labels), names).alias("label"),
+        decode_label(argmax(F.col(scores)), names).alias("prediction"),
+        cross_entropy(F.col(scores), target_index(one_hot(F.col(category), names), unknown)).alias("loss"),
+    )
+    rows = materialize(rows, "scored")
+    pairs = pair_counts(rows)
+    return mean_loss(rows), classification_report(pairs), confusion_matrix(pairs)

@@ -260,8 +260,9 @@ SELECT doc_id, array_to_string(ids, ' ') AS ids FROM id_lists""",
     "sequence_vote": f"""WITH {IDS}, sentences AS ({SENTENCES}), {ids('sentences', 'doc_id, pos', 'sentence', q.SENTENCE_LEN)},
 scored AS (SELECT doc_id, pos, list_transform(range(1, 5), lambda k: list_sum([sin(x * k) FOR x IN list_concat([0], ids, [2])])) AS scores
     FROM id_lists),
-votes AS (SELECT doc_id, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS prediction, count(*) AS votes, min(pos) AS first
-    FROM scored GROUP BY ALL)
+labelled AS (SELECT doc_id, pos, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS prediction FROM scored),
+votes AS (SELECT doc_id, prediction, count(prediction) AS votes, min(pos) AS first
+    FROM documents LEFT JOIN labelled USING (doc_id) GROUP BY doc_id, prediction)
 SELECT doc_id, prediction, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""",
     "doc_prefix": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10",

@@ -17,7 +17,7 @@ from docspark.models.ngram import fit_ngrams
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.rows import keep_rows
-from docspark.plans import classical, sequence
+from docspark.plans import classical, sequence, training
 from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
 from docspark.session import fresh_path, materialize, spread
 from docspark.sources.documents import read_documents_csv, write_documents_csv
@@ -394,27 +394,24 @@ def file_batch(spark, folder):
     return training_log.file_batches(table(spark, folder, "documents").select("doc_id"), "doc_id", BATCH)
 
 
-def event_curve(spark, folder):
+def event_log(spark, folder):
     """Events as a training log: a run per user, an epoch per half of the month, a step per event."""
-    log = table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("run"),
         F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).cast("bigint").alias("epoch"),
-        "event_id",
+        F.col("event_id").alias("place"),
         F.col("value").alias("loss"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("n_correct"),
         F.lit(1).alias("n"),
     )
-    steps = training_log.number_steps(log, ["run", "epoch"], "event_id", "loss", "n_correct", "n")
-    return training_log.training_curve(steps, ["run", "epoch"], "event_id", REPORT_EVERY)
 
 
 def training_curve(spark, folder):
-    return event_curve(spark, folder).drop("event_id")
+    return training.curve_of_log(event_log(spark, folder), every=REPORT_EVERY).drop("place")
 
 
 def early_stop(spark, folder):
-    curve = materialize(event_curve(spark, folder), "curve")
-    stops = training_log.early_stop(curve, "run", "event_id", PATIENCE)
+    stops = training.stops_of_log(event_log(spark, folder), patience=PATIENCE, every=REPORT_EVERY)
     return stops.select("run", "epoch", "step", "loss", "accuracy", "peak")
 
 

@@ -37,7 +37,10 @@ def named_text(files: DataFrame) -> DataFrame:
 
 
 def file_text(content: Column | str) -> Column:
-    """Bytes as text: UTF-16 with a byte order mark, else UTF-8; bad bytes never fail the job."""
+    """Bytes as text: UTF-16 with a byte order mark, else UTF-8; bad bytes never fail the job.
+
+    Files in a single-byte encoding lose their characters beyond ASCII here, which cleaning drops anyway.
+    """
     content = F.col(content) if isinstance(content, str) else content
     mark = F.hex(F.substring(content, 1, 2))
     utf8 = F.make_valid_utf8(content.cast("string"))

@@ -4,7 +4,14 @@ from pyspark.sql import functions as F
 
 from docspark.functions.sequences import pad_sequence, subword_ids
 from docspark.models.head import sequence_scorer
-from docspark.plans.sequence import score_sequences, sequence_rows, sentence_rows, vote_by_sentence, word_vocabulary
+from docspark.plans.sequence import (
+    evaluate_scores,
+    score_sequences,
+    sentence_rows,
+    sequence_rows,
+    vote_by_sentence,
+    word_vocabulary,
+)
 
 BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -42,6 +49,8 @@ def test_sentence_vote_ties_and_empty_documents(spark):
     votes = {row.doc_id: row.prediction for row in vote_by_sentence(docs, "doc_id", "text", score).collect()}
     assert votes == {1: "x", 2: "y", 3: None, 4: None, 5: "y"}
     assert sentence_rows(docs, "doc_id", "text").count() == 9
+    always = vote_by_sentence(docs, "doc_id", "text", lambda rows: rows.withColumn("label", F.lit("z")))
+    assert {row.doc_id: row.prediction for row in always.collect()} == {1: "z", 2: "z", 3: None, 4: None, 5: "z"}
 
 
 def test_scoring_of_sequences(spark):
@@ -65,3 +74,21 @@ def test_subword_ids_decode_to_the_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = df.select("i", subword_ids(spark, BPE)("t").alias("ids")).collect()
     assert {row.i: tokenizer.decode(row.ids) for row in rows} == dict(enumerate(texts))
+
+
+def test_validation_of_scores(spark):
+    rows = [("a", [2.0, 0.0]), ("b", [1.0, 0.0]), ("b", [0.0, 3.0]), ("new", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "category string, scores array<double>")
+
+    def loss(scores, target):
+        return np.log(np.exp(scores).sum()) - scores[target]
+
+    known = [loss(np.array(s), "ab".index(c)) for c, s in rows[:3]]
+    for unknown, expected in (("class0", known + [loss(np.array(rows[3][1]), 0)]), ("skip", known)):
+        mean, report, matrix = evaluate_scores(df, "category", ["a", "b"], unknown=unknown)
+        row = mean.first()
+        assert row.n_docs == len(expected) and row.loss == pytest.approx(np.mean(expected))
+    assert {tuple(row) for row in matrix.collect()} == {("a", "a", 1), ("a", "b", 0), ("b", "a", 1), ("b", "b", 1)}
+    assert {row["class"]: row.support for row in report.collect()} == {
+        "a": 1, "b": 2, "accuracy": 3, "macro avg": 3, "weighted avg": 3,
+    }

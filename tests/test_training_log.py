@@ -13,6 +13,7 @@ from docspark.operators.training_log import (
     shuffled_batches,
     training_curve,
 )
+from docspark.plans.training import stops_of_log
 
 
 @pytest.mark.parametrize("width", [1, 7, 1_000_000])
@@ -90,3 +91,11 @@ def test_curve_reports_and_state_across_epochs(spark):
     curve = spark.createDataFrame(rows, "run string, epoch int, place long, accuracy double")
     stop = early_stop(curve, "run", "place", 2)
     assert [(row.epoch, row.place, row.peak) for row in stop.collect()] == [(1, 3, 0.5)]
+
+
+def test_stops_of_a_log(spark):
+    """Accuracy falls after the first report, so the run stops with the second miss."""
+    log = [("r", step // 30, step, 0.5, int(step < 4), 1) for step in range(60)]
+    df = spark.createDataFrame(log, "run string, epoch int, place long, loss double, n_correct int, n int")
+    stop = stops_of_log(df, patience=2, every=10).collect()
+    assert [(row.epoch, row.step, row.place, row.accuracy, row.peak) for row in stop] == [(1, 10, 40, 0.0, 0.3636)]
