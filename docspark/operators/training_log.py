@@ -28,7 +28,8 @@ def running(
     """Add running sums and maxima per key, up to and including each row.
 
     ``order`` is a non-negative integer, unique within a key. A block holds at most ``width`` rows
-    of a key; the windows see one block, or one row per block of a key.
+    of a key; the windows see one block, or one row per block of a key. The default suits row and
+    step numbers; for numbers with large gaps give a ``width`` as much larger.
     """
     named = [(name, column, F.sum) for name, column in (sums or {}).items()]
     named += [(name, column, F.max) for name, column in (maxima or {}).items()]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions.tokens import filter_tokens
+from docspark.functions.tokens import ENGLISH_STOP_WORDS, filter_tokens
 from docspark.models.features import TOPICS, VECTOR_SIZE, TopicScores, fit_topics, fit_vectors
 from docspark.models.svm import fit_kernel_svm
 from docspark.operators.evaluate import classification_report, confusion_matrix, pair_counts
 from docspark.operators.labels import encode_label, fit_labels, label_array
+from docspark.operators.lookup import lookup_terms
 from docspark.operators.vocabulary import bag_model
 from docspark.session import materialize
 
@@ -23,11 +26,11 @@ class DomainModel:
         self.stages = stages
         self.labels = labels
 
-    def transform(self, docs: DataFrame, tokens: Column, output: str = "prediction") -> DataFrame:
-        """Add the predicted category of each row."""
-        scored = self.stages.transform(docs.withColumn("tokens", tokens))
+    def transform(self, docs: DataFrame, output: str = "prediction") -> DataFrame:
+        """Replace ``tokens`` by the predicted category of each row."""
         label = F.get(label_array(self.labels), F.col("class").cast("int"))
-        return scored.select(*docs.columns, label.alias(output))
+        kept = [name for name in docs.columns if name != "tokens"]
+        return self.stages.transform(docs).select(*kept, label.alias(output))
 
     def save(self, path: str) -> None:
         """Write the stages and the label list below ``path``."""
@@ -41,6 +44,21 @@ class DomainModel:
         return cls(PipelineModel.load(f"{path}/stages"), [row.label for row in rows])
 
 
+def document_tokens(
+    docs: DataFrame,
+    text: str,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    lemmas: DataFrame | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Add ``tokens``: the filtered tokens, each replaced by its lemma where ``lemmas(term, value)`` has it.
+
+    ``keys`` tell the rows apart; they are needed with lemmas only.
+    """
+    rows = docs.withColumn("tokens", filter_tokens(F.col(text), stop_words))
+    return rows if lemmas is None else lookup_terms(rows, list(keys), "tokens", lemmas, "tokens")
+
+
 def document_features(tokens: DataFrame, topics: int = TOPICS, vector_size: int = VECTOR_SIZE, seed: int = 7, **limits) -> list:
     """Fit the stages from ``tokens`` to ``features``: topic scores followed by the document vector.
 
@@ -71,23 +89,26 @@ def fit_domain_model(
     scheme: str = "rest",
     seed: int = 7,
     limits: dict | None = None,
+    words: dict | None = None,
     **svm,
 ) -> DomainModel:
-    """Fit on labelled documents. Tokens and features are written once and read by every fit."""
+    """Fit on labelled documents. Tokens and features are written once and read by every fit.
+
+    ``words`` are the arguments of ``document_tokens``, ``limits`` those of the vocabulary.
+    """
     labels = fit_labels(docs, category)
-    rows = docs.select(
-        encode_label(F.col(category), labels).cast("double").alias("label"), filter_tokens(F.col(text)).alias("tokens")
-    )
-    tokens = materialize(rows.filter(F.col("label").isNotNull()), "tokens")
+    known = docs.filter(F.col(category).isNotNull())
+    label = encode_label(F.col(category), labels).cast("double").alias("label")
+    tokens = materialize(document_tokens(known, text, **(words or {})).select(label, "tokens"), "tokens")
     stages = document_features(tokens, topics, vector_size, seed, **(limits or {}))
     features = materialize(PipelineModel(stages).transform(tokens).select("label", "features"), "features")
     machine = fit_kernel_svm(features, scheme=scheme, seed=seed, **svm)
     return DomainModel(PipelineModel([*stages, machine]), labels)
 
 
-def predict_domains(docs: DataFrame, model: DomainModel, text: str) -> DataFrame:
-    """Add ``prediction`` to documents, with the token filter of the fit."""
-    return model.transform(docs, filter_tokens(F.col(text)))
+def predict_domains(docs: DataFrame, model: DomainModel, text: str, words: dict | None = None) -> DataFrame:
+    """Add ``prediction`` to documents; ``words`` must be those of the fit."""
+    return model.transform(document_tokens(docs, text, **(words or {})))
 
 
 def evaluate_domains(predicted: DataFrame, category: str, model: DomainModel) -> tuple[DataFrame, DataFrame]:

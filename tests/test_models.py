@@ -17,7 +17,7 @@ from docspark.models.features import (
 from docspark.models.head import fit_head
 from docspark.models.svm import KernelMachine, fit_kernel_svm
 from docspark.operators.vocabulary import bag_model
-from docspark.plans.classical import DomainModel, evaluate_domains, fit_domain_model, predict_domains
+from docspark.plans.classical import DomainModel, document_tokens, evaluate_domains, fit_domain_model, predict_domains
 
 TOPICS = {
     "banking": "bank loan interest account credit money payment".split(),
@@ -87,6 +87,13 @@ def test_domain_model_end_to_end(spark, docs, tmp_path):
     assert report.count() == 6 and matrix.agg(F.sum("n")).first()[0] == 90
 
 
+def test_tokens_with_own_stop_words_and_lemmas(spark):
+    df = spark.createDataFrame([(1, "The banks lend 20"), (2, None)], "doc_id long, text string")
+    lemmas = spark.createDataFrame([("banks", "bank")], "term string, value string")
+    rows = document_tokens(df, "text", ["lend"], lemmas, ["doc_id"]).orderBy("doc_id").collect()
+    assert [row.tokens for row in rows] == [["the", "bank", "NUM"], []]
+
+
 def tokens_of(docs):
     return docs.select("doc_id", "category", F.split("text", " ").alias("tokens"))
 
