@@ -42,6 +42,13 @@ def test_odd_markup_never_fails(spark):
     assert units(spark, ODD) == ["prefixed   one", "", "a < b &amp; <i>c</i> d", "yes A", ""]
 
 
+def test_a_very_long_unit(spark):
+    text = "word <g id='1'>x</g> and more " * 40_000
+    unit = f"<trans-unit id='1'><source>{text}<![CDATA[{text}]]></source><alt-trans/></trans-unit>"
+    plain = "word x and more " * 40_000
+    assert units(spark, unit * 2) == [plain + text] * 2
+
+
 def test_labels_of_names(spark):
     names = [
         "#category#legal#subcategory#tax#targetid#0012#.xlf",
