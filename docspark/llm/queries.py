@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact, lines, mixing, secret_scan, token_files
+from docspark.llm import decontaminate, exact, lines, minhash, mixing, secret_scan, token_files, toxicity
 from docspark.llm.common import table
 
+#: Probability of the highest grade from which a document is rejected.
+REJECT = 0.5
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -37,13 +39,28 @@ def op5_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_from_labels(docs, toxicity.graded_labels(table(spark, folder, "labels")))
+    scored = toxicity.with_severity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "toxicity.severity", F.col("toxicity.top").alias("p_toxic"), (F.col("toxicity.top") >= REJECT).alias("rejected"))
+
+
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("text_key")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     report = token_files.token_report(spark, table(spark, folder, "documents"), tokenizer_path())
     return report.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op4_lines, op5_exact, op10_token_files)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op4_lines, op5_exact, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {
