@@ -63,15 +63,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 SPAN = 1 << 20
 _values = [mixed(np.arange(1, 257, dtype="uint64") * np.uint64(k)) for k in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(factor: int, n: int) -> np.ndarray:
     """The first ``n`` powers of an odd factor modulo 2**64."""
-    if len(_powers.get((factor, 0), ())) < n:
+    if len(_powers.get(factor, ())) < n:
         with np.errstate(over="ignore"):
-            _powers[factor, 0] = np.cumprod(np.concatenate([[1], np.full(n - 1, factor)]).astype("uint64"), dtype="uint64")
-    return _powers[factor, 0][:n]
+            steps = np.full(n, factor, "uint64")
+            steps[0] = 1
+            _powers[factor] = np.cumprod(steps, dtype="uint64")
+    return _powers[factor][:n]
 
 
 def prefix_sums(data: np.ndarray, which: int = 0, values: np.ndarray | None = None) -> np.ndarray:
