@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, exact, lines, minhash, mixing, secret_scan, token_files, toxicity
+from docspark.llm import decontaminate, exact, lines, minhash, mixing, repeats, secret_scan, token_files, toxicity
 from docspark.llm.common import table
 
 #: Probability of the highest grade from which a document is rejected.
@@ -39,6 +39,11 @@ def op5_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -60,7 +65,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op4_lines, op5_exact, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op4_lines, op5_exact, op6_repeats, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {
