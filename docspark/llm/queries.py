@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, exact, lines, minhash, mixing, repeats, secret_scan, token_files, toxicity
+from docspark.llm import decontaminate, exact, language_model, lines, minhash, mixing, repeats, secret_scan, token_files, toxicity
 from docspark.llm.common import table
 
 #: Probability of the highest grade from which a document is rejected.
@@ -30,6 +30,10 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.span_report(secret_scan.scan_secrets(table(spark, folder, "documents")))
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_documents(table(spark, folder, "documents"))
+
+
 def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -65,7 +69,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op4_lines, op5_exact, op6_repeats, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_language_model, op4_lines, op5_exact, op6_repeats, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {
