@@ -17,7 +17,7 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = 17
 #: Rows that one sorted group holds on average; groups grow in number, not in size.
-GROUP_ROWS = 5_000
+GROUP_ROWS = 500
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
