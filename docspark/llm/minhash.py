@@ -231,16 +231,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(blocks)
     roots = components(joined) if not blocks.isEmpty() else roots
     classed = rows.join(roots.withColumnRenamed("node", "bag"), "bag", "left")
-    classed = classed.select("doc_id", "text_key", F.coalesce("root", "bag").alias("class"))
+    classed = materialize(classed.select("doc_id", "text_key", F.coalesce("root", "bag").alias("class")), "classed")
     classes = classed.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("class_size"))
-    out = classed.join(classes, "class", "left").select(
+    classes = materialize(classes, "classes")  # a join of two tables, whose large classes are split at run time
+    return classed.join(classes, "class", "left").select(
         "doc_id",
         "text_key",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (F.col("class").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))).alias("kept"),
     )
-    return out
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
