@@ -3,21 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspark.llm import decontaminate, minhash, mixing, token_files, toxicity
 from docspark.llm.common import table
+from docspark.llm.queries import REJECT, tokenizer_path
 from docspark.session import materialize
 
-STAGES: list = []
 
-#: The stages fit and sign documents; SQL cannot state that, tests hold them against plain versions.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit severity grades on the labelled documents among ``docs``; documents of the highest grade go."""
+    model = toxicity.fit_from_labels(docs, toxicity.graded_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.with_severity(docs, model, name="_toxicity")
+    return scored.where(F.col("_toxicity.top") < REJECT).drop("_toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return minhash.first_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mix_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix; a row for each document in them."""
+    return token_files.token_report(spark, docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("token_files", write_tokens),
+]
+
+#: The stages fit models and sign documents; SQL cannot state that, tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each to what the one before has written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
