@@ -61,7 +61,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 # Polynomial hashes of byte strings, for whole arrays at once. With S[i] = sum of value[byte j] * F**-j
 # over j < i (mod 2**64), the string from a to b has the hash (S[b] - S[a]) * F**a, wherever it stands.
 FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
-SPAN = 1 << 20
+SPAN = 1 << 18
 _values = [mixed(np.arange(1, 257, dtype="uint64") * np.uint64(k)) for k in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
 _powers: dict[int, np.ndarray] = {}
 

@@ -21,7 +21,7 @@ PHRASE = 100
 #: One row in so many is parsed beforehand to find crowded cores, those with so many phrases there.
 SAMPLE, CROWD = 64, 50
 #: Bytes that are parsed at a time; longer texts are parsed in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _PHRASE = np.dtype([("core", "<u8"), ("whole", "<u8"), ("row", "<u4"), ("start", "<u4"), ("starts", "<u2"), ("many", "u1")])
 _PLACE = np.dtype([("row", "<u4"), ("start", "<u4"), ("starts", "<u2")])
@@ -115,12 +115,18 @@ def dictionary_rows(docs: DataFrame, shards: int, length: int, phrase: int, crow
     stands in very many texts, are dealt out by all their bytes instead of by their core.
     """
 
+    def packed(out: list, part: int) -> pa.RecordBatch:
+        shard, kind, base, data = zip(*out) if out else ([], [], [], [])
+        columns = [pa.array(shard, pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array(kind, pa.int32()), pa.array(base, pa.int64()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "part", "kind", "base", "data"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = np.stack([batch.column(0).is_null().to_numpy(False).astype("int64"), batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            out = [(part % shards, 2, row, keys.tobytes())]
+            yield packed([(part % shards, 2, row, keys.tobytes())], part)
             for found in parsed(batch, 2, length, phrase):
+                out = []
                 rows = np.zeros(len(found["start"]), _PHRASE)
                 for name in ("core", "whole", "start", "starts"):
                     rows[name] = found[name]
@@ -145,11 +151,8 @@ def dictionary_rows(docs: DataFrame, shards: int, length: int, phrase: int, crow
                 rows, shard = rows[order], shard[order]
                 cuts = np.flatnonzero(np.diff(shard)) + 1
                 out += [(int(s[0]), 0, row, r.tobytes()) for s, r in zip(np.split(shard, cuts), np.split(rows, cuts)) if len(r)]
+                yield packed(out, part)
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.binary())],
-                ["shard", "part", "kind", "base", "data"],
-            )
 
     return docs.mapInArrow(send, "shard int, part int, kind int, base long, data binary")
 
@@ -286,7 +289,7 @@ def fetch(rows: DataFrame, places: DataFrame, names: DataFrame, length: int) ->
     wanted = places.drop("doc_id", "text_key").join(names, ["part", "row"]).groupBy(*KEY).agg(F.collect_list(place).alias("places"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             data, starts = text_bytes(batch.column(0))
             lists = batch.column(1)
             flat = lists.flatten()
@@ -307,7 +310,7 @@ def cut(rows: DataFrame, runs: DataFrame, names: DataFrame, length: int) -> Data
     per_text = per_row.join(names, ["part", "row"]).groupBy(*KEY).agg(F.first("runs").alias("runs"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             lists = batch.column(2)
             flat = lists.flatten()
             ends = np.cumsum(np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(False)) if len(lists) else np.zeros(0, "int64")
