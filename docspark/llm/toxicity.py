@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from docspark.session import materialize
 #: Labelled rows per grade that a fit reads at most; the only bound of this module.
 SAMPLE_PER_GRADE = 6_000
 #: Sampled documents a word needs to become a feature, greatest share of them it may be in, penalty of a weight, steps.
-MIN_DOCS, MAX_SHARE, PENALTY, STEPS = 5, 0.2, 2e-3, 200
+MIN_DOCS, MAX_SHARE, PENALTY, STEPS = 5, 0.5, 2e-3, 200
 
 #: Lengths of the beginnings of words that are features too, so that unseen forms of a known stem count.
 STEMS = (4, 5, 6)
@@ -52,7 +54,7 @@ class SeverityModel:
         return logistic(score[:, None] - np.array(self.thresholds)[None, :])
 
 
-def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS, penalty: float = PENALTY, steps: int = STEPS) -> SeverityModel:
+def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, penalty: float = PENALTY, steps: int = STEPS) -> SeverityModel:
     """Maximum likelihood of the cumulative logistic model, with an absolute penalty on the weights.
 
     ``P(grade <= k) = logistic(threshold_k - score)``: a text's score is the sum of the weights of
@@ -70,7 +72,7 @@ def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS,
         columns.append(np.array(found, "int32"))
     row, column = np.concatenate(rows), np.concatenate(columns)
     docs = np.bincount(column, minlength=len(index))
-    kept = (docs >= min_docs) & (docs <= max(min_docs, MAX_SHARE * len(texts)))
+    kept = (docs >= min_docs) & (docs <= max(min_docs, max_share * len(texts)))
     use = kept[column]
     number = np.cumsum(kept) - 1
     weight = np.where((grades == 0) | (grades == top), 1.0, INNER_WEIGHT)
@@ -124,15 +126,13 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = materialize(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade"), "labelled")
 
-    def fit(batches):
-        parts = list(batches)
-        frame = pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "text": [], "grade": []})
-        frame = frame.sort_values(["doc_id", "text"])
-        model = fit_severity(frame["text"].tolist(), frame["grade"].to_numpy("int64"), **options)
-        names, values = list(model.weights), list(model.weights.values())
-        yield pd.DataFrame({"word": [None] * len(model.thresholds) + names, "value": [*model.thresholds, *values]})
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = sorted((r["doc_id"], r["text"], r["grade"]) for batch in batches for r in batch.to_pylist())
+        model = fit_severity([t for _, t, _ in examples], np.array([g for _, _, g in examples], "int64"), **options)
+        words, values = [None] * len(model.thresholds) + list(model.weights), [*model.thresholds, *model.weights.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(values, pa.float64())], ["word", "value"])
 
-    found = rows.repartition(1).mapInPandas(fit, "word string, value double").collect()
+    found = rows.repartition(1).mapInArrow(fit, "word string, value double").collect()
     return SeverityModel({r["word"]: r["value"] for r in found if r["word"] is not None}, tuple(r["value"] for r in found if r["word"] is None))
 
 
