@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the original preprocessing, for callers that want its limits.
 MAX_CHARS = 1_000_000
 MAX_TOKENS = 50
 NUMBER_TOKEN = "NUM"
@@ -71,10 +72,10 @@ def _normal(token: Column, stops: list[str]) -> Column:
 def filter_tokens(
     text: Column,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
-    max_tokens: int | None = MAX_TOKENS,
-    max_chars: int | None = MAX_CHARS,
+    max_tokens: int | None = None,
+    max_chars: int | None = None,
 ) -> Column:
-    """The first ``max_tokens`` tokens that survive the filter; a null text gives an empty list.
+    """The tokens that survive the filter, or the first ``max_tokens``; a null text gives an empty list.
 
     Stop words go, runs of digits become ``NUM``, runs of letters are lower-cased, the rest goes;
     only kept tokens count. Words are cut at every character that is neither letter nor digit,

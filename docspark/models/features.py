@@ -16,12 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+# Fixed values of the original features: topics, passes, least score, vector size, window, least count.
 TOPICS = 9
 PASSES = 2
 MIN_TOPIC_SCORE = 0.01
 VECTOR_SIZE = 40
 WINDOW = 5
 MIN_COUNT = 3
+# Parts of the word vector training, and passes that let each part see its words often enough.
+PARTITIONS = 4
+VECTOR_PASSES = 2
 
 
 def fit_topics(
@@ -29,17 +33,16 @@ def fit_topics(
     features: str = "bag",
     k: int = TOPICS,
     passes: int = PASSES,
-    sample: float = 0.05,
     seed: int = 7,
 ) -> LDAModel:
-    """Online variational topics; ``passes`` over the data are ``passes / sample`` mini-batch steps."""
+    """Variational topics; every one of the ``passes`` reads all documents."""
     return LDA(
         featuresCol=features,
         topicDistributionCol="topics",
         k=k,
         optimizer="online",
-        subsamplingRate=sample,
-        maxIter=max(1, round(passes / sample)),
+        subsamplingRate=1.0,
+        maxIter=passes,
         learningOffset=1.0,
         learningDecay=0.5,
         seed=seed,
@@ -58,44 +61,32 @@ def dense_topics(pairs: Column, k: int, least: float = MIN_TOPIC_SCORE) -> Colum
     return drop_small(scores, least)
 
 
-def bounded_min_count(docs: DataFrame, tokens: str, min_count: int = MIN_COUNT, max_terms: int = 1_000_000) -> int:
-    """The least count, ``min_count`` or more, that leaves at most ``max_terms`` terms.
-
-    The trainer collects its vocabulary on the driver; this keeps that collection bounded.
-    """
-    counts = (
-        docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_count)
-    )
-    beyond = counts.orderBy(F.desc("n")).offset(max_terms).limit(1).collect()
-    return beyond[0].n + 1 if beyond else min_count
-
-
 def fit_vectors(
     docs: DataFrame,
     tokens: str = "tokens",
     size: int = VECTOR_SIZE,
     window: int = WINDOW,
     min_count: int = MIN_COUNT,
-    passes: int = 1,
-    partitions: int | None = None,
+    passes: int = VECTOR_PASSES,
+    partitions: int = PARTITIONS,
     seed: int = 7,
 ) -> Word2VecModel:
     """Word vectors; a document's vector is the mean over its words. Not paragraph vectors.
 
-    ``partitions`` (by default the parallelism of the cluster) are trained side by side and summed;
-    more of them ask for more ``passes``.
+    ``partitions`` are trained side by side and summed; more of them ask for more ``passes``. Documents
+    are dealt to them by their content, so the vectors do not depend on the cluster.
     """
+    dealt = docs.select(tokens).repartition(partitions, F.xxhash64(tokens)).sortWithinPartitions(F.xxhash64(tokens))
     return Word2Vec(
         inputCol=tokens,
         outputCol="vector",
         vectorSize=size,
         windowSize=window,
-        minCount=bounded_min_count(docs, tokens, min_count),
+        minCount=min_count,
         maxIter=passes,
-        numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
         seed=seed,
-    ).fit(docs)
+    ).fit(dealt)
 
 
 def gamma_scale(df: DataFrame, features: str) -> float:

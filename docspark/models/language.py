@@ -1,82 +1,93 @@
 """Top-1 language of a text: multinomial naive Bayes over terms, fitted on labelled texts.
 
 Stands in for a native detector with built-in tables, so its answers are not numerically those of
-that detector. Like such a table the profile is bounded: the most frequent terms of all labelled
-texts together, and the languages weigh the same. Texts that share no term with it have no language.
-Terms are words or, for scripts without spaces, runs of ``gram`` characters (Cavnar and Trenkle 1994).
+that detector. The profile is a table of all terms of the labelled texts with a weight per language;
+the languages weigh the same. Texts that share no term with it have no language. Terms are words
+or, for scripts without spaces, runs of ``gram`` characters (Cavnar and Trenkle 1994).
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.functions.scores import argmax
 from docspark.functions.tokens import NON_WORD, grams
 from docspark.operators.labels import fit_labels, label_array
-
-MAX_PROFILE_TERMS = 100_000
+from docspark.operators.lookup import join_back, join_terms
+from docspark.session import materialize
 
 
 class LanguageModel:
-    """Fitted labels with the MLlib stages that score a text; scoring shuffles nothing."""
+    """Fitted labels and the table ``term, weights`` with a log probability per label."""
 
-    def __init__(self, stages: PipelineModel, labels: list[str], gram: int | None = None):
-        self.stages = stages
+    def __init__(self, profile: DataFrame, labels: list[str], gram: int | None = None):
+        self.profile = profile
         self.labels = labels
         self.gram = gram
 
-    def transform(self, df: DataFrame, text: str, output: str = "prediction") -> DataFrame:
-        """Add the top-ranked language, null where no term is known; ties go to the first label."""
-        scored = self.stages.transform(df.withColumn("_terms", _terms(F.col(text), self.gram)))
-        known = F.size(F.unwrap_udt("_counts")["indices"]) > 0
-        label = F.when(known, F.get(label_array(self.labels), F.col("_class").cast("int")))
-        return scored.select(*df.columns, label.alias(output))
+    def transform(self, df: DataFrame, text: str, output: str = "prediction", keys: list[str] | None = None) -> DataFrame:
+        """Add the top-ranked language, null where no term is known; ties go to the first label.
+
+        ``keys`` tell the texts apart, by default all columns but the text. Terms are counted per
+        text before they meet the profile, and sums are formed before they go back to the texts.
+        """
+        keys = [c for c in df.columns if c != text] if keys is None else keys
+        terms = df.select(*keys, F.explode(_terms(F.col(text), self.gram)).alias("term")).where("term <> ''")
+        counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("_n"))
+        known = join_terms(counts, self.profile, "term", keys)
+        ranks = range(len(self.labels))
+        sums = known.groupBy(*keys).agg(*[F.sum(F.col("_n") * F.col("weights")[i]).alias(f"_s{i}") for i in ranks])
+        scores = F.array(*[F.round(f"_s{i}", 8) for i in ranks])
+        best = sums.select(*keys, F.get(label_array(self.labels), argmax(scores)).alias(output))
+        return join_back(df, best, keys)
 
     def save(self, path: str) -> None:
-        """Write the stages and the label list below ``path``."""
-        self.stages.write().overwrite().save(f"{path}/stages")
+        """Write the profile and the label list below ``path``."""
+        self.profile.write.mode("overwrite").parquet(f"{path}/profile")
         rows = [(i, label, self.gram) for i, label in enumerate(self.labels)]
         saved = SparkSession.getActiveSession().createDataFrame(rows, "id int, label string, gram int")
         saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
     @classmethod
     def load(cls, path: str) -> LanguageModel:
-        rows = SparkSession.getActiveSession().read.parquet(f"{path}/labels").orderBy("id").collect()
-        return cls(PipelineModel.load(f"{path}/stages"), [row.label for row in rows], rows[0].gram)
+        spark = SparkSession.getActiveSession()
+        rows = spark.read.parquet(f"{path}/labels").orderBy("id").collect()
+        return cls(spark.read.parquet(f"{path}/profile"), [row.label for row in rows], rows[0].gram)
 
 
 def _terms(text: Column, gram: int | None) -> Column:
-    """Terms of a text; the empty pieces of a split are in no profile and need no filter here."""
+    """Terms of a text, with the empty pieces that a split may have."""
     found = F.split(F.lower(text), NON_WORD) if gram is None else grams(text, gram)
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def profile_counts(
-    df: DataFrame,
-    text: str,
-    language: str,
-    labels: list[str],
-    max_terms: int = MAX_PROFILE_TERMS,
-    gram: int | None = None,
+    df: DataFrame, text: str, language: str, labels: list[str], max_terms: int | None = None, gram: int | None = None
 ) -> DataFrame:
-    """``term, n_0, n_1, ..``: occurrences per language of the ``max_terms`` most frequent terms.
+    """``term, counts``: occurrences per language of every term, or of the ``max_terms`` most frequent.
 
     One aggregate with a counter per language; a term shared by all texts is counted down to one
     row per task before the shuffle. Equal totals are ordered by the term.
     """
-    names = [f"n_{i}" for i in range(len(labels))]
     found = df.filter(F.col(language).isin(labels)).select(
         F.col(language).alias("_lang"), F.explode(_terms(F.col(text), gram)).alias("term")
     )
-    counts = found.filter(F.col("term") != "").groupBy("term").agg(
-        *[F.count(F.when(F.col("_lang") == label, True)).alias(name) for label, name in zip(labels, names)]
-    )
-    total = sum((F.col(name) for name in names[1:]), F.col(names[0]))
-    return counts.orderBy(total.desc(), "term").limit(max_terms)
+    each = [F.count(F.when(F.col("_lang") == label, True)) for label in labels]
+    counts = found.filter(F.col("term") != "").groupBy("term").agg(F.array(*each).alias("counts"))
+    if max_terms is None:
+        return counts
+    return counts.orderBy(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n).desc(), "term").limit(max_terms)
+
+
+def _weighed(counts: DataFrame, labels: list[str], smoothing: float) -> DataFrame:
+    """Add ``weights``, the smoothed log shares; only the totals per language reach the driver."""
+    ranks = range(len(labels))
+    totals = counts.agg(F.count("*"), *[F.sum(F.col("counts")[i]) for i in ranks]).first()
+    if not totals[0]:
+        raise ValueError("no terms to fit on")
+    sizes = [float(totals[1 + i] + smoothing * totals[0]) for i in ranks]
+    return counts.withColumn("weights", F.array(*[F.log((F.col("counts")[i] + smoothing) / sizes[i]) for i in ranks]))
 
 
 def fit_language_model(
@@ -84,55 +95,23 @@ def fit_language_model(
     text: str,
     language: str,
     smoothing: float = 1.0,
-    max_terms: int = MAX_PROFILE_TERMS,
+    max_terms: int | None = None,
     gram: int | None = None,
 ) -> LanguageModel:
-    """Fit on labelled texts, in one pass over them.
-
-    The counts that reach the driver are bounded by ``max_terms`` times the number of languages;
-    they make up the model. Naive Bayes then sees one row of counts per language.
-    """
+    """Fit on labelled texts, in one pass over them; the profile is written once."""
     labels = fit_labels(df, language)
-    table = profile_counts(df, text, language, labels, max_terms, gram).toArrow()
-    if not table.num_rows:
-        raise ValueError("no terms to fit on")
-    spark = df.sparkSession
-    terms = spark.createDataFrame(table.select(["term"])).select(F.array("term").alias("_terms"))
-    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms).fit(terms)
-    row_of = {term: i for i, term in enumerate(table["term"].to_pylist())}
-    order = [row_of[term] for term in counter.vocabulary]
-    rows = []
-    for i in range(len(labels)):
-        counts = table[f"n_{i}"].to_numpy()[order].astype("float64")
-        rows.append((float(i), Vectors.sparse(len(order), counts.nonzero()[0], counts[counts.nonzero()])))
-    bayes = NaiveBayes(
-        featuresCol="_counts",
-        labelCol="_label",
-        predictionCol="_class",
-        rawPredictionCol="_raw",
-        probabilityCol="_probability",
-        smoothing=smoothing,
-        modelType="multinomial",
-    ).fit(spark.createDataFrame(rows, ["_label", "_counts"]))
-    return LanguageModel(PipelineModel([counter, bayes]), labels, gram)
+    counts = materialize(profile_counts(df, text, language, labels, max_terms, gram), "profile")
+    return LanguageModel(_weighed(counts, labels, smoothing).select("term", "weights"), labels, gram)
 
 
 def language_profile(
-    df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int = MAX_PROFILE_TERMS
+    df: DataFrame, text: str, language: str, smoothing: float = 1.0, max_terms: int | None = None
 ) -> DataFrame:
-    """``lang, term, n, log_prob``: the profile as a table, for the terms each language has.
-
-    The unpartitioned windows see the profile, which holds at most ``max_terms`` rows.
-    """
+    """``lang, term, n, log_prob``: the profile as a table, for the terms each language has."""
     labels = fit_labels(df, language)
-    profile = profile_counts(df, text, language, labels, max_terms)
-    every = Window.partitionBy()
-    weights = {
-        f"w_{i}": F.sum(f"n_{i}").over(every) + smoothing * F.count("*").over(every) for i in range(len(labels))
-    }
+    counts = materialize(profile_counts(df, text, language, labels, max_terms), "profile")
     entries = [
-        F.struct(F.lit(label).alias("lang"), "term", F.col(f"n_{i}").alias("n"), F.col(f"w_{i}").alias("weight"))
+        F.struct(F.lit(label).alias("lang"), "term", F.col("counts")[i].alias("n"), F.col("weights")[i].alias("log_prob"))
         for i, label in enumerate(labels)
     ]
-    rows = profile.withColumns(weights).select(F.inline(F.array(*entries))).filter(F.col("n") > 0)
-    return rows.select("lang", "term", "n", F.log((F.col("n") + smoothing) / F.col("weight")).alias("log_prob"))
+    return _weighed(counts, labels, smoothing).select(F.inline(F.array(*entries))).filter(F.col("n") > 0)

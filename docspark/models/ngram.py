@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.scores import argmax
 from docspark.functions.tokens import words
 from docspark.operators.labels import fit_labels, label_array
+from docspark.operators.lookup import join_terms
 from docspark.session import materialize
 
 BACKOFF = 0.4
 BACKOFF_LOG = math.log(BACKOFF)
-MAX_GRAMS = 100_000
 
 
 class NgramModel:
@@ -33,15 +33,15 @@ class NgramModel:
     def predict(self, df: DataFrame, keys: list[str], text: str, output: str = "prediction") -> DataFrame:
         """``keys, prediction`` for rows told apart by ``keys``; null where there is no word.
 
-        The grams of a text meet the weights, whose number is bounded, by a broadcast. Their sums
-        are formed before the shuffle, which moves one row of scores per text.
+        The grams of a text meet the weights by joins that deal out frequent ones. Their sums are
+        formed before the shuffle by key, which moves one row of scores per text and task.
         """
         ranks = range(len(self.labels))
         names = [f"w_{i}" for i in ranks]
         alone = self.weights.filter(~F.col("pair")).select(F.col("gram").alias("word"), *names)
         pairs = self.weights.filter("pair").select(F.col("gram").alias("two"), *[F.col(n).alias(f"p{n}") for n in names])
         rows = _word_rows(df, text, *keys, outer=True)
-        rows = rows.join(F.broadcast(alone), "word", "left").join(F.broadcast(pairs), "two", "left")
+        rows = join_terms(join_terms(rows, alone, "word", keys, "left"), pairs, "two", keys, "left")
         # A row without a word stands for a text without one and scores nothing.
         unknown = [F.when(F.col("word").isNotNull(), self.unknown[i]) for i in ranks]
         each = [F.coalesce(f"w_{i}", unknown[i]) + F.coalesce(f"pw_{i}", F.lit(0.0)) for i in ranks]
@@ -74,11 +74,11 @@ def _word_rows(df: DataFrame, text: str, *keep: str, outer: bool = False) -> Dat
     return rows.select(*keep, "word", F.concat(before, F.lit(" "), F.col("word")).alias("two"))
 
 
-def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int = MAX_GRAMS) -> NgramModel:
-    """Fit on labelled texts. The model keeps the ``max_grams`` most frequent words and pairs together.
+def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int | None = None) -> NgramModel:
+    """Fit on labelled texts. The model keeps all words and pairs, or the ``max_grams`` most frequent together.
 
     At equal counts words come before pairs, so the words of a kept pair are kept as well. The
-    weights are computed by joins among these rows and stay a table.
+    weights are computed by joins among these rows and stay a table; only totals reach the driver.
     """
     labels = fit_labels(df, category)
     ranks = range(len(labels))
@@ -92,35 +92,23 @@ def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int = MAX_GRA
         *[F.count(F.when(F.col("_class") == label, True)).alias(f"n_{i}") for i, label in enumerate(labels)]
     )
     total = sum((F.col(f"n_{i}") for i in ranks[1:]), F.col("n_0"))
-    kept = counts.orderBy(total.desc(), "pair", "gram").limit(max_grams)
-
-    every = Window.partitionBy()
+    kept = counts if max_grams is None else counts.orderBy(total.desc(), "pair", "gram").limit(max_grams)
+    kept = materialize(kept, "gram-counts")
     single = ~F.col("pair")
-    sizes = {
-        f"t_{i}": F.sum(F.when(single, F.col(f"n_{i}"))).over(every) + F.count(F.when(single, True)).over(every)
-        for i in ranks
-    }
-    # One row per kept gram, at most ``max_grams``, cached in memory or on disk while the weights are joined.
-    kept = kept.withColumns(sizes).persist()
-    try:
-        share = {f"w_{i}": F.log((F.col(f"n_{i}") + 1) / F.col(f"t_{i}")) for i in ranks}
-        alone = kept.filter(single).withColumns(share)
-        first = alone.select(F.col("gram").alias("_first"), *[F.col(f"n_{i}").alias(f"f_{i}") for i in ranks])
-        second = alone.select(F.col("gram").alias("_second"), *[F.col(f"w_{i}").alias(f"g_{i}") for i in ranks])
-        pairs = (
-            kept.filter("pair")
-            .withColumns({"_first": F.split_part("gram", F.lit(" "), F.lit(1)), "_second": F.split_part("gram", F.lit(" "), F.lit(2))})
-            .join(first, "_first")
-            .join(second, "_second")
-        )
-        # What a pair adds to the backed-off score of its second word, whose factor all classes share.
-        gain = [F.log(F.col(f"n_{i}") / F.col(f"f_{i}")) - F.lit(BACKOFF_LOG) - F.col(f"g_{i}") for i in ranks]
-        pairs = pairs.withColumns({f"w_{i}": F.when(F.col(f"n_{i}") > 0, gain[i]).otherwise(0.0) for i in ranks})
-        columns = ["gram", "pair", *[f"w_{i}" for i in ranks]]
-        weights = materialize(alone.select(*columns).unionByName(pairs.select(*columns)), "ngrams")
-        unknown = alone.select(*[-F.log(F.col(f"t_{i}").cast("double")) for i in ranks]).first()
-    finally:
-        kept.unpersist()
-    if unknown is None:
+    totals = kept.filter(single).agg(F.count("*"), *[F.sum(f"n_{i}") for i in ranks]).first()
+    if not totals[0]:
         raise ValueError("no words to fit on")
-    return NgramModel(weights, [float(value) for value in unknown], labels)
+    sizes = [float(totals[1 + i] + totals[0]) for i in ranks]
+    share = {f"w_{i}": F.log((F.col(f"n_{i}") + 1) / sizes[i]) for i in ranks}
+    alone = kept.filter(single).withColumns(share)
+    first = alone.select(F.col("gram").alias("_first"), *[F.col(f"n_{i}").alias(f"f_{i}") for i in ranks])
+    second = alone.select(F.col("gram").alias("_second"), *[F.col(f"w_{i}").alias(f"g_{i}") for i in ranks])
+    words_of = {f"_{name}": F.split_part("gram", F.lit(" "), F.lit(i + 1)) for i, name in enumerate(("first", "second"))}
+    pairs = kept.filter("pair").withColumns(words_of)
+    pairs = join_terms(join_terms(pairs, first, "_first", ["gram"]), second, "_second", ["gram"])
+    # What a pair adds to the backed-off score of its second word, whose factor all classes share.
+    gain = [F.log(F.col(f"n_{i}") / F.col(f"f_{i}")) - F.lit(BACKOFF_LOG) - F.col(f"g_{i}") for i in ranks]
+    pairs = pairs.withColumns({f"w_{i}": F.when(F.col(f"n_{i}") > 0, gain[i]).otherwise(0.0) for i in ranks})
+    columns = ["gram", "pair", *[f"w_{i}" for i in ranks]]
+    weights = materialize(alone.select(*columns).unionByName(pairs.select(*columns)), "ngrams")
+    return NgramModel(weights, [-math.log(size) for size in sizes], labels)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.numbering import number_rows
+from docspark.session import materialize
+
 
 def pair_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``label, prediction, n`` over all rows."""
@@ -41,34 +44,30 @@ def unseen_predictions(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _class_list(pairs: DataFrame, labels: str | list) -> Column:
+def _classes(pairs: DataFrame, labels: str | list) -> DataFrame:
+    """``name`` of every class of the set, as a table."""
     if isinstance(labels, list):
-        return F.array(*[F.lit(label) for label in labels])
-    sides = {"truth": F.collect_set("label"), "union": F.array_union(F.collect_set("label"), F.collect_set("prediction"))}
-    return F.sort_array(sides[labels])
+        return pairs.sparkSession.createDataFrame([(name,) for name in labels], "name " + pairs.schema["label"].dataType.simpleString())
+    names = report_labels(pairs) if labels == "union" else pairs.where("label IS NOT NULL").select("label").distinct()
+    return names.withColumnRenamed("label", "name")
 
 
 def confusion_matrix(pairs: DataFrame, labels: str | list = "truth") -> DataFrame:
     """``label, prediction, n`` for every pair of classes, zero-filled.
 
     ``labels`` is ``"truth"`` (pairs with a class that no truth has vanish), ``"union"`` or a
-    fitted list. The pairs and as many zeros as the matrix has cells travel in one array, so the
-    rows behind them are read once.
+    fitted list. The classes are numbered; every class lists all numbers, and two joins put the names
+    and the counts to them, so no task holds more than its share of the cells.
     """
-    gathered = pairs.agg(
-        _class_list(pairs, labels).alias("classes"),
-        F.collect_list(F.struct("label", "prediction", "n")).alias("pairs"),
-    )
-    known = F.filter(
-        "pairs",
-        lambda p: F.array_contains(F.col("classes"), p["label"]) & F.array_contains(F.col("classes"), p["prediction"]),
-    )
-    zero = F.lit(0).cast("bigint").alias("n")
-    cells = gathered.select(known.alias("known"), "classes", F.explode("classes").alias("label"))
-    row = F.transform("classes", lambda name: F.struct(F.col("label"), name.alias("prediction"), zero))
-    own = F.filter("known", lambda p: p["label"] == F.col("label"))
-    rows = cells.select(F.inline(F.concat(own, row)))
-    return rows.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
+    names = number_rows(_classes(pairs, labels), [F.asc("name")], "id")
+    last = names.agg(F.max("id")).first()[0]
+    if last is None:
+        return pairs.select("label", "prediction", "n").where("false")
+    cells = names.select(F.col("name").alias("label"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("id"))
+    cells = cells.join(names.withColumnRenamed("name", "prediction"), "id").select("label", "prediction")
+    counts = pairs.where("label IS NOT NULL AND prediction IS NOT NULL")
+    found = cells.join(counts, ["label", "prediction"], "left")
+    return found.select("label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def confusion_wide(pairs: DataFrame, labels: list, prefix: str = "p") -> DataFrame:
@@ -88,14 +87,16 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def classification_report(pairs: DataFrame, labels: str | list = "union") -> DataFrame:
+def classification_report(pairs: DataFrame, labels: str | list = "union", unknown: str = "wrong") -> DataFrame:
     """``class, precision, recall, f1, support`` per class, then accuracy, macro and weighted averages.
 
     A metric with a zero denominator is 0. The accuracy row holds the accuracy in its three metric
-    columns and the number of rows as support.
+    columns and its number of rows as support. A row without a known truth counts as a wrong one
+    for the accuracy, or not at all with ``unknown="skip"``, as in ``accuracy``.
     """
     zero = F.lit(0).cast("bigint")
     hits = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero)
+    pairs = materialize(pairs.select("label", "prediction", "n"), "pairs")
     sides = pairs.select(
         F.inline(
             F.array(
@@ -122,30 +123,34 @@ def classification_report(pairs: DataFrame, labels: str | list = "union") -> Dat
             2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")),
         ).otherwise(0.0),
     )
+    classes = materialize(classes, "classes")
     metrics = ("precision", "recall", "f1")
     total = F.sum("support")
+    lost = pairs.where("label IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if unknown == "wrong" else 0
     summary = classes.agg(
-        F.collect_list(F.struct(F.col("name").cast("string").alias("class"), *metrics, "support")).alias("rows"),
         total.alias("support"),
-        _ratio(F.sum("hits"), total).alias("accuracy"),
+        (total + lost).alias("rows"),
+        _ratio(F.sum("hits"), total + lost).alias("accuracy"),
         *[F.avg(metric).alias(f"macro_{metric}") for metric in metrics],
         *[_ratio(F.sum(F.col(metric) * F.col("support")), total).alias(f"weighted_{metric}") for metric in metrics],
     )
 
-    def row(name: str, columns: list[str]) -> Column:
+    def row(name: str, columns: list[str], support: str = "support") -> Column:
         values = [F.col(column).alias(metric) for column, metric in zip(columns, metrics)]
-        return F.struct(F.lit(name).alias("class"), *values, "support")
+        return F.struct(F.lit(name).alias("class"), *values, F.col(support).alias("support"))
 
     extra = F.array(
-        row("accuracy", ["accuracy"] * 3),
+        row("accuracy", ["accuracy"] * 3, "rows"),
         row("macro avg", [f"macro_{metric}" for metric in metrics]),
         row("weighted avg", [f"weighted_{metric}" for metric in metrics]),
     )
-    return summary.select(F.inline(F.concat("rows", extra)))
+    own = classes.select(F.col("name").cast("string").alias("class"), *metrics, "support")
+    return own.unionByName(summary.select(F.inline(extra)))
 
 
-def accuracy(pairs: DataFrame) -> DataFrame:
-    """``n, n_correct, accuracy`` over all rows."""
+def accuracy(pairs: DataFrame, unknown: str = "wrong") -> DataFrame:
+    """``n, n_correct, accuracy``; rows without a known truth are wrong, or left out with ``unknown="skip"``."""
+    pairs = pairs if unknown == "wrong" else pairs.where("label IS NOT NULL")
     correct = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
     return pairs.agg(F.sum("n").alias("n"), correct.alias("n_correct"), _ratio(correct, F.sum("n")).alias("accuracy"))
 
@@ -169,7 +174,7 @@ def mean_loss(df: DataFrame, loss: str = "loss") -> DataFrame:
     return df.agg(F.count(loss).alias("n_docs"), F.avg(loss).alias("loss"))
 
 
-def epoch_loss(df: DataFrame, batch: str = "batch_id", loss: str = "loss") -> DataFrame:
-    """Mean of the batch means, which differs from the row mean when the last batch is short."""
-    batches = df.groupBy(batch).agg(F.avg(loss).alias("batch_loss"))
-    return batches.agg(F.count("*").alias("n_batches"), F.avg("batch_loss").alias("loss"))
+def epoch_loss(df: DataFrame, batch: str = "batch_id", loss: str = "loss", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of the batch means per ``keys``, which differs from the row mean when the last batch is short."""
+    batches = df.groupBy(*keys, batch).agg(F.avg(loss).alias("batch_loss"))
+    return batches.groupBy(*keys).agg(F.count("*").alias("n_batches"), F.avg("batch_loss").alias("loss"))

@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
+from docspark.operators.numbering import number_rows
+
+#: Classes that a model may have: its weights hold a column for each.
+MAX_CLASSES = 1_000
 
 # Inconsistent category names and the names that replace them.
 CATEGORY_ALIASES = {"medicaldevices": "medicaldevice", "lifesciences-PFA": "lspfa"}
@@ -21,9 +24,9 @@ def repair_category(category: Column, aliases: Mapping[str, str] = CATEGORY_ALIA
 
 
 def label_index(df: DataFrame, category: str) -> DataFrame:
-    """``label_id, label``: the sorted distinct categories, numbered from 0."""
-    labels = df.select(category).distinct().agg(F.sort_array(F.collect_list(category)).alias("labels"))
-    return labels.select(F.posexplode("labels").alias("label_id", "label"))
+    """``label_id, label``: the sorted distinct categories, however many, numbered from 0."""
+    names = df.select(F.col(category).alias("label")).where("label IS NOT NULL").distinct()
+    return number_rows(names, [F.asc("label")], "label_id").select("label_id", "label")
 
 
 def fit_labels(df: DataFrame, category: str, max_classes: int = MAX_CLASSES) -> list:

@@ -1,78 +1,57 @@
-"""Dictionary lookups over token lists, with the size of the dictionary checked first."""
+"""Joins of many words with a table of distinct ones, and dictionary lookups over token lists."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
-HOT_SHARE = 1_000
+#: Parts into which the rows of every term are dealt, so that a very common one is not one task.
+SALTS = 8
 
 
-def lookup_terms(
-    df: DataFrame,
-    keys: list[str],
-    tokens: str,
-    table: DataFrame,
-    output: str,
-    missing: object = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Replace every token by the ``value`` that ``table(term, value)`` gives it, in place.
+def join_terms(rows: DataFrame, table: DataFrame, term: str, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per term; a null term meets nothing.
 
-    Tokens without an entry become ``missing``, or stay as they are when ``missing`` is None.
-    A table of at most ``max_rows`` rows is broadcast and looked up in Arrow batches, so documents
-    are not shuffled. A larger one is joined on the term (AQE splits terms that many documents
-    share) and the lists are put together again by ``keys``, which tell the rows apart.
+    The table is listed ``SALTS`` times and the rows of a term are dealt over as many parts by a hash
+    of ``spread_by``. Beyond that, what is left of a hot term is split at run time like any skewed join.
     """
-    kind = table.schema["value"].dataType.simpleString()
-    small = table.select("term", "value").limit(max_rows + 1).toArrow()
-    if small.num_rows <= max_rows:
-        return df.withColumn(output, _arrow_lookup(df, small, kind, missing)(F.col(tokens)))
-    return _join_lookup(df, keys, tokens, table, output, kind, missing)
+    salted = table.where(F.col(term).isNotNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [term, "_salt"], how).drop("_salt")
+
 
+def join_back(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which a null equals a null; ``found`` has one row per key."""
+    other = found.withColumnsRenamed({k: f"_found_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_found_{k}"))
+    return df.join(other, condition, "left").drop(*[f"_found_{k}" for k in keys])
 
-def _arrow_lookup(df: DataFrame, table: pa.Table, kind: str, missing: object):
-    shared = df.sparkSession.sparkContext.broadcast(
-        (table["term"].combine_chunks(), table["value"].combine_chunks())
-    )
 
-    @F.arrow_udf(f"array<{kind}>")
-    def find(lists: pa.Array) -> pa.Array:
-        terms, values = shared.value
-        flat = lists.flatten()
-        found = values.take(pc.index_in(flat, value_set=terms))
-        found = pc.coalesce(found, flat if missing is None else pa.scalar(missing, values.type))
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
+def unique_terms(table: DataFrame) -> DataFrame:
+    """``term, value`` without null terms; a term listed twice is refused."""
+    table = table.select("term", "value").where(F.col("term").isNotNull())
+    twice = table.groupBy("term").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"the term {twice.term!r} is listed {twice['count']} times")
+    return table
 
-    return find
 
+def lookup_terms(df: DataFrame, keys: list[str], tokens: str, table: DataFrame, output: str, missing: object = None) -> DataFrame:
+    """Replace every token by the ``value`` that ``table(term, value)`` gives it, in place.
 
-def _join_lookup(
-    df: DataFrame, keys: list[str], tokens: str, table: DataFrame, output: str, kind: str, missing: object
-) -> DataFrame:
-    fallback: Column = F.col("term") if missing is None else F.lit(missing).cast(kind)
-    long = df.select(*keys, F.posexplode(tokens).alias("pos", "term"))
-    values = table.select("term", "value")
-    # Terms with at least 1 / HOT_SHARE of all occurrences; there cannot be more than HOT_SHARE of them.
-    counts = long.groupBy("term").agg(F.count("*").alias("n"))
-    hot = counts.filter(F.col("n") * HOT_SHARE >= long.count()).select("term").join(values, "term", "left")
-    hot = hot.select("term", F.lit(True).alias("_hot"), F.col("value").alias("_hot_value"))
-    # Rows of hot terms are done after the broadcast; a key of their own spreads them over the shuffle.
-    apart = F.concat(F.lit("\u0000"), F.xxhash64(*keys, "pos").cast("string"))
-    rows = long.join(F.broadcast(hot), "term", "left").withColumn(
-        "_key", F.when(F.col("_hot"), apart).otherwise(F.col("term"))
-    )
-    rows = rows.join(values.withColumnRenamed("term", "_key"), "_key", "left")
-    value = F.coalesce(F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("value")), fallback)
-    found = (
-        rows.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))).alias("hits"))
-        .select(*keys, F.transform("hits", lambda hit: hit["value"]).alias(output))
-    )
+    Tokens without an entry become ``missing``, or stay as they are when ``missing`` is None; a null
+    token has no entry, a null list stays null. Lists are put together again by ``keys`` and their
+    own content, so rows that share a key, or have a null in it, keep their own lists.
+    """
+    kind = table.schema["value"].dataType.simpleString()
+    row = [*keys, "_list"]
+    marked = df.withColumn("_list", F.xxhash64(tokens))
+    long = marked.select(*row, F.posexplode(tokens).alias("_pos", "term"))
+    fallback = F.col("term") if missing is None else F.lit(missing).cast(kind)
+    values = join_terms(long, unique_terms(table), "term", ["_list", "_pos"], "left")
+    hits = F.array_sort(F.collect_set(F.struct("_pos", F.coalesce("value", fallback).alias("value"))))
+    found = values.groupBy(*row).agg(hits.alias("_hits")).select(*row, F.transform("_hits", lambda hit: hit["value"]).alias("_values"))
     empty = F.when(F.col(tokens).isNotNull(), F.array().cast(f"array<{kind}>"))
-    return df.join(found, keys, "left").withColumn(output, F.coalesce(output, empty))
+    return join_back(marked, found, row).withColumn(output, F.coalesce("_values", empty)).drop("_list", "_values")

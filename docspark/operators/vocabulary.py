@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.lookup import join_terms
+from docspark.operators.numbering import number_rows
+
+# Fixed values of the pruning: least documents, greatest share of documents, terms kept.
 MIN_DOCUMENTS = 30
 MAX_SHARE = 0.5
 KEEP_TERMS = 100_000
@@ -28,39 +32,34 @@ def prune_terms(
     n_docs: int,
     min_docs: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
-    keep: int = KEEP_TERMS,
+    keep: int | None = None,
 ) -> DataFrame:
-    """Terms in at least ``min_docs`` and at most ``max_share`` of the documents, the top ``keep``."""
+    """Terms in at least ``min_docs`` and at most ``max_share`` of the documents; the top ``keep``, or all."""
     within = frequencies.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.lit(n_docs)))
-    return top_terms(within, keep)
+    return within if keep is None else top_terms(within, keep)
 
 
 def number_terms(terms: DataFrame, first_id: int = 0) -> DataFrame:
-    """``term_id, term, df`` with ids by falling frequency.
+    """``term_id, term, df`` with ids by falling frequency, ties by term."""
+    numbered = number_rows(terms.select("term", "df"), [F.desc("df"), F.asc("term")], "term_id")
+    return numbered.select((F.col("term_id") + first_id).alias("term_id"), "term", "df")
 
-    The input is a vocabulary already cut to its ``keep`` size, so the one-task window sees at most
-    that many rows.
-    """
-    rank = F.row_number().over(Window.orderBy(F.desc("df"), "term"))
-    return terms.select((rank + (first_id - 1)).alias("term_id"), "term", "df")
+
+def bag_of_words(docs: DataFrame, terms: DataFrame, *keys: str, tokens: str = "tokens") -> DataFrame:
+    """Long rows ``keys, term_id, tf`` for the numbered ``terms``; other tokens are dropped."""
+    counts = docs.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return join_terms(counts, terms.select("term", "term_id"), "term", list(keys)).select(*keys, "term_id", "tf")
 
 
 def bag_model(
-    docs: DataFrame, tokens: str = "tokens", output: str = "bag", n_docs: int | None = None, **limits
+    docs: DataFrame, tokens: str = "tokens", output: str = "bag", n_docs: int | None = None, keep: int = KEEP_TERMS, **limits
 ) -> CountVectorizerModel:
-    """Fit the pruned vocabulary and wrap it as an MLlib stage; term ids are vector positions."""
-    pruned = number_terms(prune_terms(document_frequency(docs, tokens), n_docs or docs.count(), **limits))
+    """Fit the pruned vocabulary and wrap it as an MLlib stage; term ids are vector positions.
+
+    The stage holds its terms on the driver, so it keeps ``keep`` of them; ``bag_of_words`` has no such bound.
+    """
+    pruned = number_terms(prune_terms(document_frequency(docs, tokens), n_docs or docs.count(), keep=keep, **limits))
     terms = [row.term for row in pruned.orderBy("term_id").select("term").toLocalIterator()]
     if not terms:
         raise ValueError("no term is frequent enough for a vocabulary")
     return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol=output)
-
-
-def bag_of_words(docs: DataFrame, model: CountVectorizerModel, *keys: str) -> DataFrame:
-    """Long rows ``keys, term_id, tf``; tokens outside the vocabulary are dropped.
-
-    The counts are made row by row, so nothing is shuffled.
-    """
-    bag = F.unwrap_udt(model.getOutputCol())
-    entries = F.arrays_zip(bag["indices"].alias("term_id"), bag["values"].alias("tf"))
-    return model.transform(docs).select(*keys, F.inline(entries)).withColumn("tf", F.col("tf").cast("bigint"))

@@ -50,12 +50,14 @@ def document_tokens(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     lemmas: DataFrame | None = None,
     keys: Sequence[str] = (),
+    max_tokens: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add ``tokens``: the filtered tokens, each replaced by its lemma where ``lemmas(term, value)`` has it.
 
     ``keys`` tell the rows apart; they are needed with lemmas only.
     """
-    rows = docs.withColumn("tokens", filter_tokens(F.col(text), stop_words))
+    rows = docs.withColumn("tokens", filter_tokens(F.col(text), stop_words, max_tokens, max_chars))
     return rows if lemmas is None else lookup_terms(rows, list(keys), "tokens", lemmas, "tokens")
 
 

@@ -18,9 +18,9 @@ def clean_segments(segments: DataFrame, mode: str = "reference") -> DataFrame:
     return keep_rows(segments.withColumn("segment", text), lambda row: F.length(row["segment"]) > 0)
 
 
-def segments_in_language(segments: DataFrame, model: LanguageModel, language: str) -> DataFrame:
-    """Keep the segments whose top-ranked language is the wanted one."""
-    scored = model.transform(segments, "segment", "_language")
+def segments_in_language(segments: DataFrame, model: LanguageModel, language: str, keys: list[str] | None = None) -> DataFrame:
+    """Keep the segments whose top-ranked language is the wanted one; ``keys`` tell segments apart."""
+    scored = model.transform(segments, "segment", "_language", keys)
     return keep_rows(scored, lambda row: row["_language"] == language).drop("_language")
 
 
@@ -43,7 +43,7 @@ def documents_of_files(files: DataFrame, model: LanguageModel, language: str, mo
     """
     labels = ("path", "category", "subcategory", "target_id")
     segments = clean_segments(extract_trans_units(label_names(files), "content", *labels), mode)
-    documents = rejoin_segments(segments_in_language(segments, model, language), *labels, text="sources")
+    documents = rejoin_segments(segments_in_language(segments, model, language, ["path", "pos"]), *labels, text="sources")
     return documents.select(
         F.col("path").alias("doc_id"),
         "sources",

@@ -13,14 +13,15 @@ from docspark.functions.tokens import as_text, first_words, sentences, words
 from docspark.operators.evaluate import classification_report, confusion_matrix, majority_vote, mean_loss, pair_counts
 from docspark.operators.labels import encode_label, label_array
 from docspark.operators.lookup import lookup_terms
-from docspark.operators.vocabulary import KEEP_TERMS, document_frequency, number_terms, top_terms
+from docspark.operators.vocabulary import document_frequency, number_terms, top_terms
 from docspark.session import materialize
 
 
-def word_vocabulary(docs: DataFrame, text: str, keep: int = KEEP_TERMS) -> DataFrame:
-    """``term, value``: the most frequent words with their ids, after the ids of the markers."""
+def word_vocabulary(docs: DataFrame, text: str, keep: int | None = None) -> DataFrame:
+    """``term, value``: all words, or the ``keep`` most frequent, with ids by frequency after those of the markers."""
     frequencies = document_frequency(docs.select(words(F.col(text)).alias("tokens")))
-    return number_terms(top_terms(frequencies, keep), FIRST_ID).select("term", F.col("term_id").alias("value"))
+    kept = frequencies if keep is None else top_terms(frequencies, keep)
+    return number_terms(kept, FIRST_ID).select("term", F.col("term_id").alias("value"))
 
 
 def word_ids(rows: DataFrame, text: str, keys: list[str], vocabulary: DataFrame, max_len: int) -> DataFrame:
@@ -67,7 +68,7 @@ def evaluate_scores(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mean loss, report and confusion matrix of scored documents, as validation prints them.
 
-    A category that is not among the fitted ``labels`` has no label; its loss follows ``unknown``. The
+    A category that is not among the fitted ``labels`` has no label; loss and accuracy follow ``unknown``. The
     report covers classes of truth and prediction, the matrix those of the truth. The scores are
     computed once: labels, predictions and losses are written before the three results read them.
     """
@@ -79,4 +80,4 @@ def evaluate_scores(
     )
     rows = materialize(rows, "scored")
     pairs = pair_counts(rows)
-    return mean_loss(rows), classification_report(pairs), confusion_matrix(pairs)
+    return mean_loss(rows), classification_report(pairs, unknown="skip" if unknown == "skip" else "wrong"), confusion_matrix(pairs)

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from docspark.registry import queries as q
 from docspark.functions.clean import COMMON_ENTITIES
-from docspark.functions.sequences import FIRST_ID, UNK
-from docspark.functions.tokens import ENGLISH_STOP_WORDS, MAX_CHARS, MAX_TOKENS, NUMBER_TOKEN, SENTENCE
-from docspark.models.language import MAX_PROFILE_TERMS
-from docspark.models.ngram import BACKOFF, MAX_GRAMS
-from docspark.operators.vocabulary import KEEP_TERMS, MAX_SHARE, MIN_DOCUMENTS
+from docspark.functions.tokens import ENGLISH_STOP_WORDS, SENTENCE
 
 # Python's white space, spelled out: DuckDB's \s is ASCII only.
 SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -79,17 +75,16 @@ FROM (SELECT doc_id, list_filter([trim(s) FOR s IN regexp_extract_all(text, {tex
 
 STOPS = ", ".join(text(word) for word in ENGLISH_STOP_WORDS)
 KEPT = f"""
-SELECT doc_id, list_slice([CASE WHEN regexp_matches(t, '^\\p{{Nd}}+$') THEN '{NUMBER_TOKEN}' ELSE lower(t) END FOR t IN
-    list_filter(string_split_regex(substring(text, 1, {MAX_CHARS}), {text(NON_WORD)}),
+SELECT doc_id, [CASE WHEN regexp_matches(t, '^\\p{{Nd}}+$') THEN 'NUM' ELSE lower(t) END FOR t IN
+    list_filter(string_split_regex(text, {text(NON_WORD)}),
         lambda t: (regexp_matches(t, '^\\p{{L}}+$') OR regexp_matches(t, '^\\p{{Nd}}+$'))
-                  AND NOT list_contains([{STOPS}], lower(t)))], 1, {MAX_TOKENS}) AS tokens
+                  AND NOT list_contains([{STOPS}], lower(t)))] AS tokens
 FROM documents
 """
 FREQUENCIES = "SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM kept) GROUP BY term"
-PRUNED = f"""
+PRUNED = """
 SELECT row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, term, df
-FROM (SELECT * FROM frequencies WHERE df >= {MIN_DOCUMENTS} AND df <= {MAX_SHARE} * (SELECT count(*) FROM kept)
-      ORDER BY df DESC, term LIMIT {KEEP_TERMS})
+FROM (SELECT * FROM frequencies WHERE df >= 30 AND df <= 0.5 * (SELECT count(*) FROM kept))
 """
 
 
@@ -97,7 +92,7 @@ def language_model(fit_text: str) -> str:
     """CTEs counts, totals, size, grid: the naive Bayes model fitted on ``documents``."""
     return f"""
 occurrences AS (SELECT lang, unnest({words(fit_text)}) AS term FROM documents),
-profile AS (SELECT term FROM occurrences GROUP BY term ORDER BY count(*) DESC, term LIMIT {MAX_PROFILE_TERMS}),
+profile AS (SELECT term FROM occurrences GROUP BY term),
 counts AS (SELECT lang, term, count(*) AS n FROM occurrences JOIN profile USING (term) GROUP BY lang, term),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
 size AS (SELECT count(*) AS v FROM profile),
@@ -125,16 +120,16 @@ english AS (SELECT page_id, pos, segment FROM cleaned JOIN predicted USING (page
 """
 
 IDS = f"""
-vocabulary AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) + {FIRST_ID - 1} AS id
+vocabulary AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) + 3 AS id
     FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({words('text')})) AS term FROM documents)
-          GROUP BY term ORDER BY df DESC, term LIMIT {KEEP_TERMS}))"""
+          GROUP BY term))"""
 
 
 def ids(rows: str, keys: str, column: str, max_len: int) -> str:
     return f"""
 first_words AS (SELECT {keys}, list_slice({words(column)}, 1, {max_len - 2}) AS ws FROM {rows}),
 numbered AS (SELECT {keys}, generate_subscripts(ws, 1) AS i, unnest(ws) AS term FROM first_words),
-looked_up AS (SELECT {keys}, list(coalesce(v.id, {UNK}) ORDER BY i) AS ids
+looked_up AS (SELECT {keys}, list(coalesce(v.id, 3) ORDER BY i) AS ids
     FROM numbered LEFT JOIN vocabulary v USING (term) GROUP BY {keys}),
 id_lists AS (SELECT {keys}, coalesce(ids, []) AS ids FROM first_words LEFT JOIN looked_up USING ({keys}))"""
 
@@ -206,7 +201,7 @@ ORACLE = {
 FROM english GROUP BY page_id""",
     "rejoin_turns": """SELECT conv_id, count(*) AS n_segments, string_agg(text, ' ' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""",
-    "csv_round_trip": f"""SELECT * FROM (SELECT {clean('text')} AS sources, lang AS categories, source AS subcategories,
+    "csv_round_trip": f"""SELECT * FROM (SELECT doc_id, {clean('text')} AS sources, lang AS categories, source AS subcategories,
 lpad(CAST(doc_id AS VARCHAR), 8, '0') AS targetids FROM documents) WHERE sources <> ''""",
     "lang_profile": f"""WITH {language_model('text')}
 SELECT lang, term, n, round(lp, 6) AS log_prob FROM counts JOIN grid USING (lang, term)""",
@@ -226,12 +221,12 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""
     "ngram_classify": f"""WITH said AS (SELECT doc_id, lang, {words('text')} AS ws FROM documents),
 used AS (SELECT doc_id, lang, false AS pair, unnest(ws) AS gram FROM said
     UNION ALL SELECT doc_id, lang, true, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM said),
-kept AS (SELECT gram, pair FROM used GROUP BY gram, pair ORDER BY count(*) DESC, pair, gram LIMIT {MAX_GRAMS}),
+kept AS (SELECT gram, pair FROM used GROUP BY gram, pair),
 counts AS (SELECT k.gram, k.pair, l.lang, count(u.gram) AS n FROM kept k CROSS JOIN (SELECT DISTINCT lang FROM documents) l
     LEFT JOIN used u ON u.gram = k.gram AND u.pair = k.pair AND u.lang = l.lang GROUP BY k.gram, k.pair, l.lang),
 sizes AS (SELECT lang, (sum(n) + count(*))::DOUBLE AS t FROM counts WHERE NOT pair GROUP BY lang),
 weights AS (SELECT c.gram, c.pair, c.lang, CASE WHEN NOT c.pair THEN ln((c.n + 1) / t) WHEN c.n = 0 THEN 0
-        ELSE ln(c.n / f.n) - ln({BACKOFF}::DOUBLE) - ln((g.n + 1) / t) END AS w
+        ELSE ln(c.n / f.n) - ln(0.4::DOUBLE) - ln((g.n + 1) / t) END AS w
     FROM counts c JOIN sizes USING (lang)
     LEFT JOIN counts f ON c.pair AND NOT f.pair AND f.lang = c.lang AND f.gram = split_part(c.gram, ' ', 1)
     LEFT JOIN counts g ON c.pair AND NOT g.pair AND g.lang = c.lang AND g.gram = split_part(c.gram, ' ', 2)),
@@ -240,13 +235,14 @@ scores AS (SELECT u.doc_id, s.lang, sum(coalesce(w.w, CASE WHEN u.pair THEN 0 EL
     LEFT JOIN weights w ON w.gram = u.gram AND w.pair = u.pair AND w.lang = s.lang GROUP BY u.doc_id, s.lang),
 best AS (SELECT doc_id, lang FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 8) DESC, lang) = 1)
 SELECT doc_id, best.lang AS prediction FROM documents LEFT JOIN best USING (doc_id)""",
-    "token_filter": f"SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM ({KEPT})",
+    "token_filter": f"""SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM
+(SELECT doc_id, tokens[1:50] AS tokens FROM ({KEPT.replace("(text,", "(substring(text, 1, 1000000),")}))""",
     "lemma_lookup": f"""WITH kept AS ({KEPT}), lemmas(form, lemma) AS (VALUES {LEMMA_VALUES}),
 long AS (SELECT doc_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS t FROM kept),
 joined AS (SELECT doc_id, string_agg(coalesce(lemma, t), ' ' ORDER BY i) AS lemmas FROM long LEFT JOIN lemmas ON form = t GROUP BY doc_id)
 SELECT doc_id, coalesce(lemmas, '') AS lemmas FROM kept LEFT JOIN joined USING (doc_id)""",
     "vocab_df": f"WITH kept AS ({KEPT}) {FREQUENCIES}",
-    "vocab_prune": f"WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}) {PRUNED}",
+    "vocab_prune": f"WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}) SELECT * FROM ({PRUNED}) WHERE term_id < 100000",
     "vocab_topk": f"WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}) SELECT * FROM frequencies ORDER BY df DESC, term LIMIT 100",
     "bag_of_words": f"""WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}), pruned AS ({PRUNED})
 SELECT doc_id, term_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM kept) JOIN pruned USING (term)
@@ -255,6 +251,7 @@ GROUP BY doc_id, term_id""",
 SELECT doc_id, array_to_string(ids, ' ') AS ids FROM id_lists""",
     "sequence_pad": f"WITH {IDS}, {ids('benchmark', 'item_id', 'text', q.MAX_LEN)} {padded('item_id', q.MAX_LEN)}",
     "document_sequences": f"WITH {IDS}, {ids('documents', 'doc_id', 'text', q.MAX_LEN)} {padded('doc_id', q.MAX_LEN)}",
+    "long_sequences": f"WITH {IDS}, {ids('documents', 'doc_id', 'text', q.LONG_LEN)} {padded('doc_id', q.LONG_LEN)}",
     "sentence_sequences": f"""WITH {IDS}, sentences AS ({SENTENCES}),
 {ids('sentences', 'doc_id, pos', 'sentence', q.SENTENCE_LEN)} {padded('doc_id, pos', q.SENTENCE_LEN)}""",
     "sequence_vote": f"""WITH {IDS}, sentences AS ({SENTENCES}), {ids('sentences', 'doc_id, pos', 'sentence', q.SENTENCE_LEN)},
@@ -265,6 +262,14 @@ votes AS (SELECT doc_id, prediction, count(prediction) AS votes, min(pos) AS fir
     FROM documents LEFT JOIN labelled USING (doc_id) GROUP BY doc_id, prediction)
 SELECT doc_id, prediction, votes FROM votes
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""",
+    "text_cast": "SELECT doc_id, CASE WHEN quality > 0 THEN CAST(quality AS VARCHAR) ELSE 'nan' END AS text FROM labels",
+    "tokens_persisted": f"""WITH kept AS ({KEPT}), long AS (SELECT doc_id, unnest(tokens) AS term FROM kept)
+SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM long GROUP BY term""",
+    "feature_concat": """SELECT vec_id, CAST(generate_subscripts(f, 1) - 1 AS BIGINT) AS j, round(unnest(f), 6) AS value FROM
+(SELECT vec_id, list_concat([CASE WHEN label % 3 = t THEN 0.5 ELSE 0 END::DOUBLE FOR t IN range(3)], embedding::DOUBLE[]) AS f FROM embeddings)""",
+    "topic_sums": "SELECT doc_id, 9::BIGINT AS n_topics, true AS whole FROM documents",
+    "svm_held_out": "SELECT 'svm' AS \"check\", true AS beats_majority, true AS same_after_load FROM documents LIMIT 1",
+    "head_held_out": "SELECT 'head' AS \"check\", true AS beats_majority FROM documents LIMIT 1",
     "doc_prefix": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10",
     "combined_features": f"""SELECT doc_id, length(text) || ' ' || n || ' ' || quality || ' ' || toxic AS features
 FROM documents JOIN labels USING (doc_id)
@@ -303,6 +308,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first) = 1"
     "minibatch": f"""SELECT doc_id, (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) // {q.BATCH} AS batch_id
 FROM documents""",
     "file_batch": f"SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {q.BATCH} AS batch_id FROM documents",
+    "epoch_summary": f"""WITH {CURVE} SELECT run, epoch, count(*) AS n_batches, round(avg(loss), 4) AS loss,
+round((sum(ok) / count(*))::DOUBLE, 4) AS accuracy FROM log GROUP BY run, epoch""",
     "training_curve": f"WITH {CURVE} SELECT run, epoch, step, loss, accuracy FROM curve",
     "early_stop": f"""WITH {CURVE},
 before AS (SELECT *, greatest(coalesce(max(accuracy) OVER (PARTITION BY run ORDER BY event_id

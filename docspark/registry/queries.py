@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.clean import clean_text, strip_markup
 from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot
-from docspark.functions.tokens import filter_tokens, sentences
+from docspark.functions.tokens import as_text, filter_tokens, sentences
 from docspark.models.features import dense_topics, drop_small, fit_topics, fit_vectors, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
@@ -20,7 +20,7 @@ from docspark.operators.rows import keep_rows
 from docspark.plans import classical, sequence, training
 from docspark.plans.extraction import clean_segments, rejoin_segments, segments_in_language
 from docspark.session import fresh_path, materialize, spread
-from docspark.sources.documents import read_documents_csv, write_documents_csv
+from docspark.sources.documents import KEYED_COLUMNS, KEYED_SCHEMA, read_documents_csv, write_documents_csv
 from docspark.sources.files import extract_units, label_names
 
 # What the pages have in place of translation units, and of labels in file names.
@@ -33,7 +33,9 @@ PAGE_LABELS = {
 LANGUAGE_NAMES = {"en": "english", "de": "german"}
 LEMMAS = {"thes": "the", "thats": "that", "onen": "on", "eing": "be", "ering": "er"}
 MAX_LEN = 50
-SENTENCE_LEN = 16
+LONG_LEN = 512
+SENTENCE_LEN = 50
+TOKEN_LIMIT, CHAR_LIMIT, TERM_LIMIT = 50, 1_000_000, 100_000
 CLASSES, WIDTH, INPUTS, FOURIER = 10, 16, 64, 32
 BATCH = 50
 REPORT_EVERY, PATIENCE = 6, 3
@@ -90,7 +92,7 @@ def clean_documents(spark, folder):
 def english_page_segments(spark, folder):
     docs = documents(spark, folder, "lang", "text").select("lang", clean_text(F.col("text"), "safe").alias("text"))
     model = fit_language_model(docs, "text", "lang")
-    return segments_in_language(clean_segments(page_segments(spark, folder)), model, "en")
+    return segments_in_language(clean_segments(page_segments(spark, folder)), model, "en", ["page_id", "pos"])
 
 
 def english_segments(spark, folder):
@@ -112,14 +114,16 @@ def csv_round_trip(spark, folder):
     path = fresh_path(spark, "documents-csv")
     write_documents_csv(
         docs.select(
+            F.col("doc_id").cast("string").alias("doc_id"),
             F.col("text").alias("sources"),
             F.col("lang").alias("categories"),
             F.col("source").alias("subcategories"),
             F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("targetids"),
         ),
         path,
+        KEYED_COLUMNS,
     )
-    return read_documents_csv(spark, path)
+    return read_documents_csv(spark, path, KEYED_SCHEMA).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 # ---- language ---------------------------------------------------------------------------------
@@ -132,7 +136,7 @@ def lang_profile(spark, folder):
 
 def predicted_languages(spark, folder):
     docs = documents(spark, folder, "doc_id", "lang", "text")
-    return fit_language_model(docs, "text", "lang").transform(docs, "text")
+    return fit_language_model(docs, "text", "lang").transform(docs, "text", keys=["doc_id"])
 
 
 def lang_predict(spark, folder):
@@ -152,7 +156,7 @@ def sentence_split(spark, folder):
 def sentence_vote(spark, folder):
     docs = documents(spark, folder, "doc_id", "lang", "text")
     model = fit_language_model(docs, "text", "lang")
-    return sequence.vote_by_sentence(docs, "doc_id", "text", lambda rows: model.transform(rows, "sentence", "label"))
+    return sequence.vote_by_sentence(docs, "doc_id", "text", lambda rows: model.transform(rows, "sentence", "label", ["doc_id", "pos"]))
 
 
 def ngram_classify(spark, folder):
@@ -168,7 +172,9 @@ def document_tokens(spark, folder):
 
 
 def token_filter(spark, folder):
-    return document_tokens(spark, folder).select(
+    """The original's limits are the feature here: the first tokens of the first characters."""
+    tokens = filter_tokens(F.col("text"), max_tokens=TOKEN_LIMIT, max_chars=CHAR_LIMIT).alias("tokens")
+    return documents(spark, folder).select("doc_id", tokens).select(
         "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")
     )
 
@@ -183,10 +189,13 @@ def vocab_df(spark, folder):
     return vocabulary.document_frequency(document_tokens(spark, folder))
 
 
+def pruned_terms(docs, **limits):
+    kept = vocabulary.prune_terms(vocabulary.document_frequency(docs), docs.count(), **limits)
+    return vocabulary.number_terms(kept)
+
+
 def vocab_prune(spark, folder):
-    docs = document_tokens(spark, folder)
-    kept = vocabulary.prune_terms(vocabulary.document_frequency(docs), docs.count())
-    return vocabulary.number_terms(kept).select(F.col("term_id").cast("bigint").alias("term_id"), "term", "df")
+    return pruned_terms(document_tokens(spark, folder), keep=TERM_LIMIT)
 
 
 def vocab_topk(spark, folder):
@@ -194,9 +203,8 @@ def vocab_topk(spark, folder):
 
 
 def bag_of_words(spark, folder):
-    docs = document_tokens(spark, folder)
-    bags = vocabulary.bag_of_words(docs, vocabulary.bag_model(docs), "doc_id")
-    return bags.withColumn("term_id", F.col("term_id").cast("bigint"))
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    return vocabulary.bag_of_words(docs, pruned_terms(docs), "doc_id")
 
 
 def vocabulary_of(spark, folder):
@@ -224,6 +232,11 @@ def document_sequences(spark, folder):
     return flat_sequences(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
 
 
+def long_sequences(spark, folder):
+    docs = documents(spark, folder)
+    return flat_sequences(docs, "text", ["doc_id"], vocabulary_of(spark, folder), LONG_LEN)
+
+
 def sentence_sequences(spark, folder):
     rows = sentence_split(spark, folder)
     return flat_sequences(rows, "sentence", ["doc_id", "pos"], vocabulary_of(spark, folder), SENTENCE_LEN)
@@ -250,6 +263,27 @@ def sequence_vote(spark, folder):
     return sequence.vote_by_sentence(documents(spark, folder), "doc_id", "text", score)
 
 
+def text_cast(spark, folder):
+    """Values of other types as text, with a word for what is missing."""
+    value = F.when(F.col("quality") > 0, F.col("quality"))
+    return table(spark, folder, "labels").select("doc_id", as_text(value, "nan").alias("text"))
+
+
+def tokens_persisted(spark, folder):
+    """Tokens written once and read by two jobs: their number, and the documents each occurs in."""
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    counts = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return counts.join(vocabulary.document_frequency(docs), "term")
+
+
+def feature_concat(spark, folder):
+    """Dense topic scores followed by a vector, as the classifier's features are put together."""
+    topics = dense_topics(F.array(F.struct(F.pmod("label", F.lit(3)).cast("int"), F.lit(0.5))), 3)
+    both = table(spark, folder, "embeddings").withColumn("topics", topics)
+    rows = both.select("vec_id", F.posexplode(F.concat("topics", F.col("embedding").cast("array<double>"))).alias("j", "value"))
+    return rows.select("vec_id", F.col("j").cast("bigint").alias("j"), F.round("value", 6).alias("value"))
+
+
 def doc_prefix(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "lang").orderBy("doc_id").limit(10)
 
@@ -266,8 +300,7 @@ def combined_features(spark, folder):
 
 
 def label_index(spark, folder):
-    index = labels.label_index(table(spark, folder, "documents"), "source")
-    return index.select(F.col("label_id").cast("bigint").alias("label_id"), "label")
+    return labels.label_index(table(spark, folder, "documents"), "source")
 
 
 def class_counts(spark, folder):
@@ -406,6 +439,10 @@ def event_log(spark, folder):
     )
 
 
+def epoch_summary(spark, folder):
+    return training_log.epoch_summary(event_log(spark, folder), ["run", "epoch"], "loss", "n_correct", "n")
+
+
 def training_curve(spark, folder):
     return training.curve_of_log(event_log(spark, folder), every=REPORT_EVERY).drop("place")
 
@@ -434,6 +471,47 @@ def topic_dense(spark, folder):
     return dense.select("user_id", F.col("topic").cast("bigint").alias("topic"), F.round("score", 6).alias("score"))
 
 
+def held_out(docs, share: int = 4):
+    """Split by the id: one document in ``share`` is not learned from."""
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
+    return docs.where(~out), docs.where(out)
+
+
+def beats_majority(predicted, truth: str = "lang"):
+    """Whether the predictions are right more often than always naming the most frequent class."""
+    counts = predicted.groupBy(truth, "prediction").agg(F.count("*").alias("n"))
+    right = F.sum(F.when(F.col(truth) == F.col("prediction"), F.col("n")).otherwise(0))
+    total = counts.groupBy(truth).agg(F.sum("n").alias("n"), right.alias("right"))
+    return total.agg((F.sum("right") > F.max("n")).alias("beats_majority"))
+
+
+def topic_sums(spark, folder):
+    """What fitted topics must satisfy: as many shares as topics, adding up to one, per document."""
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    stage = vocabulary.bag_model(docs)
+    scored = fit_topics(stage.transform(docs)).transform(stage.transform(docs))
+    shares = vector_to_array("topics")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    empty = F.size(F.unwrap_udt("bag")["indices"]) == 0
+    return scored.select("doc_id", F.size(shares).cast("bigint").alias("n_topics"), (empty | (F.abs(total - 1) < 1e-9)).alias("whole"))
+
+
+def svm_held_out(spark, folder):
+    learn, test = held_out(documents(spark, folder, "doc_id", "lang", "text"))
+    model = classical.fit_domain_model(learn, "text", "lang")
+    path = fresh_path(spark, "domain-model")
+    model.save(path)
+    loaded = classical.DomainModel.load(path)
+    one, two = (materialize(classical.predict_domains(test, m, "text").select("doc_id", "lang", "prediction"), "predicted") for m in (model, loaded))
+    again = two.select("doc_id", F.col("prediction").alias("again"))
+    same = one.join(again, "doc_id").agg(F.bool_and(F.col("prediction") == F.col("again")).alias("same_after_load"))
+    return beats_majority(one).withColumn("check", F.lit("svm")).join(same.withColumn("check", F.lit("svm")), "check")
+
+
+def head_held_out(spark, folder):
+    return beats_majority(fitted_head(spark, folder, True)).withColumn("check", F.lit("head"))
+
+
 def lda_topics(spark, folder):
     docs = materialize(document_tokens(spark, folder), "tokens")
     stage = vocabulary.bag_model(docs)
@@ -455,6 +533,11 @@ def svm_predict(spark, folder):
 
 
 def head_train(spark, folder):
+    return fitted_head(spark, folder, False)
+
+
+def fitted_head(spark, folder, apart):
+    """A head over word-vector means: fitted and applied on all documents, or applied on held-out ones."""
     docs = documents(spark, folder, "doc_id", "lang", "text")
     kinds = labels.fit_labels(docs, "lang")
     rows = docs.select(
@@ -464,8 +547,10 @@ def head_train(spark, folder):
         filter_tokens(F.col("text")).alias("tokens"),
     )
     rows = materialize(rows, "tokens")
-    vectors = materialize(fit_vectors(rows).transform(rows).drop("tokens"), "vectors")
-    scored = fit_head(vectors, len(kinds)).transform(vectors)
+    learn, test = held_out(rows) if apart else (rows, rows)
+    words = fit_vectors(learn)
+    vectors = materialize(words.transform(learn).drop("tokens"), "vectors")
+    scored = fit_head(vectors, len(kinds)).transform(words.transform(test).drop("tokens"))
     return scored.select("doc_id", "lang", decode_label(F.col("class"), labels.label_array(kinds)).alias("prediction"))
 
 
@@ -495,8 +580,12 @@ QUERIES = {
     "sequence_ids": sequence_ids,
     "sequence_pad": sequence_pad,
     "document_sequences": document_sequences,
+    "long_sequences": long_sequences,
     "sentence_sequences": sentence_sequences,
     "sequence_vote": sequence_vote,
+    "text_cast": text_cast,
+    "tokens_persisted": tokens_persisted,
+    "feature_concat": feature_concat,
     "doc_prefix": doc_prefix,
     "combined_features": combined_features,
     "label_index": label_index,
@@ -518,9 +607,13 @@ QUERIES = {
     "majority_vote": majority_vote,
     "minibatch": minibatch,
     "file_batch": file_batch,
+    "epoch_summary": epoch_summary,
     "training_curve": training_curve,
     "early_stop": early_stop,
     "topic_dense": topic_dense,
+    "topic_sums": topic_sums,
+    "svm_held_out": svm_held_out,
+    "head_held_out": head_held_out,
     "lda_topics": lda_topics,
     "doc_vectors": doc_vectors,
     "svm_predict": svm_predict,

@@ -8,6 +8,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 # Fixed header of the document CSV. Target ids stay strings: leading zeros matter.
 DOCUMENT_COLUMNS = ("sources", "categories", "subcategories", "targetids")
 DOCUMENT_SCHEMA = StructType([StructField(name, StringType()) for name in DOCUMENT_COLUMNS])
+# With a document id in front, so that rows can be traced to their texts.
+KEYED_COLUMNS = ("doc_id", *DOCUMENT_COLUMNS)
+KEYED_SCHEMA = StructType([StructField(name, StringType()) for name in KEYED_COLUMNS])
 
 
 def write_documents_csv(df: DataFrame, path: str, columns: tuple[str, ...] = DOCUMENT_COLUMNS, mode: str = "error") -> None:

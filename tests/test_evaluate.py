@@ -48,7 +48,7 @@ def test_confusion_wide(pairs):
     assert wide == {"a": (5, 2, 0, 0), "b": (0, 3, 0, 1), "d": (2, 0, 0, 0), "e": (0, 0, 0, 0)}
 
 
-def restated(rows, names):
+def restated(rows, names, unknown="wrong"):
     result = {}
     for name in names:
         hits = sum(x == y == name for x, y in rows)
@@ -56,18 +56,20 @@ def restated(rows, names):
         p, r = hits / predicted if predicted else 0.0, hits / support if support else 0.0
         result[name] = (p, r, 2 * p * r / (p + r) if p + r else 0.0, support)
     total = sum(row[3] for row in result.values())
-    correct = sum(x == y and x in names for x, y in rows) / total
-    summary = {"accuracy": (correct,) * 3 + (total,)}
+    lost = sum(x is None for x, _ in rows) if unknown == "wrong" else 0
+    correct = sum(x == y and x in names for x, y in rows) / (total + lost)
+    summary = {"accuracy": (correct,) * 3 + (total + lost,)}
     metrics = list(result.values())
     summary["macro avg"] = tuple(sum(m[i] for m in metrics) / len(metrics) for i in range(3)) + (total,)
     summary["weighted avg"] = tuple(sum(m[i] * m[3] for m in metrics) / total for i in range(3)) + (total,)
     return {**result, **summary}
 
 
+@pytest.mark.parametrize("unknown", ["wrong", "skip"])
 @pytest.mark.parametrize("labels, names", [("union", "abde"), ("truth", "abd"), (list("abdez"), "abdez")])
-def test_classification_report(pairs, labels, names):
-    got = {row["class"]: tuple(row)[1:] for row in classification_report(pairs, labels).collect()}
-    expected = restated(ROWS, names)
+def test_classification_report(pairs, labels, names, unknown):
+    got = {row["class"]: tuple(row)[1:] for row in classification_report(pairs, labels, unknown).collect()}
+    expected = restated(ROWS, names, unknown)
     assert got.keys() == expected.keys()
     for name, values in expected.items():
         assert got[name] == pytest.approx(values), name
@@ -78,6 +80,21 @@ def test_label_sets(pairs):
     assert [tuple(row) for row in unseen_predictions(pairs).collect()] == [("e", 1)]
     row = accuracy(pairs).first()
     assert (row.n, row.n_correct) == (len(ROWS), 8) and row.accuracy == pytest.approx(8 / len(ROWS))
+    row = accuracy(pairs, "skip").first()
+    assert row.n == sum(x is not None for x, _ in ROWS) and row.n_correct == 8
+
+
+def test_thousands_of_classes(spark):
+    n = 5000
+    rows = spark.range(2 * n).selectExpr(f"concat('c', id % {n}) AS label", f"concat('c', (id * 7) % {n}) AS prediction")
+    counted = pair_counts(rows)
+    index = label_index(rows, "label").orderBy("label_id").collect()
+    assert [r.label for r in index] == sorted(f"c{i}" for i in range(n)) and [r.label_id for r in index] == list(range(n))
+    report = {r["class"]: r for r in classification_report(counted).collect()}
+    assert len(report) == n + 3 and report["c0"].recall == 1.0 and report["c1"].recall == 0.0
+    cells = confusion_matrix(counted.where("label < 'c11'")).agg(F.count("*"), F.sum("n")).first()
+    names = {f"c{i}" for i in range(n) if f"c{i}" < "c11"}
+    assert cells[0] == len(names) ** 2 and cells[1] == sum(f"c{i * 7 % n}" in names for i in range(2 * n) if f"c{i % n}" in names)
 
 
 def test_vote_equals_mode_of_the_sequence(spark):

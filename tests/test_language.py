@@ -37,7 +37,7 @@ def predict(fit, rows, max_terms):
     return result
 
 
-@pytest.mark.parametrize("max_terms", [100_000, 9])
+@pytest.mark.parametrize("max_terms", [None, 9])
 def test_predictions_equal_brute_force(spark, max_terms):
     fit, rows = made(1, 200, noise=1), made(2, 150, noise=2) + [(900, "", None), (901, "unknown words", None), (902, None, None)]
     model = fit_language_model(spark.createDataFrame(fit, "i int, t string, lang string"), "t", "lang", max_terms=max_terms)
@@ -56,13 +56,11 @@ def test_held_out_texts(spark):
 def test_profile_holds_the_weights_of_the_model(spark):
     df = spark.createDataFrame(made(3, 60), "i int, t string, lang string")
     model = fit_language_model(df, "t", "lang")
-    counter, bayes = model.stages.stages
-    theta = bayes.theta.toArray()
+    weights = {row.term: row.weights for row in model.profile.collect()}
     rows = language_profile(df, "t", "lang").collect()
     assert {row.lang for row in rows} == set(WORDS) and len(rows) == 18
     for row in rows:
-        weight = theta[model.labels.index(row.lang), counter.vocabulary.index(row.term)]
-        assert row.log_prob == pytest.approx(weight)
+        assert row.log_prob == pytest.approx(weights[row.term][model.labels.index(row.lang)])
 
 
 def test_saved_model_gives_the_same_predictions(spark, tmp_path):
@@ -77,7 +75,7 @@ def test_character_runs(spark, tmp_path):
     rows = [(0, "日本語の文章です", "ja"), (1, "中文的文字是这样", "zh"), (2, "ab  ab", "xx")]
     df = spark.createDataFrame(rows, "i int, t string, lang string")
     model = fit_language_model(df, "t", "lang", gram=2)
-    assert sorted(model.stages.stages[0].vocabulary) == sorted(
+    assert sorted(row.term for row in model.profile.collect()) == sorted(
         {t[i : i + 2] for t in ("日本語の文章です", "中文的文字是这样", "ab ab") for i in range(len(t) - 1)}
     )
     held = spark.createDataFrame([(0, "文章です"), (1, "文字是"), (2, "Ab"), (3, "q")], "i int, t string")

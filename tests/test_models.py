@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docspark.models.features import (
     TopicScores,
-    bounded_min_count,
     dense_topics,
     fit_topics,
     fit_vectors,
@@ -122,13 +121,6 @@ def test_dense_topics_cover_every_row(spark):
     assert got == {1: [0.5, 0.0, 0.5], 2: [0.0, 0.995, 0.0], 3: [0.0, 0.0, 0.0]}
 
 
-def test_vector_vocabulary_is_bounded_by_its_count(spark):
-    df = spark.createDataFrame([(["a"] * 9 + ["b"] * 7 + ["c"] * 7 + ["d"] * 3,)], "tokens array<string>")
-    assert bounded_min_count(df, "tokens", 3) == 3
-    assert bounded_min_count(df, "tokens", 3, max_terms=3) == 4
-    assert bounded_min_count(df, "tokens", 3, max_terms=2) == 8
-
-
 @pytest.mark.parametrize("kind", ["layers", "softmax"])
 def test_heads_learn_from_document_vectors(docs, kind):
     tokens = tokens_of(docs).withColumn(

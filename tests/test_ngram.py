@@ -52,7 +52,7 @@ def brute(fit, rows, max_grams):
     }
 
 
-@pytest.mark.parametrize("max_grams", [100_000, 30])
+@pytest.mark.parametrize("max_grams", [None, 30])
 def test_classes_equal_brute_force(spark, max_grams):
     fit, held = made(1, 200), made(2, 150) + [(900, None, ""), (901, "", ""), (902, "new words only", ""), (903, "red", "")]
     model = fit_ngrams(spark.createDataFrame(fit, "i int, t string, c string"), "t", "c", max_grams=max_grams)

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 from docspark.registry.compare import TABLES, normal
+from docspark.registry.oracle import ORACLE
+from docspark.registry.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 FITTED = {"lda_topics", "doc_vectors", "svm_predict", "head_train"}
@@ -19,8 +21,9 @@ def duck():
 
 
 def test_every_query_has_sql_unless_it_fits_a_model():
-    assert contract.queries().keys() - contract.oracle_sql().keys() == FITTED
+    assert QUERIES.keys() - ORACLE.keys() == FITTED
     assert not contract.oracle_sql().keys() - contract.queries().keys()
+    assert QUERIES.keys() <= contract.queries().keys()
 
 
 def test_entry(spark):
@@ -34,7 +37,7 @@ def equal(a, b):
     return a == b or (a is None and b is None)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()

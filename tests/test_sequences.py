@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.functions.sequences import pad_sequence, subword_ids
+from docspark.functions.sequences import pad_sequence
 from docspark.models.head import sequence_scorer
 from docspark.plans.sequence import (
     evaluate_scores,
@@ -13,8 +13,6 @@ from docspark.plans.sequence import (
     word_vocabulary,
 )
 
-BPE = "/opt/tokenizers/byte_bpe_50k.json"
-
 
 def test_frame_truncate_pad(spark):
     n = 6
@@ -64,18 +62,6 @@ def test_scoring_of_sequences(spark):
     assert {row.doc_id: row.scores for row in scored.collect()} == {1: [11.0, 4.0], 2: [6.0, 3.0]}
 
 
-def test_subword_ids_decode_to_the_text(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    try:
-        tokenizer = tokenizers.Tokenizer.from_file(BPE)
-    except Exception:
-        pytest.skip("no tokenizer file")
-    texts = ["Plain words, and others.", "naïve 漢字", ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rows = df.select("i", subword_ids(spark, BPE)("t").alias("ids")).collect()
-    assert {row.i: tokenizer.decode(row.ids) for row in rows} == dict(enumerate(texts))
-
-
 def test_validation_of_scores(spark):
     rows = [("a", [2.0, 0.0]), ("b", [1.0, 0.0]), ("b", [0.0, 3.0]), ("new", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "category string, scores array<double>")

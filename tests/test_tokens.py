@@ -35,7 +35,8 @@ def test_filter_order_and_cap(spark):
     vocabulary = "the The of and a x1 42 007 ² Ü über Cat dog it's 2nd ½ naïve 漢字".split()
     texts = [" ".join(rng.choices(vocabulary, k=rng.choice((0, 3, 49, 50, 60, 199, 200, 201, 400)))) for _ in range(300)]
     texts += [None, "", "...", "the " * 500 + "cat " * 70, " leading", "trailing ", "the " * 199 + "cat", "cat " * 50 + "dog"]
-    assert apply(spark, texts, filter_tokens) == [restated(text) for text in texts]
+    assert apply(spark, texts, lambda t: filter_tokens(t, max_tokens=50, max_chars=1_000_000)) == [restated(text) for text in texts]
+    assert apply(spark, texts, filter_tokens) == [restated(text, None) for text in texts]
 
 
 def test_own_limits_and_stop_list(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators.training_log import (
     early_stop,
+    epoch_summary,
     file_batches,
     number_steps,
     running,
@@ -16,13 +17,15 @@ from docspark.operators.training_log import (
 from docspark.plans.training import stops_of_log
 
 
-@pytest.mark.parametrize("width", [1, 7, 1_000_000])
-def test_running_values_do_not_depend_on_the_blocks(spark, width):
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_running_values_do_not_depend_on_the_partitions(spark, partitions):
     rng = random.Random(2)
     # One key holds most rows; order values have gaps.
-    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randint(0, 3)}", 3 * i, rng.randint(-5, 5)) for i in range(400)]
+    rows = [("hot" if rng.random() < 0.8 else rng.choice([None, "k0", "k1"]), 3 * i * 10**7, rng.randint(-5, 5)) for i in range(400)]
+    rows.append((None, None, 4))
+    rows = [rows[-1], *rows[:-1]]
     df = spark.createDataFrame(rng.sample(rows, len(rows)), "key string, place long, v long").repartition(4)
-    got = running(df, ["key"], "place", sums={"s": F.col("v")}, maxima={"m": F.col("v")}, width=width)
+    got = running(df, ["key"], "place", sums={"s": F.col("v")}, maxima={"m": F.col("v")}, partitions=partitions)
     expected = set()
     for key in {row[0] for row in rows}:
         mine = [row for row in rows if row[0] == key]
@@ -34,10 +37,10 @@ def test_running_values_do_not_depend_on_the_blocks(spark, width):
 def test_batches(spark):
     df = spark.range(0, 500, 5).withColumnRenamed("id", "doc_id").repartition(3)
     ids = list(range(0, 500, 5))
-    in_order = {row.doc_id: row.batch_id for row in file_batches(df, "doc_id", 15, width=60).collect()}
+    in_order = {row.doc_id: row.batch_id for row in file_batches(df, "doc_id", 15).collect()}
     assert in_order == {doc: i // 15 for i, doc in enumerate(ids)}
     shuffled = sorted(ids, key=lambda i: (hashlib.md5(f"s{i}".encode()).hexdigest(), i))
-    got = {row.doc_id: row.batch_id for row in shuffled_batches(df, "doc_id", 15, seed="s", digits=1).collect()}
+    got = {row.doc_id: row.batch_id for row in shuffled_batches(df, "doc_id", 15, seed="s").collect()}
     assert got == {doc: i // 15 for i, doc in enumerate(shuffled)}
 
 
@@ -61,8 +64,8 @@ def test_early_stop_equals_the_loop(spark):
     runs[152] = [0.01 * i for i in range(1, 40)]
     rows = [(run, 10 * place + 3, value) for run, values in runs.items() for place, value in enumerate(values)]
     curve = spark.createDataFrame(rows, "run int, place long, accuracy double").repartition(3)
-    for width in (7, 1_000_000):
-        got = {row.run: (row.place - 3) // 10 for row in early_stop(curve, "run", "place", 3, width=width).collect()}
+    for partitions in (1, 9):
+        got = {row.run: (row.place - 3) // 10 for row in early_stop(curve, "run", "place", 3, partitions=partitions).collect()}
         expected = {run: stop_by_loop(values, 3) for run, values in runs.items()}
         assert got == {run: place for run, place in expected.items() if place is not None}
 
@@ -81,7 +84,7 @@ def test_curve_reports_and_state_across_epochs(spark):
                 expected.append((epoch, step, loss_sum / (step + 1), correct_sum / n_sum))
             place += 1
     df = spark.createDataFrame(log, "run string, epoch int, place long, loss double, ok int, n int").repartition(3)
-    steps = number_steps(df, ["run", "epoch"], "place", "loss", "ok", "n", width=8)
+    steps = number_steps(df, ["run", "epoch"], "place", "loss", "ok", "n", partitions=8)
     curve = training_curve(steps, ["run", "epoch"], "place", 10)
     got = sorted(tuple(row) for row in curve.select("epoch", "step", "loss", "accuracy").collect())
     assert [row[:2] for row in got] == [row[:2] for row in expected]
@@ -93,6 +96,20 @@ def test_curve_reports_and_state_across_epochs(spark):
     assert [(row.epoch, row.place, row.peak) for row in stop.collect()] == [(1, 3, 0.5)]
 
 
+def test_null_runs_null_order_and_no_examples(spark):
+    rows = [(None, 0, i, 0.5, 1, 0) for i in range(5)] + [("a", 0, i, 0.25, 0, 2) for i in range(4)] + [("a", 0, None, 0.25, 2, 2)]
+    df = spark.createDataFrame(rows, "run string, epoch int, place long, loss double, ok int, n int").repartition(3)
+    steps = number_steps(df, ["run", "epoch"], "place", "loss", "ok", "n")
+    assert steps.count() == 10
+    curve = {(r.run, r.step): (r.loss, r.accuracy) for r in training_curve(steps, ["run", "epoch"], "place", 2).collect()}
+    assert curve == {(None, 2): (0.5, None), (None, 4): (0.5, None), ("a", 2): (0.25, 0.3333), ("a", 4): (0.25, 0.2)}
+    summary = {r.run: (r.n_batches, r.loss, r.accuracy) for r in epoch_summary(df, ["run", "epoch"], "loss", "ok", "n").collect()}
+    assert summary == {None: (5, 0.5, None), "a": (5, 0.25, 0.2)}
+    few = spark.createDataFrame([(None,), (3,), (10**15,)], "doc_id long")
+    assert {r.doc_id: r.batch_id for r in file_batches(few, "doc_id", 2).collect()} == {None: 0, 3: 0, 10**15: 1}
+    assert shuffled_batches(few, "doc_id", 2).count() == 3
+
+
 def test_stops_of_a_log(spark):
     """Accuracy falls after the first report, so the run stops with the second miss."""
     log = [("r", step // 30, step, 0.5, int(step < 4), 1) for step in range(60)]

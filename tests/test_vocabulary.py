@@ -34,9 +34,9 @@ def test_prune_then_keep_then_number(docs):
 
 
 def test_bag_of_words_drops_unknown_terms(docs):
-    model = bag_model(docs, min_docs=2, max_share=1.0)
-    assert model.vocabulary == ["a", "b", "c"]
-    rows = {(row.doc_id, row.term_id): row.tf for row in bag_of_words(docs, model, "doc_id").collect()}
+    assert bag_model(docs, min_docs=2, max_share=1.0).vocabulary == ["a", "b", "c"]
+    terms = number_terms(prune_terms(document_frequency(docs), 6, min_docs=2, max_share=1.0))
+    rows = {(row.doc_id, row.term_id): row.tf for row in bag_of_words(docs, terms, "doc_id").collect()}
     assert rows == {(1, 0): 2, (1, 1): 1, (2, 0): 1, (2, 2): 1, (3, 0): 1, (3, 1): 1, (5, 2): 1, (6, 1): 1}
 
 
@@ -45,17 +45,16 @@ def test_bag_model_without_frequent_terms_says_so(docs):
         bag_model(docs)
 
 
-@pytest.mark.parametrize("max_rows", [1000, 1])
-def test_lookup_is_the_same_by_broadcast_and_by_join(spark, max_rows):
+def test_lookup(spark):
     rows = [(i, [f"t{(i * j) % 7}" for j in range(i % 5)]) for i in range(50)] + [(50, None)]
     docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
     table = spark.createDataFrame([("t0", 10), ("t3", 13)], "term string, value int")
-    found = lookup_terms(docs, ["doc_id"], "tokens", table, "ids", missing=3, max_rows=max_rows)
+    found = lookup_terms(docs, ["doc_id"], "tokens", table, "ids", missing=3)
     known = {"t0": 10, "t3": 13}
     expected = {i: None if tokens is None else [known.get(t, 3) for t in tokens] for i, tokens in rows}
     assert {row.doc_id: row.ids for row in found.collect()} == expected
     lemmas = spark.createDataFrame([("t1", "one"), ("t2", "two")], "term string, value string")
-    found = lookup_terms(docs, ["doc_id"], "tokens", lemmas, "lemmas", max_rows=max_rows)
+    found = lookup_terms(docs, ["doc_id"], "tokens", lemmas, "lemmas")
     names = {"t1": "one", "t2": "two"}
     expected = {i: None if tokens is None else [names.get(t, t) for t in tokens] for i, tokens in rows}
     assert {row.doc_id: row.lemmas for row in found.collect()} == expected
@@ -69,5 +68,16 @@ def test_join_lookup_with_a_term_in_most_of_the_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
     table = spark.createDataFrame([("hot", 1)] + [(f"t{j}", j + 10) for j in range(0, 3000, 2)], "term string, value int")
     known = {row.term: row.value for row in table.collect()}
-    found = lookup_terms(docs, ["doc_id"], "tokens", table, "ids", missing=0, max_rows=10)
+    found = lookup_terms(docs, ["doc_id"], "tokens", table, "ids", missing=0)
     assert {row.doc_id: row.ids for row in found.collect()} == {i: [known.get(t, 0) for t in tokens] for i, tokens in rows}
+
+
+def test_lookup_of_null_and_repeated_keys_and_terms(spark):
+    rows = [(None, ["a", "x"]), (None, None), (7, ["a"]), (7, ["b"]), (7, ["b"]), (8, [None, "a"]), (9, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    table = spark.createDataFrame([("a", 1), ("b", 2), (None, 9)], "term string, value int")
+    found = lookup_terms(docs, ["doc_id"], "tokens", table, "ids", missing=3).collect()
+    expected = [(None, [1, 3]), (None, None), (7, [1]), (7, [2]), (7, [2]), (8, [3, 1]), (9, [])]
+    assert sorted(((r.doc_id, r.ids) for r in found), key=str) == sorted(expected, key=str)
+    with pytest.raises(ValueError):
+        lookup_terms(docs, ["doc_id"], "tokens", table.unionByName(table), "ids", missing=3)
