@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.scores import argmax, cross_entropy, decode_label, one_hot, target_index
 from docspark.functions.sequences import FIRST_ID, UNK, pad_sequence
 from docspark.functions.tokens import as_text, first_words, sentences, words
 from docspark.operators.evaluate import classification_report, confusion_matrix, majority_vote, mean_loss, pair_counts
-from docspark.operators.labels import encode_label, label_array
+from docspark.operators.labels import encode_label, fit_labels, label_array
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.vocabulary import document_frequency, number_terms, top_terms
 from docspark.session import materialize
@@ -63,6 +67,64 @@ def score_sequences(sequences: DataFrame, scorer: Callable[[Column, Column, Colu
     return sequences.withColumn(output, scorer(F.col("ids"), F.col("mask"), F.col("token_type_ids")))
 
 
+class SequenceModel:
+    """What a validation of the sequence flow needs: fitted labels, vocabulary and head, kept together.
+
+    The head is a softmax over hashed ids of the fixed-length sequence, a stand-in for an encoder.
+    """
+
+    def __init__(self, labels: list[str], vocabulary: DataFrame, head: PipelineModel, max_len: int):
+        self.labels = labels
+        self.vocabulary = vocabulary
+        self.head = head
+        self.max_len = max_len
+
+    def sequences(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        return sequence_rows(rows, text, keys, self.vocabulary, self.max_len)
+
+    def transform(self, rows: DataFrame, text: str, keys: list[str], output: str = "scores") -> DataFrame:
+        """``keys, scores``: the logarithms of the class probabilities of every row."""
+        scored = self.head.transform(_pieces(self.sequences(rows, text, keys)))
+        logs = F.transform(vector_to_array("_probability"), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+        return scored.select(*keys, logs.alias(output))
+
+    def save(self, path: str) -> None:
+        """Write labels, vocabulary and head below ``path``."""
+        rows = [(i, label, self.max_len) for i, label in enumerate(self.labels)]
+        saved = self.vocabulary.sparkSession.createDataFrame(rows, "id int, label string, max_len int")
+        saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.head.write().overwrite().save(f"{path}/head")
+
+    @classmethod
+    def load(cls, path: str) -> SequenceModel:
+        spark = SparkSession.getActiveSession()
+        rows = spark.read.parquet(f"{path}/labels").orderBy("id").collect()
+        vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        return cls([row.label for row in rows], vocabulary, PipelineModel.load(f"{path}/head"), rows[0].max_len)
+
+
+def _pieces(sequences: DataFrame) -> DataFrame:
+    return sequences.withColumn("_pieces", F.transform("ids", lambda i: i.cast("string")))
+
+
+def fit_sequences(
+    docs: DataFrame, text: str, category: str, key: str, max_len: int, features: int = 1 << 12, max_iter: int = 15
+) -> SequenceModel:
+    """Fit labels, vocabulary and head on labelled documents; the sequences are written once."""
+    labels = fit_labels(docs, category)
+    vocabulary = materialize(word_vocabulary(docs, text), "vocabulary")
+    known = docs.select(key, encode_label(F.col(category), labels).cast("double").alias("_label")).where("_label IS NOT NULL")
+    rows = sequence_rows(docs, text, [key], vocabulary, max_len).join(known, key)
+    rows = materialize(_pieces(rows), "sequences")
+    hashed = HashingTF(inputCol="_pieces", outputCol="_features", numFeatures=features)
+    softmax = LogisticRegression(
+        featuresCol="_features", labelCol="_label", predictionCol="_class", rawPredictionCol="_raw",
+        probabilityCol="_probability", family="multinomial", maxIter=max_iter, regParam=0.01,
+    )
+    return SequenceModel(labels, vocabulary, Pipeline(stages=[hashed, softmax]).fit(rows), max_len)
+
+
 def evaluate_scores(
     scored: DataFrame, category: str, labels: list[str], scores: str = "scores", unknown: str = "class0"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -270,6 +270,7 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM long GROUP BY term
     "topic_sums": "SELECT doc_id, 9::BIGINT AS n_topics, true AS whole FROM documents",
     "svm_held_out": "SELECT 'svm' AS \"check\", true AS beats_majority, true AS same_after_load FROM documents LIMIT 1",
     "head_held_out": "SELECT 'head' AS \"check\", true AS beats_majority FROM documents LIMIT 1",
+    "sequences_held_out": "SELECT 'sequences' AS \"check\", true AS beats_majority, true AS same_after_load, true AS low_loss FROM documents LIMIT 1",
     "doc_prefix": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10",
     "combined_features": f"""SELECT doc_id, length(text) || ' ' || n || ' ' || quality || ' ' || toxic AS features
 FROM documents JOIN labels USING (doc_id)

@@ -512,6 +512,25 @@ def head_held_out(spark, folder):
     return beats_majority(fitted_head(spark, folder, True)).withColumn("check", F.lit("head"))
 
 
+def sequences_held_out(spark, folder):
+    """Labels, vocabulary and head fitted, saved, loaded and validated on held-out documents."""
+    learn, test = held_out(documents(spark, folder, "doc_id", "lang", "text"))
+    model = sequence.fit_sequences(learn, "text", "lang", "doc_id", MAX_LEN)
+    path = fresh_path(spark, "sequence-model")
+    model.save(path)
+    one, two = (materialize(m.transform(test, "text", ["doc_id"]), "scores") for m in (model, sequence.SequenceModel.load(path)))
+    again = two.select("doc_id", F.col("scores").alias("again"))
+    same = one.join(again, "doc_id").agg(F.bool_and(F.col("scores") == F.col("again")).alias("same_after_load"))
+    scored = one.join(test.select("doc_id", "lang"), "doc_id")
+    loss, _, _ = sequence.evaluate_scores(scored, "lang", model.labels)
+    named = scored.select("lang", decode_label(argmax(F.col("scores")), labels.label_array(model.labels)).alias("prediction"))
+    parts = (beats_majority(named), same, loss.select((F.col("loss") < 1.0).alias("low_loss")))
+    first, *others = (part.withColumn("check", F.lit("sequences")) for part in parts)
+    for part in others:
+        first = first.join(part, "check")
+    return first
+
+
 def lda_topics(spark, folder):
     docs = materialize(document_tokens(spark, folder), "tokens")
     stage = vocabulary.bag_model(docs)
@@ -614,6 +633,7 @@ QUERIES = {
     "topic_sums": topic_sums,
     "svm_held_out": svm_held_out,
     "head_held_out": head_held_out,
+    "sequences_held_out": sequences_held_out,
     "lda_topics": lda_topics,
     "doc_vectors": doc_vectors,
     "svm_predict": svm_predict,
