@@ -20,6 +20,8 @@ SAMPLE_PER_GRADE = 6_000
 #: Sampled documents a word needs to become a feature, greatest share of them it may be in, penalty of a weight, steps.
 MIN_DOCS, MAX_SHARE, PENALTY, STEPS = 5, 0.5, 2e-3, 200
 
+#: Counters that pick the features a fit lists.
+COUNTERS = 1 << 22
 #: Lengths of the beginnings of words that are features too, so that unseen forms of a known stem count.
 STEMS = (4, 5, 6)
 #: Weight of the examples of the grades between the lowest and the highest.
@@ -64,13 +66,19 @@ def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS,
     if not len(texts) or grades.max() <= 0:
         return SeverityModel()
     top = int(grades.max())
+    # Most features are too rare. Counters by hash, never too low, tell nearly all of them without a list of all.
+    counters = np.zeros(COUNTERS, "int32")
+    for text in texts:
+        counters[np.unique(np.fromiter((hash(w) % COUNTERS for w in features(text)), "int64"))] += 1
     index: dict[str, int] = {}
     rows, columns = [], []
     for i, text in enumerate(texts):
-        found = [index.setdefault(w, len(index)) for w in sorted(features(text))]
+        found = [index.setdefault(w, len(index)) for w in sorted(features(text)) if counters[hash(w) % COUNTERS] >= min_docs]
         rows.append(np.full(len(found), i, "int32"))
         columns.append(np.array(found, "int32"))
     row, column = np.concatenate(rows), np.concatenate(columns)
+    if not index:
+        return SeverityModel()
     docs = np.bincount(column, minlength=len(index))
     kept = (docs >= min_docs) & (docs <= max(min_docs, max_share * len(texts)))
     use = kept[column]
