@@ -485,6 +485,16 @@ def beats_majority(predicted, truth: str = "lang"):
     return total.agg((F.sum("right") > F.max("n")).alias("beats_majority"))
 
 
+def checked(check: str, *parts):
+    """One row ``check, ...`` from tables of one truth value each."""
+    names = [part.columns[0] for part in parts]
+    rows = [part.select(F.lit(name).alias("what"), F.col(name).alias("value")) for part, name in zip(parts, names)]
+    long = rows[0]
+    for more in rows[1:]:
+        long = long.unionByName(more)
+    return long.agg(*[F.bool_or(F.when(F.col("what") == name, F.col("value"))).alias(name) for name in names]).withColumn("check", F.lit(check))
+
+
 def topic_sums(spark, folder):
     """What fitted topics must satisfy: as many shares as topics, adding up to one, per document."""
     docs = materialize(document_tokens(spark, folder), "tokens")
@@ -505,11 +515,11 @@ def svm_held_out(spark, folder):
     one, two = (materialize(classical.predict_domains(test, m, "text").select("doc_id", "lang", "prediction"), "predicted") for m in (model, loaded))
     again = two.select("doc_id", F.col("prediction").alias("again"))
     same = one.join(again, "doc_id").agg(F.bool_and(F.col("prediction") == F.col("again")).alias("same_after_load"))
-    return beats_majority(one).withColumn("check", F.lit("svm")).join(same.withColumn("check", F.lit("svm")), "check")
+    return checked("svm", beats_majority(one), same)
 
 
 def head_held_out(spark, folder):
-    return beats_majority(fitted_head(spark, folder, True)).withColumn("check", F.lit("head"))
+    return checked("head", beats_majority(fitted_head(spark, folder, True)))
 
 
 def sequences_held_out(spark, folder):
@@ -524,11 +534,7 @@ def sequences_held_out(spark, folder):
     scored = one.join(test.select("doc_id", "lang"), "doc_id")
     loss, _, _ = sequence.evaluate_scores(scored, "lang", model.labels)
     named = scored.select("lang", decode_label(argmax(F.col("scores")), labels.label_array(model.labels)).alias("prediction"))
-    parts = (beats_majority(named), same, loss.select((F.col("loss") < 1.0).alias("low_loss")))
-    first, *others = (part.withColumn("check", F.lit("sequences")) for part in parts)
-    for part in others:
-        first = first.join(part, "check")
-    return first
+    return checked("sequences", beats_majority(named), same, loss.select((F.col("loss") < 1.0).alias("low_loss")))
 
 
 def lda_topics(spark, folder):
