@@ -28,6 +28,35 @@ PARTITIONS = 4
 VECTOR_PASSES = 2
 
 
+class WholeLDA(LDA):
+    """MLlib's online LDA with every document exactly once in every iteration.
+
+    The public stage draws each iteration's documents with replacement, so that a share of ``exp(-1)`` of
+    them is missing in each even at a rate of 1. The optimizer can draw without, which at a rate of 1 keeps
+    all, but the stage has no parameter for it; here its own steps are repeated with that switch set.
+    """
+
+    def _fit_java(self, dataset: DataFrame):
+        self._transfer_params_to_java()
+        stage, jvm = self._java_obj, dataset.sparkSession._jvm
+        helper = getattr(getattr(jvm, "org.apache.spark.ml.clustering.LDA$"), "MODULE$")
+        vectors = jvm.org.apache.spark.mllib.linalg.Vectors
+        optimizer = stage.getOldOptimizer().setSampleWithReplacement(False)
+        fitted = (
+            jvm.org.apache.spark.mllib.clustering.LDA()
+            .setK(self.getK())
+            .setDocConcentration(vectors.fromML(stage.getOldDocConcentration()))
+            .setTopicConcentration(stage.getOldTopicConcentration())
+            .setMaxIterations(self.getMaxIter())
+            .setSeed(self.getSeed())
+            .setCheckpointInterval(self.getCheckpointInterval())
+            .setOptimizer(optimizer)
+            .run(helper.getOldDataset(dataset._jdf, self.getFeaturesCol()))
+        )
+        session = dataset.sparkSession._jsparkSession
+        return jvm.org.apache.spark.ml.clustering.LocalLDAModel(self.uid, fitted.vocabSize(), fitted, session)
+
+
 def fit_topics(
     bags: DataFrame,
     features: str = "bag",
@@ -35,8 +64,8 @@ def fit_topics(
     passes: int = PASSES,
     seed: int = 7,
 ) -> LDAModel:
-    """Variational topics; every one of the ``passes`` reads all documents."""
-    return LDA(
+    """Variational topics; every one of the ``passes`` reads all documents, each of them once."""
+    return WholeLDA(
         featuresCol=features,
         topicDistributionCol="topics",
         k=k,

@@ -108,6 +108,17 @@ def test_topics_are_distributions_and_repeatable(docs):
     assert all(abs(sum(row) - 1) < 1e-6 for row in runs[0])
 
 
+def test_topics_learn_from_every_document_in_every_pass(spark):
+    """Each document has a word of its own, whose weight over all topics is the same if all are read alike."""
+    n = 64
+    df = spark.createDataFrame([(i, [f"w{i}"] * 200 + ["all"]) for i in range(n)], "doc_id long, tokens array<string>")
+    bags = bag_model(df, min_docs=1, max_share=0.9).transform(df).repartition(4)
+    for passes in (1, 2):
+        weights = fit_topics(bags, k=3, passes=passes).topicsMatrix().toArray().sum(axis=1)
+        assert len(weights) == n
+        assert weights.min() > 0.95 * weights.max()
+
+
 def test_small_topic_scores_are_dropped(spark):
     df = spark.createDataFrame([([0.005, 0.01, 0.985],)], "a array<double>").select(array_to_vector("a").alias("topics"))
     out = TopicScores(inputCol="topics", outputCol="kept").transform(df).select(vector_to_array("kept")).first()[0]
