@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, exact, language_model, lines, minhash, mixing, repeats, secret_scan, token_files, toxicity
+from docspark.llm import decontaminate, exact, language_model, lines, merkle, minhash, mixing, periodic, repeats, secret_scan, token_files, toxicity, url_filter
 from docspark.llm.common import table
 
 #: Probability of the highest grade from which a document is rejected.
 REJECT = 0.5
+#: Rules of the page filter: host and start of the path.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -68,8 +70,25 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, folder, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    bare = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest(fields).alias("leaf"), merkle.leaf_digest(fields, text=bare).alias("now"))
+    proven = merkle.manifest(leaves, "source", "doc_id", "leaf", ["now"])
+    return merkle.audit(proven, "now").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_report(periodic.periodic_runs(periodic.with_planted_runs(table(spark, folder, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_language_model, op4_lines, op5_exact, op6_repeats, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_language_model, op4_lines, op5_exact, op6_repeats, op7_decontamination, op8_toxicity, op9_minhash, op10_token_files, op11_redirects, op12_merkle, op13_periodic)
 }
 
 ORACLE: dict[str, str] = {
@@ -77,4 +96,6 @@ ORACLE: dict[str, str] = {
     "op2_secrets": secret_scan.SQL,
     "op4_lines": lines.SQL,
     "op5_exact": exact.SQL,
+    "op11_redirects": url_filter.SQL,
+    "op12_merkle": merkle.SQL,
 }
