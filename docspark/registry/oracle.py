@@ -235,6 +235,25 @@ scores AS (SELECT u.doc_id, s.lang, sum(coalesce(w.w, CASE WHEN u.pair THEN 0 EL
     LEFT JOIN weights w ON w.gram = u.gram AND w.pair = u.pair AND w.lang = s.lang GROUP BY u.doc_id, s.lang),
 best AS (SELECT doc_id, lang FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 8) DESC, lang) = 1)
 SELECT doc_id, best.lang AS prediction FROM documents LEFT JOIN best USING (doc_id)""",
+    "nested_text": r"""WITH tokens AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS token FROM
+(SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|</?[A-Za-z][^<>]*>|[^<]+|<') AS l FROM pages)),
+named AS (SELECT *, lower(nullif(regexp_extract(token, '^</?(?:[\w.-]+:)?([A-Za-z][\w.-]*)', 1), '')) AS name FROM tokens),
+tags AS (SELECT page_id, name, 2 * i AS place, CASE WHEN starts_with(token, '</') THEN -1 ELSE 1 END AS step FROM named WHERE name IN ('article', 'p', 'h1')
+    UNION ALL SELECT page_id, name, 2 * i + 1, -1 FROM named WHERE name IN ('article', 'p', 'h1') AND ends_with(token, '/>') AND NOT starts_with(token, '</')),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY place) AS s FROM tags),
+lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY page_id, name ORDER BY place)) AS low,
+    least(0, coalesce(min(s) OVER (PARTITION BY page_id, name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS earlier FROM summed),
+levels AS (SELECT *, s - low + CASE WHEN step = -1 THEN 1 ELSE 0 END AS depth FROM lows WHERE NOT (step = -1 AND low < earlier)),
+elements AS (SELECT * FROM (SELECT *, coalesce(lead(place) OVER (PARTITION BY page_id, name, depth ORDER BY place), 4611686018427387903) AS fin FROM levels) WHERE step = 1),
+units AS (SELECT u.page_id, u.place, u.depth, u.fin, min(c.place) FILTER (c.name = 'p') AS first FROM elements u
+    JOIN elements c ON c.page_id = u.page_id AND c.place > u.place AND c.place < u.fin
+    WHERE u.name = 'article' GROUP BY ALL HAVING count(*) FILTER (c.name = 'h1') > 0),
+children AS (SELECT u.*, least(c.fin, u.fin) AS until FROM units u LEFT JOIN elements c ON c.page_id = u.page_id AND c.place = u.first)
+SELECT c.page_id, c.place, c.depth::BIGINT AS depth, CASE WHEN c.first IS NOT NULL THEN coalesce(string_agg(CASE WHEN starts_with(n.token, '<![CDATA[')
+    THEN n.token[10:-4] ELSE n.token END, '' ORDER BY n.i), '') END AS text
+FROM children c LEFT JOIN named n ON n.page_id = c.page_id AND 2 * n.i > c.first AND 2 * n.i < c.until AND n.name IS NULL AND NOT starts_with(n.token, '<!--')
+GROUP BY c.page_id, c.place, c.depth, c.first""",
+    "unit_scan": "SELECT source AS category, lang AS subcategory, doc_id, coalesce(text, '') AS segment FROM documents WHERE lang = 'en' AND source IS NOT NULL",
     "token_filter": f"""SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM
 (SELECT doc_id, tokens[1:50] AS tokens FROM ({KEPT.replace("(text,", "(substring(text, 1, 1000000),")}))""",
     "lemma_lookup": f"""WITH kept AS ({KEPT}), lemmas(form, lemma) AS (VALUES {LEMMA_VALUES}),

@@ -22,6 +22,8 @@ from docspark.plans.extraction import clean_segments, rejoin_segments, segments_
 from docspark.session import fresh_path, materialize, spread
 from docspark.sources.documents import KEYED_COLUMNS, KEYED_SCHEMA, read_documents_csv, write_documents_csv
 from docspark.sources.files import extract_units, label_names
+from docspark.sources.nesting import first_nested
+from docspark.sources.units import scan_trans_units
 
 # What the pages have in place of translation units, and of labels in file names.
 PAGE_UNIT = r'(?s)<(?:p|div class="ad")>(.*?)</(?:p|div)>'
@@ -84,6 +86,27 @@ def strip_html(spark, folder):
     return pages(spark, folder).select("page_id", strip_markup(F.col("html")).alias("text"))
 
 
+def nested_text(spark, folder):
+    """The first paragraph of every article that has a heading, by the tree of its tags."""
+    return first_nested(pages(spark, folder), "html", "page_id", unit="article", child="p", having="h1")
+
+
+def unit_scan(spark, folder):
+    """Documents written as files of translation units, labels in the folders' names, and read back in splits.
+
+    Only units of English documents have an alternative translation, so only they come back.
+    """
+    docs = documents(spark, folder, "doc_id", "source", "lang", "text")
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    other = F.when(F.col("lang") == "en", "<alt-trans/>").otherwise("")
+    unit = F.concat(F.lit('<trans-unit id="'), "doc_id", F.lit('"><source>'), escaped, F.lit("</source>"), other, F.lit("</trans-unit>"))
+    label = F.concat(F.lit("#category#"), "source", F.lit("#subcategory#"), "lang", F.lit("#"))
+    path = fresh_path(spark, "units")
+    docs.select(unit.alias("value"), label.alias("file")).write.partitionBy("file").text(path)
+    found = label_names(scan_trans_units(spark, path), "file")
+    return found.select("category", "subcategory", F.regexp_extract("unit", r'id="(\d+)"', 1).cast("long").alias("doc_id"), "segment")
+
+
 def clean_documents(spark, folder):
     docs = documents(spark, folder).select("doc_id", clean_text(F.col("text")).alias("text"))
     return keep_rows(docs, lambda row: F.length(row["text"]) > 0)
@@ -584,6 +607,8 @@ QUERIES = {
     "category_alias": category_alias,
     "segment_extract": segment_extract,
     "segment_filter": segment_filter,
+    "nested_text": nested_text,
+    "unit_scan": unit_scan,
     "strip_html": strip_html,
     "clean_documents": clean_documents,
     "english_segments": english_segments,

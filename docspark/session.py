@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of a local session that names none, and the folder of the current ``run_files`` block.
+_local_folder: str | None = None
+_run = ""
+
 
 def local_session(app: str = "docspark", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and benches; clusters bring their own session."""
@@ -34,14 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="docspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="docspark-")
+    return _local_folder
+
+
+@contextmanager
+def run_files(spark: SparkSession) -> Iterator[str]:
+    """Drop at the end of the block what jobs in it have written below the shared folder.
+
+    Results read such files lazily, so write or collect them within the block. Blocks do not nest.
+    """
+    global _run
+    _run = f"run-{uuid.uuid4().hex}/"
+    folder = f"{shared_dir(spark)}/docspark/{_run}"
+    try:
+        yield folder
+    finally:
+        _run = ""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has written yet."""
-    return f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/docspark/{_run}{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
