@@ -1,81 +1,16 @@
-"""Topic, vector and kernel features of token lists."""
+"""Columns of topic scores, and the random features of a kernel."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark import keyword_only
-from pyspark.ml import Transformer
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-# Fixed values of the original features: topics, passes, least score, vector size, window, least count.
-TOPICS = 9
-PASSES = 2
+# Fixed value of the original features.
 MIN_TOPIC_SCORE = 0.01
-VECTOR_SIZE = 40
-WINDOW = 5
-MIN_COUNT = 3
-# Parts of the word vector training, and passes that let each part see its words often enough.
-PARTITIONS = 4
-VECTOR_PASSES = 2
-
-
-class WholeLDA(LDA):
-    """MLlib's online LDA with every document exactly once in every iteration.
-
-    The public stage draws each iteration's documents with replacement, so that a share of ``exp(-1)`` of
-    them is missing in each even at a rate of 1. The optimizer can draw without, which at a rate of 1 keeps
-    all, but the stage has no parameter for it; here its own steps are repeated with that switch set.
-    """
-
-    def _fit_java(self, dataset: DataFrame):
-        self._transfer_params_to_java()
-        stage, jvm = self._java_obj, dataset.sparkSession._jvm
-        helper = getattr(getattr(jvm, "org.apache.spark.ml.clustering.LDA$"), "MODULE$")
-        vectors = jvm.org.apache.spark.mllib.linalg.Vectors
-        optimizer = stage.getOldOptimizer().setSampleWithReplacement(False)
-        fitted = (
-            jvm.org.apache.spark.mllib.clustering.LDA()
-            .setK(self.getK())
-            .setDocConcentration(vectors.fromML(stage.getOldDocConcentration()))
-            .setTopicConcentration(stage.getOldTopicConcentration())
-            .setMaxIterations(self.getMaxIter())
-            .setSeed(self.getSeed())
-            .setCheckpointInterval(self.getCheckpointInterval())
-            .setOptimizer(optimizer)
-            .run(helper.getOldDataset(dataset._jdf, self.getFeaturesCol()))
-        )
-        session = dataset.sparkSession._jsparkSession
-        return jvm.org.apache.spark.ml.clustering.LocalLDAModel(self.uid, fitted.vocabSize(), fitted, session)
-
-
-def fit_topics(
-    bags: DataFrame,
-    features: str = "bag",
-    k: int = TOPICS,
-    passes: int = PASSES,
-    seed: int = 7,
-) -> LDAModel:
-    """Variational topics; every one of the ``passes`` reads all documents, each of them once."""
-    return WholeLDA(
-        featuresCol=features,
-        topicDistributionCol="topics",
-        k=k,
-        optimizer="online",
-        subsamplingRate=1.0,
-        maxIter=passes,
-        learningOffset=1.0,
-        learningDecay=0.5,
-        seed=seed,
-    ).fit(bags)
 
 
 def drop_small(scores: Column, least: float = MIN_TOPIC_SCORE) -> Column:
@@ -90,34 +25,6 @@ def dense_topics(pairs: Column, k: int, least: float = MIN_TOPIC_SCORE) -> Colum
     return drop_small(scores, least)
 
 
-def fit_vectors(
-    docs: DataFrame,
-    tokens: str = "tokens",
-    size: int = VECTOR_SIZE,
-    window: int = WINDOW,
-    min_count: int = MIN_COUNT,
-    passes: int = VECTOR_PASSES,
-    partitions: int = PARTITIONS,
-    seed: int = 7,
-) -> Word2VecModel:
-    """Word vectors; a document's vector is the mean over its words. Not paragraph vectors.
-
-    ``partitions`` are trained side by side and summed; more of them ask for more ``passes``. Documents
-    are dealt to them by their content, so the vectors do not depend on the cluster.
-    """
-    dealt = docs.select(tokens).repartition(partitions, F.xxhash64(tokens)).sortWithinPartitions(F.xxhash64(tokens))
-    return Word2Vec(
-        inputCol=tokens,
-        outputCol="vector",
-        vectorSize=size,
-        windowSize=window,
-        minCount=min_count,
-        maxIter=passes,
-        numPartitions=partitions,
-        seed=seed,
-    ).fit(dealt)
-
-
 def gamma_scale(df: DataFrame, features: str) -> float:
     """``1 / (d * var)`` with the variance over all entries of all vectors, in one aggregate."""
     stats = df.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col(features)).alias("s")).first().s
@@ -143,48 +50,3 @@ def fourier_weights(size: int, width: int, gamma: float, seed: int) -> tuple[np.
     """Seeded weights (size, width) and offsets for the kernel ``exp(-gamma * |x - y|^2)``."""
     rng = np.random.default_rng(seed)
     return rng.normal(scale=np.sqrt(2.0 * gamma), size=(size, width)), rng.uniform(0.0, 2.0 * np.pi, size=size)
-
-
-class RandomFourierFeatures(
-    Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Random features whose inner products approximate the kernel ``exp(-gamma * |x - y|^2)``.
-
-    Rahimi and Recht (2007). The weights follow from the seed, so a saved stage needs no data.
-    """
-
-    numFeatures = Param(Params._dummy(), "numFeatures", "output size", TypeConverters.toInt)
-    inputSize = Param(Params._dummy(), "inputSize", "input size", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, numFeatures=512, inputSize=None, gamma=1.0, seed=7):
-        super().__init__()
-        self._setDefault(numFeatures=512, gamma=1.0, seed=7)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        weights, offsets = fourier_weights(
-            self.getOrDefault(self.numFeatures),
-            self.getOrDefault(self.inputSize),
-            self.getOrDefault(self.gamma),
-            self.getSeed(),
-        )
-        mapped = fourier_map(weights, offsets)(vector_to_array(F.col(self.getInputCol())))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
-
-
-class TopicScores(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Vector stage of ``drop_small``: topic scores below ``least`` become zero."""
-
-    least = Param(Params._dummy(), "least", "smallest score that is kept", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, least=MIN_TOPIC_SCORE):
-        super().__init__()
-        self._setDefault(least=MIN_TOPIC_SCORE)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        scores = drop_small(vector_to_array(F.col(self.getInputCol())), self.getOrDefault(self.least))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(scores))

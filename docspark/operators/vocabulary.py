@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +48,3 @@ def bag_of_words(docs: DataFrame, terms: DataFrame, *keys: str, tokens: str = "t
     """Long rows ``keys, term_id, tf`` for the numbered ``terms``; other tokens are dropped."""
     counts = docs.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     return join_terms(counts, terms.select("term", "term_id"), "term", list(keys)).select(*keys, "term_id", "tf")
-
-
-def bag_model(
-    docs: DataFrame, tokens: str = "tokens", output: str = "bag", n_docs: int | None = None, keep: int = KEEP_TERMS, **limits
-) -> CountVectorizerModel:
-    """Fit the pruned vocabulary and wrap it as an MLlib stage; term ids are vector positions.
-
-    The stage holds its terms on the driver, so it keeps ``keep`` of them; ``bag_of_words`` has no such bound.
-    """
-    pruned = number_terms(prune_terms(document_frequency(docs, tokens), n_docs or docs.count(), keep=keep, **limits))
-    terms = [row.term for row in pruned.orderBy("term_id").select("term").toLocalIterator()]
-    if not terms:
-        raise ValueError("no term is frequent enough for a vocabulary")
-    return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol=output)

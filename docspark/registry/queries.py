@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.clean import clean_text, strip_markup
 from docspark.functions.scores import argmax, cross_entropy, decode_label, head_forward, one_hot
 from docspark.functions.tokens import as_text, filter_tokens, sentences
-from docspark.models.features import dense_topics, drop_small, fit_topics, fit_vectors, fourier_map
+from docspark.models.bags import packed, term_places, write_weights
+from docspark.models.features import dense_topics, drop_small, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
 from docspark.models.ngram import fit_ngrams
+from docspark.models.topics import PASSES, TOPICS, fit_topics
+from docspark.models.vectors import VECTOR_SIZE, fit_vectors, projected
 from docspark.operators import evaluate, labels, training_log, vocabulary
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.rows import keep_rows
@@ -518,15 +521,48 @@ def checked(check: str, *parts):
     return long.agg(*[F.bool_or(F.when(F.col("what") == name, F.col("value"))).alias(name) for name in names]).withColumn("check", F.lit(check))
 
 
+def document_bags(docs):
+    """The pruned vocabulary of ``doc_id, tokens`` and the packed bags."""
+    terms = materialize(pruned_terms(docs), "terms")
+    return terms, packed(docs, terms, "doc_id")
+
+
+def document_topics(spark, folder):
+    """``doc_id, topics`` of all documents by topics fitted on them; even ones without a known term."""
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    terms, bags = document_bags(docs)
+    model = fit_topics(bags, terms, "doc_id")
+    shares = docs.select("doc_id").join(model.shares(bags, "doc_id"), "doc_id", "left")
+    return shares.withColumn("topics", F.coalesce("topics", F.array_repeat(F.lit(1.0 / TOPICS), TOPICS))), model
+
+
 def topic_sums(spark, folder):
-    """What fitted topics must satisfy: as many shares as topics, adding up to one, per document."""
+    """What fitted topics must satisfy: as many shares as topics, none below zero, adding up to one, per document."""
+    scored, _ = document_topics(spark, folder)
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    whole = (F.abs(total - 1) < 1e-9) & (F.array_min("topics") >= 0)
+    return scored.select("doc_id", F.size("topics").cast("bigint").alias("n_topics"), whole.alias("whole"))
+
+
+def topic_bound(spark, folder):
+    """Whether each pass over the documents raised the bound on their likelihood."""
     docs = materialize(document_tokens(spark, folder), "tokens")
-    stage = vocabulary.bag_model(docs)
-    scored = fit_topics(stage.transform(docs)).transform(stage.transform(docs))
-    shares = vector_to_array("topics")
-    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    empty = F.size(F.unwrap_udt("bag")["indices"]) == 0
-    return scored.select("doc_id", F.size(shares).cast("bigint").alias("n_topics"), (empty | (F.abs(total - 1) < 1e-9)).alias("whole"))
+    terms, bags = document_bags(docs)
+    bounds = fit_topics(bags, terms, "doc_id", watch=True).bounds
+    rows = [(i, i == 0 or bounds[i] > bounds[i - 1]) for i in range(len(bounds))]
+    return spark.createDataFrame(rows, "pass long, rises boolean")
+
+
+def vector_projection(spark, folder):
+    """Documents through term weights with a closed form: what a pass over the bags sums."""
+    docs = materialize(document_tokens(spark, folder), "tokens")
+    terms, bags = document_bags(docs)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.sin(0.7 * (F.col("term_id") + 1) * (j + 1)))
+    path = write_weights(term_places(terms).select("block", "id", weights.alias("weights")), "weights")
+    blocks = bags.agg(F.max("block")).first()[0]
+    rows = projected(bags, "doc_id", path, WIDTH, (blocks or 0) + 1)
+    long = rows.select("doc_id", F.posexplode("vector").alias("j", "value"))
+    return long.select("doc_id", F.col("j").cast("bigint").alias("j"), F.round("value", 6).alias("value"))
 
 
 def svm_held_out(spark, folder):
@@ -561,31 +597,43 @@ def sequences_held_out(spark, folder):
 
 
 def lda_topics(spark, folder):
-    docs = materialize(document_tokens(spark, folder), "tokens")
-    stage = vocabulary.bag_model(docs)
-    scored = fit_topics(stage.transform(docs)).transform(stage.transform(docs))
-    rows = scored.select("doc_id", F.posexplode(drop_small(vector_to_array("topics"))).alias("topic", "score"))
+    scored, _ = document_topics(spark, folder)
+    rows = scored.select("doc_id", F.posexplode(drop_small(F.col("topics"))).alias("topic", "score"))
     return rows.withColumn("score", F.round("score", 6))
 
 
+def document_vectors(docs, learn):
+    """``doc_id, vector`` of ``docs`` by directions fitted on ``learn``, both with tokens; zeros without a known term."""
+    terms, bags = document_bags(learn)
+    model = fit_vectors(bags, terms, "doc_id", learn.count())
+    rows = bags if docs is learn else packed(docs, terms, "doc_id")
+    found = docs.select("doc_id").join(model.vectors(rows, "doc_id"), "doc_id", "left")
+    return found.withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), VECTOR_SIZE)))
+
+
 def doc_vectors(spark, folder):
     docs = materialize(document_tokens(spark, folder), "tokens")
-    rows = fit_vectors(docs).transform(docs).select("doc_id", F.posexplode(vector_to_array("vector")).alias("j", "value"))
+    rows = document_vectors(docs, docs).select("doc_id", F.posexplode("vector").alias("j", "value"))
     return rows.withColumn("value", F.round("value", 6))
 
 
-def svm_predict(spark, folder):
+def svm_predict(spark, folder, scheme="rest"):
     docs = documents(spark, folder, "doc_id", "lang", "text")
-    model = classical.fit_domain_model(docs, "text", "lang")
+    model = classical.fit_domain_model(docs, "text", "lang", scheme=scheme)
     return classical.predict_domains(docs, model, "text").select("doc_id", "lang", "prediction")
 
 
+def svm_pairs(spark, folder):
+    """A machine for each pair of classes, and the class with the most wins."""
+    return svm_predict(spark, folder, "pairs")
+
+
 def head_train(spark, folder):
     return fitted_head(spark, folder, False)
 
 
 def fitted_head(spark, folder, apart):
-    """A head over word-vector means: fitted and applied on all documents, or applied on held-out ones."""
+    """A head over document vectors: fitted and applied on all documents, or applied on held-out ones."""
     docs = documents(spark, folder, "doc_id", "lang", "text")
     kinds = labels.fit_labels(docs, "lang")
     rows = docs.select(
@@ -595,10 +643,11 @@ def fitted_head(spark, folder, apart):
         filter_tokens(F.col("text")).alias("tokens"),
     )
     rows = materialize(rows, "tokens")
-    learn, test = held_out(rows) if apart else (rows, rows)
-    words = fit_vectors(learn)
-    vectors = materialize(words.transform(learn).drop("tokens"), "vectors")
-    scored = fit_head(vectors, len(kinds)).transform(words.transform(test).drop("tokens"))
+    learn = held_out(rows)[0] if apart else rows
+    known = rows.drop("tokens")
+    vectors = materialize(document_vectors(rows, learn).withColumn("vector", array_to_vector("vector")).join(known, "doc_id"), "vectors")
+    learn, test = held_out(vectors) if apart else (vectors, vectors)
+    scored = fit_head(learn, len(kinds)).transform(test)
     return scored.select("doc_id", "lang", decode_label(F.col("class"), labels.label_array(kinds)).alias("prediction"))
 
 
@@ -662,11 +711,14 @@ QUERIES = {
     "early_stop": early_stop,
     "topic_dense": topic_dense,
     "topic_sums": topic_sums,
+    "topic_bound": topic_bound,
+    "vector_projection": vector_projection,
     "svm_held_out": svm_held_out,
     "head_held_out": head_held_out,
     "sequences_held_out": sequences_held_out,
     "lda_topics": lda_topics,
     "doc_vectors": doc_vectors,
     "svm_predict": svm_predict,
+    "svm_pairs": svm_pairs,
     "head_train": head_train,
 }

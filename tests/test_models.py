@@ -3,19 +3,15 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from docspark.models.features import (
-    TopicScores,
-    dense_topics,
-    fit_topics,
-    fit_vectors,
-    gamma_scale,
-)
+from docspark.models.bags import packed
+from docspark.models.features import dense_topics, drop_small, gamma_scale
 from docspark.models.head import fit_head
-from docspark.models.svm import KernelMachine, fit_kernel_svm
-from docspark.operators.vocabulary import bag_model
+from docspark.models.svm import KernelMachine, fit_kernel_svm, fit_machines, hinge_sums, sign_matrix
+from docspark.models.vectors import fit_vectors
+from docspark.operators.vocabulary import document_frequency, number_terms
 from docspark.plans.classical import DomainModel, document_tokens, evaluate_domains, fit_domain_model, predict_domains
 
 TOPICS = {
@@ -97,32 +93,45 @@ def tokens_of(docs):
     return docs.select("doc_id", "category", F.split("text", " ").alias("tokens"))
 
 
-def test_topics_are_distributions_and_repeatable(docs):
-    tokens = tokens_of(docs)
-    bags = bag_model(tokens, min_docs=3, max_share=0.9).transform(tokens)
-    runs = []
-    for _ in range(2):
-        scored = fit_topics(bags, k=3).transform(bags).orderBy("doc_id")
-        runs.append([row.topics.toArray().round(9).tolist() for row in scored.collect()])
-    assert runs[0] == runs[1]
-    assert all(abs(sum(row) - 1) < 1e-6 for row in runs[0])
-
-
-def test_topics_learn_from_every_document_in_every_pass(spark):
-    """Each document has a word of its own, whose weight over all topics is the same if all are read alike."""
-    n = 64
-    df = spark.createDataFrame([(i, [f"w{i}"] * 200 + ["all"]) for i in range(n)], "doc_id long, tokens array<string>")
-    bags = bag_model(df, min_docs=1, max_share=0.9).transform(df).repartition(4)
-    for passes in (1, 2):
-        weights = fit_topics(bags, k=3, passes=passes).topicsMatrix().toArray().sum(axis=1)
-        assert len(weights) == n
-        assert weights.min() > 0.95 * weights.max()
+@pytest.mark.parametrize("scheme", ["rest", "pairs"])
+def test_all_machines_are_one_matrix(spark, scheme):
+    """Loss and gradient of every machine against each one's own plain sums, and its minimum."""
+    rng = np.random.default_rng(3)
+    label, x = rng.integers(0, 3, 90), rng.normal(size=(90, 4))
+    x[:, 0] += 2 * label
+    projection, offsets = rng.normal(size=(16, 4)), rng.uniform(0, 6, 16)
+    mapped = np.hstack([np.sqrt(2 / 16) * np.cos(x @ projection.T + offsets), np.ones((90, 1))])
+    signs = sign_matrix(3, scheme)
+    rows = spark.createDataFrame([(float(y), v.tolist()) for y, v in zip(label, x)], "label double, features array<double>").repartition(3)
+
+    def plain(points):
+        out = []
+        for m, w in enumerate(points):
+            y = signs[label, m]
+            short = np.where(y != 0, np.maximum(0, 1 - y * (mapped @ w)), 0)
+            out.append([0.5 * (short**2).sum(), *-(short * y) @ mapped])
+        return np.array(out)
+
+    points = rng.normal(size=(signs.shape[1], 17))
+    assert np.allclose(hinge_sums(rows, points, projection, offsets, signs), plain(points))
+    evaluate = lambda p: (plain(p)[:, 0] + 0.5 * (p**2).sum(axis=1), plain(p)[:, 1:] + p)
+    best = fit_machines(evaluate, signs.shape[1], 17, 200, 1e-9)
+    assert np.abs(evaluate(best)[1]).max() < 1e-6
+
+
+def test_a_fit_reads_the_rows_once_a_step(rings, monkeypatch):
+    from docspark.models import svm
+
+    scans = []
+    whole = svm.hinge_sums
+    monkeypatch.setattr(svm, "hinge_sums", lambda *a: scans.append(1) or whole(*a))
+    svm.fit_kernel_svm(rings.drop("fit"), scheme="pairs", size=32, max_iter=5)
+    assert len(scans) <= 6
 
 
 def test_small_topic_scores_are_dropped(spark):
-    df = spark.createDataFrame([([0.005, 0.01, 0.985],)], "a array<double>").select(array_to_vector("a").alias("topics"))
-    out = TopicScores(inputCol="topics", outputCol="kept").transform(df).select(vector_to_array("kept")).first()[0]
-    assert out == [0.0, 0.01, 0.985]
+    df = spark.createDataFrame([([0.005, 0.01, 0.985],)], "a array<double>")
+    assert df.select(drop_small(F.col("a"))).first()[0] == [0.0, 0.01, 0.985]
 
 
 def test_dense_topics_cover_every_row(spark):
@@ -137,6 +146,9 @@ def test_heads_learn_from_document_vectors(docs, kind):
     tokens = tokens_of(docs).withColumn(
         "label", F.array_position(F.array(*map(F.lit, sorted(TOPICS))), F.col("category")).cast("double") - 1
     )
-    vectors = fit_vectors(tokens, size=8, passes=5, partitions=1).transform(tokens).cache()
+    terms = number_terms(document_frequency(tokens))
+    bags = packed(tokens, terms, "doc_id")
+    vectors = fit_vectors(bags, terms, "doc_id", 240, size=8).vectors(bags, "doc_id").join(tokens, "doc_id")
+    vectors = vectors.withColumn("vector", array_to_vector("vector")).cache()
     scored = fit_head(vectors, 3, kind=kind).transform(vectors)
     assert scored.count() == 240 and share_right(scored) > 0.8

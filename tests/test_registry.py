@@ -9,7 +9,7 @@ from docspark.registry.oracle import ORACLE
 from docspark.registry.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"lda_topics", "doc_vectors", "svm_predict", "head_train"}
+FITTED = {"lda_topics", "doc_vectors", "svm_predict", "svm_pairs", "head_train"}
 
 
 @pytest.fixture(scope="module")

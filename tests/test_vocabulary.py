@@ -4,7 +4,6 @@ import pytest
 
 from docspark.operators.lookup import lookup_terms
 from docspark.operators.vocabulary import (
-    bag_model,
     bag_of_words,
     document_frequency,
     number_terms,
@@ -34,17 +33,11 @@ def test_prune_then_keep_then_number(docs):
 
 
 def test_bag_of_words_drops_unknown_terms(docs):
-    assert bag_model(docs, min_docs=2, max_share=1.0).vocabulary == ["a", "b", "c"]
     terms = number_terms(prune_terms(document_frequency(docs), 6, min_docs=2, max_share=1.0))
     rows = {(row.doc_id, row.term_id): row.tf for row in bag_of_words(docs, terms, "doc_id").collect()}
     assert rows == {(1, 0): 2, (1, 1): 1, (2, 0): 1, (2, 2): 1, (3, 0): 1, (3, 1): 1, (5, 2): 1, (6, 1): 1}
 
 
-def test_bag_model_without_frequent_terms_says_so(docs):
-    with pytest.raises(ValueError):
-        bag_model(docs)
-
-
 def test_lookup(spark):
     rows = [(i, [f"t{(i * j) % 7}" for j in range(i % 5)]) for i in range(50)] + [(50, None)]
     docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
