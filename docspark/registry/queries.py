@@ -15,6 +15,7 @@ from docspark.models.features import dense_topics, drop_small, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
 from docspark.models.ngram import fit_ngrams
+from docspark.models.stepwise import fit_stepwise
 from docspark.models.topics import PASSES, TOPICS, fit_topics
 from docspark.models.vectors import VECTOR_SIZE, fit_vectors, projected
 from docspark.operators import evaluate, labels, training_log, vocabulary
@@ -628,6 +629,21 @@ def svm_pairs(spark, folder):
     return svm_predict(spark, folder, "pairs")
 
 
+def head_stepwise(spark, folder):
+    """A head trained step by step on the labelled vectors: its log's curve, and whether it stopped where the rule on the log does.
+
+    The fit decides while it runs; ``early_stop`` decides afterwards from the log alone.
+    """
+    fit = fit_stepwise(table(spark, folder, "embeddings"), CLASSES, "vec_id", vector="embedding", epochs=8, batch=10, every=2, patience=PATIENCE, rate=0.05)
+    log = materialize(fit.log, "log")
+    curve = training.curve_of_log(log.drop("step"), every=2)
+    stops = training.stops_of_log(log.drop("step"), patience=PATIENCE, every=2).select("epoch", "step", F.lit(True).alias("by_rule"))
+    epoch, step = fit.stopped or (None, None)
+    live = F.col("epoch").eqNullSafe(F.lit(epoch)) & F.col("step").eqNullSafe(F.lit(step))
+    both = curve.join(stops, ["epoch", "step"], "left").select(live.alias("live"), F.coalesce("by_rule", F.lit(False)).alias("by_rule"))
+    return both.agg(F.bool_and(F.col("live") == F.col("by_rule")).alias("same_stop"), F.bool_or("live").alias("stopped"))
+
+
 def head_train(spark, folder):
     return fitted_head(spark, folder, False)
 
@@ -720,5 +736,6 @@ QUERIES = {
     "doc_vectors": doc_vectors,
     "svm_predict": svm_predict,
     "svm_pairs": svm_pairs,
+    "head_stepwise": head_stepwise,
     "head_train": head_train,
 }

@@ -139,6 +139,14 @@ def test_bags_stay_in_their_buckets(docs, terms):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_counting_in_tasks_and_by_joins_agree(docs, terms, monkeypatch):
+    rows = lambda: sorted(map(str, packed(docs, terms, "doc").collect()))
+    monkeypatch.setattr(bag_tables, "BLOCK", 5)
+    here = rows()
+    monkeypatch.setattr(bag_tables, "IN_TASK", 1)
+    assert len(here) > 150 and here == rows()
+
+
 def test_an_empty_vocabulary_is_refused(docs, terms):
     with pytest.raises(ValueError):
         fit_topics(packed(docs, terms, "doc"), terms.limit(0), "doc")
