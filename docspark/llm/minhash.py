@@ -90,15 +90,34 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return keyed(docs, id_col, text_col).mapInArrow(sign, "doc_id long, text_key long, bag binary, signature binary")
 
 
-def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Exact weighted Jaccard similarity of the shingles of the texts, row by row."""
-    n = len(a)
-    both = [bags(*text_bytes(x)) for x in (a, b)]
-    keys = [mixed(element + owner.astype("uint64") * STEP) for element, owner, _ in both]
-    _, i, j = np.intersect1d(*keys, return_indices=True)
-    common = np.bincount(both[0][1][i], weights=np.minimum(both[0][2][i], both[1][2][j]), minlength=n)
-    total = sum(np.bincount(owner, weights=weight, minlength=n) for _, owner, weight in both)
-    return common / np.maximum(total - common, 1)
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``bag, signature, units`` of ``bag, text, signature``: one sorted 64-bit number per shingle and copy.
+
+    The multiset overlap of two texts is the number of units they share, so texts go no further.
+    """
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                element, owner, weight = bags(*text_bytes(part.column(1)))
+                copy = np.repeat(np.arange(len(element)), weight)
+                number = np.arange(len(copy)) - np.repeat(np.cumsum(weight) - weight, weight)
+                unit, owner = mixed(element[copy] + number.astype("uint64") * STEP), owner[copy]
+                order = np.lexsort((unit, owner))
+                ends = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
+                found = [unit[order[i:j]].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary())], ["bag", "signature", "units"])
+
+    return docs.select("bag", "text", "signature").mapInArrow(units, "bag binary, signature binary, units binary")
+
+
+def similarity_of(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sorted sets of units have a Jaccard similarity of ``least``; their sizes alone may rule it out."""
+    n, m = len(a) // 8, len(b) // 8
+    if min(n, m) < least * max(n, m):
+        return False
+    common = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+    return common >= least * (n + m - common)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -127,47 +146,59 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def crowded_buckets(reps: DataFrame) -> DataFrame:
-    """Band rows of the buckets that hold several bags: ``bag, band, key``."""
+    """Band rows of the buckets that hold several bags: ``bag, band, key, leader``.
+
+    A bucket's leader is the member that meets most others in all its buckets.
+    """
     key = F.substring("signature", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
     rows = reps.select("bag", "signature", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("bag", "band", key.alias("key"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    return materialize(rows.join(buckets, ["band", "key"]), "buckets")
+    crowded = materialize(rows.join(buckets, ["band", "key"]), "buckets")
+    degree = crowded.groupBy("bag").agg(F.sum("members").alias("degree"))
+    best = crowded.join(degree, "bag").groupBy("band", "key").agg(F.max(F.struct("degree", "bag")).alias("best"))
+    return materialize(crowded.drop("members").join(best.select("band", "key", F.col("best.bag").alias("leader")), ["band", "key"]), "led")
 
 
-def star_links(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Verified links between each bucket's leader, the member that meets most others, and the rest."""
-    degree = crowded.groupBy("bag").agg(F.sum("members").alias("degree"))
-    led = crowded.join(degree, "bag")
-    leaders = led.groupBy("band", "key").agg(F.max(F.struct("degree", "bag")).alias("best")).select("band", "key", F.col("best.bag").alias("leader"))
-    pairs = crowded.join(leaders, ["band", "key"]).where("bag <> leader").select("bag", "leader").distinct()
-    with_text = pairs.join(texts, "bag").join(texts.select(F.col("bag").alias("leader"), F.col("text").alias("other")), "leader")
+def star_links(crowded: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified links between each bucket's leader and the rest."""
+    pairs = crowded.where("bag <> leader").select("bag", "leader").distinct()
+    both = pairs.join(sets, "bag").join(sets.select(F.col("bag").alias("leader"), F.col("units").alias("other")), "leader")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
-                same = pa.array(overlaps(part.column(2), part.column(3)) >= least)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(same), part.column(1).filter(same)], ["a", "b"])
+            same = pa.array([similarity_of(a.as_py(), b.as_py(), least) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], ["a", "b"])
 
-    return with_text.select("bag", "leader", "text", "other").mapInArrow(verify, "a binary, b binary")
+    return both.select("bag", "leader", "units", "other").mapInArrow(verify, "a binary, b binary")
 
 
-def block_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links that the stars left out, in buckets that still hold several components.
+def laid_rows(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, key, i, j, asks, bag, root``: the cells in which members that the stars left apart meet.
 
-    Members outside the component of the bucket's largest member are compared with all members of
-    other components, block by block: a task holds ``BLOCK`` of the former and of the latter and
-    counts common shingles by an inverted list, and a pair is looked at in its first common band
-    only. Only verified links leave the task, one per member and component.
+    Leaders have met all others, so they and buckets of two are out. Of a bucket with several components left,
+    the members outside its main one ask all: askers are cut into ``BLOCK``s of their own number, and so
+    are all members, so that a single stray among many costs one copy of the rest.
+    """
+    rest = crowded.where("bag <> leader").select("bag", "band", "key")
+    known = rest.join(roots.select(F.col("node").alias("bag"), "root"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
+    sizes = known.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    state = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    state = state.select("band", "key", F.col("main.root").alias("main"), cut(F.col("members") - F.col("main.n")).alias("ask"), cut(F.col("members")).alias("give"))
+    rows = known.join(state, ["band", "key"])
+    own = lambda blocks: F.pmod(F.xxhash64("bag"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = rows.where("root <> main").select("*", F.lit(True).alias("asks"), own("ask").alias("i"), every("give").alias("j"))
+    right = rows.select("*", F.lit(False).alias("asks"), every("ask").alias("i"), own("give").alias("j"))
+    return left.unionByName(right).select("band", "key", "i", "j", "asks", "bag", "root")
+
+
+def block_links(crowded: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links that the stars left out: a task holds a cell's askers and members and counts common units by an inverted list.
+
+    A pair is looked at in its first common band only. Only verified links leave the task, one per member and component.
     """
-    known = crowded.join(roots.select(F.col("node").alias("bag"), "root"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
-    state = known.groupBy("band", "key").agg(F.max(F.struct("root", "bag")).alias("top"), F.min("root").alias("low"), F.sum(F.lit(1)).alias("members"))
-    mixed_up = state.where("low <> top.root").select("band", "key", F.col("top.root").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = known.drop("members").join(mixed_up, ["band", "key"])
-    own = F.pmod(F.xxhash64("bag"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.where("root <> main").select("*", F.lit(True).alias("asks"), own.alias("i"), F.explode(every).alias("j"))
-    right = rows.select("*", F.lit(False).alias("asks"), F.explode(every).alias("i"), own.alias("j"))
-    laid = left.unionByName(right).select("band", "key", "i", "j", "asks", "bag", "root").join(texts, "bag")
+    laid = laid_rows(crowded, roots).join(sets, "bag")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         ask, give = frame[frame["asks"]], frame[~frame["asks"]].reset_index(drop=True)
@@ -175,21 +206,16 @@ def block_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame, least: f
         none = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
         if ask.empty or give.empty:
             return none
-        element, owner, weight = bags(*text_bytes(pa.array(give["text"].tolist(), pa.string())))
-        copy = np.repeat(np.arange(len(element)), weight)
-        number = np.arange(len(copy)) - np.repeat(np.cumsum(weight) - weight, weight)
-        unit, unit_owner = mixed(element[copy] + number.astype("uint64") * STEP), owner[copy]
+        lists = [np.frombuffer(x, "<u8") for x in give["units"]]
+        total = np.array([len(x) for x in lists])
+        unit, unit_owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), total)
         order = np.argsort(unit, kind="stable")
         unit, unit_owner = unit[order], unit_owner[order]
-        total = np.bincount(unit_owner, minlength=len(give))
         codes = np.stack([np.frombuffer(x, "<u8") for x in give["signature"]])
         root = give["root"].to_numpy()
         links = []
-        for bag, own_root, text, signature in zip(ask["bag"], ask["root"], ask["text"], ask["signature"]):
-            element, _, weight = bags(*text_bytes(pa.array([text], pa.string())))
-            copy = np.repeat(np.arange(len(element)), weight)
-            number = np.arange(len(copy)) - np.repeat(np.cumsum(weight) - weight, weight)
-            mine = np.sort(mixed(element[copy] + number.astype("uint64") * STEP))
+        for bag, own_root, own_units, signature in zip(ask["bag"], ask["root"], ask["units"], ask["signature"]):
+            mine = np.frombuffer(own_units, "<u8")
             start, end = np.searchsorted(unit, mine, "left"), np.searchsorted(unit, mine, "right")
             n = end - start
             at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -207,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Classes of documents linked by word 5-shingle multisets with a weighted Jaccard of ``similarity`` or more.
 
     Rows with the same multiset are one bag and go on as one. Bags that share a band of their
-    signatures are compared by their whole texts: first every bucket's members with its leader, then,
+    signatures are compared by all their shingles: first every bucket's members with its leader, then,
     where a bucket still holds several components, all pairs across them, in blocks. Classes are the
     connected components of the verified links.
 
@@ -224,10 +250,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = crowded_buckets(reps)
     wanted = reps.join(crowded.select("bag").distinct(), "bag", "left_semi").select("bag", "signature", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
     found = matched(keyed(docs, id_col, text_col), wanted, KEY).dropDuplicates(["bag"])
-    texts = materialize(found.select("bag", "text", "signature"), "texts")
-    stars = materialize(star_links(crowded, texts.drop("signature"), similarity), "stars")
+    sets = materialize(shingle_sets(found), "shingles")
+    stars = materialize(star_links(crowded, sets, similarity), "stars")
     roots = components(stars)
-    blocks = materialize(block_links(crowded, roots, texts, similarity), "blocks")
+    blocks = materialize(block_links(crowded, roots, sets, similarity), "blocks")
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(blocks)
     roots = components(joined) if not blocks.isEmpty() else roots
     classed = rows.join(roots.withColumnRenamed("node", "bag"), "bag", "left")
@@ -246,5 +272,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs``, with all its columns, of each class of near duplicates."""
     kept = near_duplicates(docs, id_col, text_col, similarity).where("kept").select(*KEY).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return matched(rows, kept, KEY, "left_semi").dropDuplicates(KEY).select("row.*")

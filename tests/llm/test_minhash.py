@@ -5,7 +5,7 @@ import random
 import numpy as np
 from odd_rows import ODD
 
-from docspark.llm.minhash import first_of_each, near_duplicates, signatures
+from docspark.llm.minhash import first_of_each, laid_rows, near_duplicates, signatures
 
 
 def bag(text):
@@ -97,3 +97,15 @@ def test_a_chain_is_one_class(documents):
     rows = [(i, " ".join(words[6 * i : 6 * i + 100]), "s") for i in range(40)]
     got, classes = check(rows, documents(rows))
     assert len(classes) == 1 and got[0].class_size == 40
+
+
+def test_a_stray_costs_one_copy_of_its_bucket(spark):
+    key = lambda i: i.to_bytes(16, "big")
+    members = [(key(i), 0, b"hot", key(0)) for i in range(5001)] + [(key(9000 + i), 1, key(i // 2), key(9000 + i // 2 * 2)) for i in range(40)]
+    crowded = spark.createDataFrame(members, "bag binary, band int, key binary, leader binary")
+    roots = spark.createDataFrame([(key(i), key(0)) for i in range(5000)], "node binary, root binary")
+    laid = laid_rows(crowded, roots)
+    assert laid.where("asks").select("bag").distinct().count() == 1
+    assert laid.count() <= 5001 + 5  # the leader and all buckets of two stay out
+    cells = laid.groupBy("i", "j").agg({"bag": "count"}).collect()
+    assert len(cells) == 5 and max(c[2] for c in cells) < 1300
