@@ -17,6 +17,7 @@ from docspark.session import materialize
 ABBREVIATION, STARTER, CERTAIN = 0.3, 30.0, 0.99
 #: What may stand around a word, and after its period.
 AROUND = r"^[\"'(\[{«“„‘]+|[\"')\]}»”’,;:]+$"
+SPACE = r"[ \t\n\x0B\f\r]+"
 WORD = r"^[\p{L}\p{M}.]*\p{L}\.?$"
 
 
@@ -32,7 +33,7 @@ def word_type(token: Column) -> Column:
 
 def text_tokens(text: Column) -> Column:
     """Words as they stand between white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
 
 
 def type_counts(docs: DataFrame, text: str) -> DataFrame:

@@ -53,6 +53,27 @@ def group_one(column: str, pattern: str) -> str:
     return f"nullif(regexp_extract({column}, {text(pattern)}, 1), '')"
 
 
+# Log-likelihood of k hits in n trials of chance p; nothing where a factor is to the power 0.
+def likelihood(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN ({k}) * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN (({n}) - ({k})) * ln(1 - {p}) ELSE 0 END)"
+
+
+def clipped(p: str) -> str:
+    return f"least(greatest({p}, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)"
+
+
+BARE = r"""regexp_replace({}, '^["''(\[{{«“„‘]+|["'')\]}}»”’,;:]+$', '', 'g')"""
+TYPES = rf"""raw AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda t: t <> '') AS l FROM documents),
+tok AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS t FROM raw),
+bared AS (SELECT doc_id, i, t, {BARE.format('t')} AS w FROM tok),
+words AS (SELECT doc_id, i, t, w, lower(regexp_replace(w, '\.$', '')) AS type, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM bared),
+counts AS (SELECT type, count(*) FILTER (ends_with(w, '.')) AS with_period, count(*) FILTER (NOT ends_with(w, '.')) AS plain
+    FROM words WHERE regexp_matches(w, '^[\p{{L}}\p{{M}}.]*\p{{L}}\.?$') GROUP BY type),
+totals AS (SELECT sum(with_period)::DOUBLE AS periods, sum(with_period + plain)::DOUBLE AS n FROM counts),
+scores AS (SELECT type, with_period, plain, 2 * ({likelihood('with_period', '(with_period + plain)', '0.99::DOUBLE')} - {likelihood('with_period', '(with_period + plain)', '(periods / n)')})
+    * exp(-(length(type) - dots)::DOUBLE) * (dots + 1) * pow((length(type) - dots)::DOUBLE, -plain::DOUBLE) AS score
+    FROM (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM counts), totals WHERE with_period > 0)"""
+
 # ---- shared sub-queries -------------------------------------------------------------------------
 
 PATHS = f"""
@@ -254,6 +275,21 @@ SELECT c.page_id, c.place, c.depth::BIGINT AS depth, CASE WHEN c.first IS NOT NU
 FROM children c LEFT JOIN named n ON n.page_id = c.page_id AND 2 * n.i > c.first AND 2 * n.i < c.until AND n.name IS NULL AND NOT starts_with(n.token, '<!--')
 GROUP BY c.page_id, c.place, c.depth, c.first""",
     "unit_scan": "SELECT source AS category, lang AS subcategory, doc_id, coalesce(text, '') AS segment FROM documents WHERE lang = 'en' AND source IS NOT NULL",
+    "abbreviations": f"WITH {TYPES} SELECT type, with_period, plain, round(score, 6) AS score FROM scores",
+    "sentences_learned": rf"""WITH {TYPES},
+short AS (SELECT type FROM scores WHERE score >= 0.3),
+following AS (SELECT type, regexp_replace(after, '\.$', '') AS next FROM words WHERE after IS NOT NULL AND regexp_matches(w, '[.!?]$')),
+breaks AS (SELECT lower(next) AS type, count(*) AS k FROM following
+    WHERE regexp_matches(next, '^[\p{{L}}\p{{M}}.]*\p{{L}}$') AND type NOT IN (SELECT type FROM short) GROUP BY 1),
+b AS (SELECT sum(k)::DOUBLE AS m FROM breaks),
+s AS (SELECT type, k, with_period + plain AS c, n, m, {clipped('k / m')} AS here, {clipped('(with_period + plain - k) / (n - m)')} AS other, {clipped('(with_period + plain) / n')} AS chance
+    FROM breaks JOIN counts USING (type), totals, b),
+starters AS (SELECT type FROM s WHERE k / m > c / n AND 2 * ({likelihood('k', 'm', 'here')} + {likelihood('(c - k)', '(n - m)', 'other')}
+    - {likelihood('k', 'm', 'chance')} - {likelihood('(c - k)', '(n - m)', 'chance')}) >= 30),
+ends AS (SELECT doc_id, i, t, (after IS NULL) OR (regexp_matches(w, '[.!?]$') AND NOT (ends_with(w, '.') AND type IN (SELECT type FROM short)
+    AND NOT (regexp_matches(after, '^\p{{Lu}}') AND lower(regexp_replace(after, '\.$', '')) IN (SELECT type FROM starters)))) AS last FROM words),
+placed AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends)
+SELECT doc_id, pos::BIGINT AS pos, string_agg(t, ' ' ORDER BY i) AS sentence FROM placed GROUP BY doc_id, pos""",
     "token_filter": f"""SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM
 (SELECT doc_id, tokens[1:50] AS tokens FROM ({KEPT.replace("(text,", "(substring(text, 1, 1000000),")}))""",
     "lemma_lookup": f"""WITH kept AS ({KEPT}), lemmas(form, lemma) AS (VALUES {LEMMA_VALUES}),

@@ -15,6 +15,7 @@ from docspark.models.features import dense_topics, drop_small, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
 from docspark.models.ngram import fit_ngrams
+from docspark.models.sentence_ends import abbreviation_scores, fit_sentence_ends, type_counts
 from docspark.models.stepwise import fit_stepwise
 from docspark.models.topics import PASSES, TOPICS, fit_topics
 from docspark.models.vectors import VECTOR_SIZE, fit_vectors, projected
@@ -180,6 +181,18 @@ def sentence_split(spark, folder):
     return rows.filter(F.col("sentence").isNotNull())
 
 
+def abbreviations(spark, folder):
+    """Every word that bears a period somewhere, and how much it looks like an abbreviation."""
+    counts = materialize(type_counts(documents(spark, folder, "text"), "text"), "types")
+    total = counts.agg(F.sum("with_period").alias("periods"), F.sum(F.col("with_period") + F.col("plain")).alias("words")).first()
+    return abbreviation_scores(counts, total.words, total.periods).withColumn("score", F.round("score", 6))
+
+
+def sentences_learned(spark, folder):
+    docs = documents(spark, folder)
+    return fit_sentence_ends(docs, "text").split(docs, "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def sentence_vote(spark, folder):
     docs = documents(spark, folder, "doc_id", "lang", "text")
     model = fit_language_model(docs, "text", "lang")
@@ -684,6 +697,8 @@ QUERIES = {
     "lang_predict": lang_predict,
     "lang_report": lang_report,
     "sentence_split": sentence_split,
+    "abbreviations": abbreviations,
+    "sentences_learned": sentences_learned,
     "sentence_vote": sentence_vote,
     "ngram_classify": ngram_classify,
     "token_filter": token_filter,
