@@ -28,12 +28,13 @@ def word_vocabulary(docs: DataFrame, text: str, keep: int | None = None) -> Data
     return number_terms(kept, FIRST_ID).select("term", F.col("term_id").alias("value"))
 
 
-def word_ids(rows: DataFrame, text: str, keys: list[str], vocabulary: DataFrame, max_len: int) -> DataFrame:
-    """Add ``ids``: the ids of the words that fit between the two markers.
+def word_ids(rows: DataFrame, text: str, keys: list[str], vocabulary: DataFrame, max_len: int | None) -> DataFrame:
+    """Add ``ids``: the ids of the words that fit between the two markers, or of all words without a length.
 
     Words beyond the length are cut before the lookup, which treats every word by itself.
     """
-    first = rows.withColumn("_words", first_words(as_text(F.col(text)), max_len - 2))
+    kept = words(as_text(F.col(text))) if max_len is None else first_words(as_text(F.col(text)), max_len - 2)
+    first = rows.withColumn("_words", kept)
     return lookup_terms(first, keys, "_words", vocabulary, "ids", missing=UNK).drop("_words")
 
 

