@@ -264,5 +264,5 @@ def leak_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no test item was found."""
     hits = find_leaks(docs, items, id_col, text_col).select(*KEY).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"))
     return matched(rows, hits, KEY, "left_anti").select("row.*")

@@ -111,7 +111,7 @@ def mix_documents(docs: DataFrame, quality: DataFrame | None = None, id_col: str
     sizes = mixed_sizes(docs, quality, id_col, text_col, source_col, **options)
     copies = sizes.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"), F.struct(*docs.columns).alias("row")
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col), F.lit(1)).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     ).dropDuplicates(["doc_id", "text_key"])
     return matched(rows, copies, KEY).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

@@ -2,6 +2,7 @@ import collections
 
 import duckdb
 import pytest
+from odd_rows import ODD
 
 import corpus_pipeline
 from docspark.llm import decontaminate
@@ -28,7 +29,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")]
+    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_files"]
 
 
@@ -67,3 +68,37 @@ def test_run_equals_the_stages(spark):
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
     assert decontaminate.THRESHOLD <= decontaminate.OVERLAP
+
+
+@pytest.fixture()
+def folder(spark, tmp_path):
+    def make(rows, extra=()):
+        docs = spark.createDataFrame([(*r, "en", 0) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+        for name in extra:
+            docs = docs.selectExpr("*", f"'other' AS `{name}`")
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality long, toxic long")
+        labels.write.parquet(str(tmp_path / "labels.parquet"))
+        spark.createDataFrame([(1, "one two three four five six. seven eight nine ten eleven twelve")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+        return str(tmp_path)
+
+    return make
+
+
+def test_odd_rows_and_clashing_names(spark, folder):
+    rows = [r for r in ODD if r[0] is not None or r[1] is not None]
+    path = folder(rows, ["_toxicity", "toxicity", "text_key", "row", "a.b"])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, path), name)
+        assert docs.columns == before
+        assert {r["a.b"] for r in docs.collect()} == {"other"}
+    tokens = corpus_pipeline.write_tokens(spark, docs, path)
+    assert tokens.count() == docs.count() > 0
+    kept = {r.doc_id for r in docs.collect()}
+    assert 6 in kept and len(kept & {1, 2}) <= 1
+
+
+def test_empty_tables(spark, folder):
+    assert corpus_pipeline.run(spark, folder([])).count() == 0
