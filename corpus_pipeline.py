@@ -12,29 +12,37 @@ from docspark.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit severity grades on the labelled documents among ``docs``; documents of the highest grade go."""
+    """Fit severity grades on the labelled documents among ``docs``; documents of the highest grade go.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; without labels, and on an empty
+    table, nothing is rejected. Columns of any name pass through.
+    """
     model = toxicity.fit_from_labels(docs, toxicity.graded_labels(table(spark, sf_dir, "labels")))
-    scored = toxicity.with_severity(docs, model, name="_toxicity")
-    return scored.where(F.col("_toxicity.top") < REJECT).drop("_toxicity")
+    name = "_toxicity" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    scored = toxicity.with_severity(docs, model, name=name)
+    return scored.where(F.col(name)["top"] < REJECT).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays: the smallest id, of rows that agree in id and text one.
+
+    Null, empty and blank texts have no shingles and stay, a row for each id. An empty table stays empty.
+    """
     return minhash.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; null and empty texts hold none, repeated rows stay or go together."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them; a null source is one of its own, texts without words may go."""
     return mixing.mix_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix; a row for each document in them."""
+    """Token files of the mix; a row for each document in them, in the order of ids, null first. A null text is the end id alone."""
     return token_files.token_report(spark, docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
