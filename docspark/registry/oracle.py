@@ -213,6 +213,14 @@ WIDE = ", ".join(
     f"{cap(f'''count(*) FILTER (prediction = 'class{k}')''')} AS pred_class{k}" for k in range(q.CLASSES)
 )
 
+LEMMA_RULES = f"""kept AS ({KEPT}), frequencies AS ({FREQUENCIES}),
+pairs AS (SELECT DISTINCT w.term AS form, l.term AS lemma FROM frequencies w, (VALUES {', '.join(f"('{e}')" for e in q.ENDINGS)}) AS x(e), frequencies l
+    WHERE ends_with(w.term, e) AND l.term = left(w.term, length(w.term) - length(e)) AND l.df > w.df),
+cuts AS (SELECT form, length(form) - length(lemma) AS cut, '' AS add FROM pairs),
+every AS (SELECT right(form, k) AS suffix, cut, add FROM cuts, range(0, 7) AS x(k) WHERE k <= length(form) AND k >= cut),
+tallied AS (SELECT suffix, cut, add, count(*) AS n FROM every GROUP BY suffix, cut, add),
+rules AS (SELECT * FROM tallied QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, add) = 1 AND n >= 2)"""
+
 ORACLE = {
     "path_labels": PATHS,
     "category_alias": f"SELECT page_id, CASE category {ALIAS_CASES} ELSE category END AS category FROM ({PATHS})",
@@ -293,6 +301,10 @@ ends AS (SELECT doc_id, i, t, (after IS NULL) OR (regexp_matches(w, '[.!?]$') AN
     AND NOT (regexp_matches(after, '^\p{{Lu}}') AND lower(regexp_replace(after, '\.$', '')) IN (SELECT type FROM starters)))) AS last FROM words),
 placed AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends)
 SELECT doc_id, pos::BIGINT AS pos, string_agg(t, ' ' ORDER BY i) AS sentence FROM placed GROUP BY doc_id, pos""",
+    "lemma_rules": f"WITH {LEMMA_RULES} SELECT suffix, cut, add, n FROM rules",
+    "lemma_induced": f"""WITH {LEMMA_RULES}, met AS (SELECT f.term, r.cut, r.add, k FROM frequencies f, range(0, 7) AS x(k), rules r
+    WHERE k <= length(f.term) AND r.suffix = right(f.term, k) AND length(f.term) - r.cut >= 2)
+SELECT f.term, coalesce(arg_max(left(f.term, length(f.term) - m.cut) || m.add, m.k), f.term) AS value FROM frequencies f LEFT JOIN met m ON m.term = f.term GROUP BY f.term""",
     "token_filter": f"""SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM
 (SELECT doc_id, tokens[1:50] AS tokens FROM ({KEPT.replace("(text,", "(substring(text, 1, 1000000),")}))""",
     "lemma_lookup": f"""WITH kept AS ({KEPT}), lemmas(form, lemma) AS (VALUES {LEMMA_VALUES}),

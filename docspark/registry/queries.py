@@ -14,6 +14,7 @@ from docspark.models.bags import packed, term_places, write_weights
 from docspark.models.features import dense_topics, drop_small, fourier_map
 from docspark.models.head import fit_head, sequence_scorer
 from docspark.models.language import fit_language_model, language_profile
+from docspark.models.lemmas import induced_lemmas, pairs_of_vocabulary, suffix_rules
 from docspark.models.ngram import fit_ngrams
 from docspark.models.sentence_ends import abbreviation_scores, fit_sentence_ends, type_counts
 from docspark.models.stepwise import fit_stepwise
@@ -38,6 +39,7 @@ PAGE_LABELS = {
     "target_id": r"/(\d+)(?:[/?#]|$)",
 }
 LANGUAGE_NAMES = {"en": "english", "de": "german"}
+ENDINGS = ["s", "en", "ing", "er"]
 LEMMAS = {"thes": "the", "thats": "that", "onen": "on", "eing": "be", "ering": "er"}
 MAX_LEN = 50
 LONG_LEN, LONGEST_LEN = 512, 1000
@@ -225,6 +227,23 @@ def lemma_lookup(spark, folder):
     return found.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
+def vocabulary_rules(spark, folder):
+    """Frequencies of all words, and rules from the words that are others of them with an ending."""
+    frequencies = materialize(vocabulary.document_frequency(document_tokens(spark, folder)), "frequencies")
+    return frequencies, suffix_rules(pairs_of_vocabulary(frequencies, ENDINGS))
+
+
+def lemma_rules(spark, folder):
+    rules = vocabulary_rules(spark, folder)[1]
+    return rules.withColumn("cut", F.col("cut").cast("bigint"))
+
+
+def lemma_induced(spark, folder):
+    """A lemma for every word of the documents."""
+    frequencies, rules = vocabulary_rules(spark, folder)
+    return induced_lemmas(frequencies, materialize(rules, "rules"))
+
+
 def vocab_df(spark, folder):
     return vocabulary.document_frequency(document_tokens(spark, folder))
 
@@ -703,6 +722,8 @@ QUERIES = {
     "ngram_classify": ngram_classify,
     "token_filter": token_filter,
     "lemma_lookup": lemma_lookup,
+    "lemma_rules": lemma_rules,
+    "lemma_induced": lemma_induced,
     "vocab_df": vocab_df,
     "vocab_prune": vocab_prune,
     "vocab_topk": vocab_topk,
