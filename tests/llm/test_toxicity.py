@@ -1,8 +1,11 @@
+import math
+import re
+
 import numpy as np
 import pytest
 from odd_rows import ODD
 
-from docspark.llm.toxicity import SeverityModel, fit_from_labels, fit_severity, graded_labels, label_sample, with_severity
+from docspark.llm.toxicity import INNER_WEIGHT, REFIT, SeverityModel, fit_from_labels, fit_severity, graded_labels, label_sample, with_severity
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -70,3 +73,47 @@ def test_sample_is_bounded(spark):
 def test_grades_of_labels(spark, toxic, quality, grade):
     row = spark.createDataFrame([(1, quality, toxic)], "doc_id long, quality int, toxic int")
     assert graded_labels(row).first().grade == grade
+
+
+def plain_features(text):
+    words = set()
+    for word in re.split(r"[\W\d_]+", (text or "").lower()):
+        words.add(word)
+        words |= {word[:k] + "*" for k in (4, 5, 6) if len(word) > k}
+    return words - {""}
+
+
+def plain_chances(model, text):
+    """P(grade = 0), P(grade = 1), ... one text and one threshold at a time."""
+    score = sum(model.weights.get(f, 0.0) for f in plain_features(text))
+    below = [0.0, *(1 / (1 + math.exp(score - t)) for t in model.thresholds), 1.0]
+    return [b - a for a, b in zip(below, below[1:])]
+
+
+def test_severity_equals_the_plain_model(spark, documents):
+    texts, grades = made(200)
+    model = fit_severity(texts, grades, max_share=1.0)
+    rows = [(i, t, "s") for i, t in enumerate(texts[:50] + ["", None, "   ", "badaa badaa", "BADAAX 12 badbb_badcc", "ÀÉ日本 badaaé"])]
+    for r in with_severity(documents(rows), model).collect():
+        chances = plain_chances(model, rows[r.doc_id][1])
+        assert r.toxicity.severity == pytest.approx(sum(k * p for k, p in enumerate(chances)), abs=1e-9)
+        assert r.toxicity.top == pytest.approx(chances[-1], abs=1e-9)
+
+
+def test_the_fit_is_a_maximum_of_the_plain_likelihood():
+    texts, grades = made(150)
+    penalty = 5e-2
+    model = fit_severity(texts, grades, max_share=1.0, penalty=penalty, steps=3000)
+
+    def value(weights, thresholds):
+        tried = SeverityModel(weights, thresholds)
+        logs = [math.log(plain_chances(tried, t)[g]) * (1.0 if g in (0, 3) else INNER_WEIGHT) for t, g in zip(texts, grades)]
+        return sum(logs) / len(texts) - REFIT * penalty * sum(map(abs, weights.values()))
+
+    best = value(model.weights, model.thresholds)
+    for name in sorted(model.weights)[::7]:
+        for step in (-1e-2, 1e-2):
+            assert value({**model.weights, name: model.weights[name] + step}, model.thresholds) < best + 1e-6
+    for k in range(3):
+        for step in (-1e-2, 1e-2):
+            assert value(model.weights, tuple(t + step * (i == k) for i, t in enumerate(model.thresholds))) < best + 1e-6
