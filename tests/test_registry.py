@@ -12,12 +12,19 @@ FOLDER = "/root/testdata/sf0.001"
 FITTED = {"lda_topics", "doc_vectors", "svm_predict", "svm_pairs", "head_train"}
 
 
+# Held-out accuracy has bars that a fit on 150 documents need not reach.
+LARGER = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for table in TABLES.split():
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
-    return con
+    def views(folder):
+        con = duckdb.connect()
+        for table in TABLES.split():
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        return con
+
+    return {folder: views(folder) for folder in (FOLDER, LARGER)}
 
 
 def test_every_query_has_sql_unless_it_fits_a_model():
@@ -39,11 +46,12 @@ def equal(a, b):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, duck, name):
-    df = contract.queries()[name](spark, FOLDER)
+    folder = LARGER if name.endswith("held_out") else FOLDER
+    df = contract.queries()[name](spark, folder)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for slow in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert slow not in plan
-    mine, theirs = normal(df.toPandas()), normal(duck.execute(contract.oracle_sql()[name]).df())
+    mine, theirs = normal(df.toPandas()), normal(duck[folder].execute(contract.oracle_sql()[name]).df())
     assert list(mine.columns) == list(theirs.columns)
     assert len(mine) == len(theirs)
     for column in mine.columns:
