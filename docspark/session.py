@@ -83,14 +83,16 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) ->
     """Write ``df`` once in buckets of ``key``: later joins and groups by the key do not move its rows.
 
     Like ``materialize``, with as many buckets as the session has shuffle partitions unless told
-    otherwise. The files lie in the shared folder; the session's catalog names them until it ends.
+    otherwise. The files lie in the shared folder; the catalog names them only until the reader knows their buckets.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, name)
     table = f"docspark_{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the entry alone: a table with a path keeps its files
+    return rows
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -134,6 +134,7 @@ def test_rank_below_the_size(spark, terms):
 
 def test_bags_stay_in_their_buckets(docs, terms):
     rows = packed(docs, terms, "doc")
+    assert docs.sparkSession.catalog.listTables() == []
     state = rows.groupBy("doc").agg(F.sum(F.size("ids")).alias("n"))
     plan = rows.join(state, "doc").hint("merge")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
