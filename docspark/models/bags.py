@@ -25,6 +25,8 @@ from docspark.session import bucketed, fresh_path
 BLOCK = 1 << 17
 #: Blocks of terms that a task may hold while it counts, some 150 MB.
 IN_TASK = 64
+#: Documents of a bucket: a pass sends one row per term it met for each bucket.
+BUCKET_DOCS = 1 << 15
 #: Entries of bags that are computed together.
 ENTRIES = 1 << 18
 
@@ -37,17 +39,18 @@ def packed(docs: DataFrame, terms: DataFrame, key: str, tokens: str = "tokens")
     rows lie in buckets, so that every later pass joins a document's state to them without moving them.
     """
     known = terms.where(F.col("term").isNotNull())
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // BUCKET_DOCS))
     blocks = known.agg(F.max(F.expr(f"int(term_id div {BLOCK})"))).first()[0]
     if blocks is not None and blocks < IN_TASK:
         path = fresh_path(docs.sparkSession, "vocabulary")
         term_places(known).select("block", "id", "term").repartition("block").write.partitionBy("block").parquet(path)
-        return bucketed(counted_in_tasks(docs.select(key, tokens), path, blocks + 1, BLOCK), "bags", key)
+        return bucketed(counted_in_tasks(docs.select(key, tokens), path, blocks + 1, BLOCK), "bags", key, n)
     long = bag_of_words(docs, known, key, tokens=tokens)
     place = F.struct(F.expr(f"int(term_id % {BLOCK})").alias("id"), F.col("tf").cast("int").alias("n"))
     rows = long.select(key, F.expr(f"int(term_id div {BLOCK})").alias("block"), place.alias("entry"))
     rows = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     rows = rows.select(key, "block", F.transform("entries", lambda e: e["id"]).alias("ids"), F.transform("entries", lambda e: e["n"]).alias("counts"))
-    return bucketed(rows, "bags", key)
+    return bucketed(rows, "bags", key, n)
 
 
 def counted_in_tasks(docs: DataFrame, path: str, blocks: int, size: int) -> DataFrame:
@@ -150,15 +153,17 @@ def parts(batch: pa.RecordBatch) -> Iterator[Part]:
         row = to
 
 
-def sweep(rows: DataFrame, path: str, step: Callable, finish: Callable | None = None, prepare: Callable | None = None, blocks: int = 1) -> DataFrame:
+def sweep(rows: DataFrame, path: str, step: Callable, finish: Callable | None = None, prepare: Callable | None = None, blocks: int = 1, single: bool = False) -> DataFrame:
     """One pass over ``key, block, ids, counts[, state]`` with the weights at ``path``.
 
     ``step(part, weights, sums)`` returns values per document, or None, and may add to ``sums``, a matrix with
     a row per term of the block and what else it puts there. Returns ``kind, key, block, id, values``: ``doc`` rows
     from ``step``, ``term`` rows for the sums of a task's terms after ``finish(weights, sums)``, and ``all`` rows for
-    ``sums["all"]``. ``prepare`` turns a block's weights into what ``step`` reads.
+    ``sums["all"]``. ``prepare`` turns a block's weights into what ``step`` reads. ``single`` sends values in four
+    bytes, for passes that need no more.
     """
     prepare = prepare or (lambda weights: weights)
+    number, name = ("float32", "float") if single else ("float64", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, weights, sums = None, None, {}
@@ -166,7 +171,7 @@ def sweep(rows: DataFrame, path: str, step: Callable, finish: Callable | None =
         def out(kind: str, keys, ids, values) -> pa.RecordBatch:
             n, width = values.shape
             none = pa.nulls(n, pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * width), pa.array(values.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * width), pa.array(values.ravel().astype(number)))
             columns = [pa.array([kind] * n), none if keys is None else pa.array(keys), pa.array(np.full(n, -1 if block is None else block, "int32")), none.cast(pa.int32()) if ids is None else pa.array(ids.astype("int32")), lists]
             return pa.RecordBatch.from_arrays(columns, ["kind", "key", "block", "id", "values"])
 
@@ -191,7 +196,7 @@ def sweep(rows: DataFrame, path: str, step: Callable, finish: Callable | None =
             yield from flush()
 
     ordered = rows.sortWithinPartitions("block") if blocks > 1 else rows
-    return ordered.mapInArrow(run, "kind string, key long, block int, id int, values array<double>")
+    return ordered.mapInArrow(run, f"kind string, key long, block int, id int, values array<{name}>")
 
 
 def add_by_term(part: Part, values: np.ndarray, sums: dict, terms: int) -> None:

@@ -48,10 +48,10 @@ def projected(bags: DataFrame, key: str, path: str, width: int, blocks: int) ->
 def squared(bags: DataFrame, key: str, path: str, width: int, blocks: int) -> DataFrame:
     """``block, id, values``: the term weights times the documents' matrix and its transpose."""
     if blocks == 1:
-        found = sweep(bags.select(key, "block", "ids", "counts"), path, there_and_back)
+        found = sweep(bags.select(key, "block", "ids", "counts"), path, there_and_back, single=True)
     else:
         state = materialize(projected(bags, key, path, width, blocks), "projected")
-        found = sweep(bags.join(state, key).select(key, "block", "ids", "counts", "vector"), path, back_projection, blocks=blocks)
+        found = sweep(bags.join(state, key).select(key, "block", "ids", "counts", "vector"), path, back_projection, blocks=blocks, single=True)
     return summed(found.where("kind = 'term'"), width, "block", "id")
 
 
