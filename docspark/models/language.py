@@ -8,13 +8,14 @@ or, for scripts without spaces, runs of ``gram`` characters (Cavnar and Trenkle
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions.scores import argmax
 from docspark.functions.tokens import NON_WORD, grams
 from docspark.operators.labels import fit_labels, label_array
-from docspark.operators.lookup import join_back, join_terms
+from docspark.operators.lookup import Lists, meet_terms, places
 from docspark.session import materialize
 
 
@@ -26,21 +27,26 @@ class LanguageModel:
         self.labels = labels
         self.gram = gram
 
-    def transform(self, df: DataFrame, text: str, output: str = "prediction", keys: list[str] | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, text: str, output: str = "prediction", keys: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
         """Add the top-ranked language, null where no term is known; ties go to the first label.
 
-        ``keys`` tell the texts apart, by default all columns but the text. Terms are counted per
-        text before they meet the profile, and sums are formed before they go back to the texts.
+        Every row is a text of its own, whatever its ``keys``. Terms meet the profile by chunks of texts, which
+        move with the columns to ``keep``, by default all.
         """
-        keys = [c for c in df.columns if c != text] if keys is None else keys
-        terms = df.select(*keys, F.explode(_terms(F.col(text), self.gram)).alias("term")).where("term <> ''")
-        counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("_n"))
-        known = join_terms(counts, self.profile, "term", keys)
-        ranks = range(len(self.labels))
-        sums = known.groupBy(*keys).agg(*[F.sum(F.col("_n") * F.col("weights")[i]).alias(f"_s{i}") for i in ranks])
-        scores = F.array(*[F.round(f"_s{i}", 8) for i in ranks])
-        best = sums.select(*keys, F.get(label_array(self.labels), argmax(scores)).alias(output))
-        return join_back(df, best, keys)
+        keep = df.columns if keep is None else keep
+        width = len(self.labels)
+
+        def best(lists: Lists, found: pa.Table) -> pa.Array:
+            place = places(lists.tokens, found["term"])
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            at, owner, n = place.drop_null().to_numpy(), lists.owners()[known], len(lists.lengths)
+            weights = found["weights"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+            sums = np.stack([np.bincount(owner, weights=weights[at, i], minlength=n) for i in range(width)], axis=1)
+            return pa.array(sums.round(8).argmax(axis=1).astype("int32"), mask=np.bincount(owner, minlength=n) == 0)
+
+        terms = df.select(*keep, _terms(F.col(text), self.gram).alias("_terms"))
+        ranked = meet_terms(terms, "_terms", self.profile, best, "_rank", "int")
+        return ranked.select(*keep, F.get(label_array(self.labels), F.col("_rank")).alias(output))
 
     def save(self, path: str) -> None:
         """Write the profile and the label list below ``path``."""

@@ -29,13 +29,13 @@ def word_vocabulary(docs: DataFrame, text: str, keep: int | None = None) -> Data
 
 
 def word_ids(rows: DataFrame, text: str, keys: list[str], vocabulary: DataFrame, max_len: int | None) -> DataFrame:
-    """Add ``ids``: the ids of the words that fit between the two markers, or of all words without a length.
+    """``keys, ids``: the ids of the words that fit between the two markers, or of all words without a length.
 
     Words beyond the length are cut before the lookup, which treats every word by itself.
     """
     kept = words(as_text(F.col(text))) if max_len is None else first_words(as_text(F.col(text)), max_len - 2)
-    first = rows.withColumn("_words", kept)
-    return lookup_terms(first, keys, "_words", vocabulary, "ids", missing=UNK).drop("_words")
+    first = rows.select(*keys, kept.alias("_words"))
+    return lookup_terms(first, keys, "_words", vocabulary, "_words", missing=UNK).withColumnRenamed("_words", "ids")
 
 
 def sequence_rows(rows: DataFrame, text: str, keys: list[str], vocabulary: DataFrame, max_len: int) -> DataFrame:
@@ -116,8 +116,8 @@ def fit_sequences(
     labels = fit_labels(docs, category)
     vocabulary = materialize(word_vocabulary(docs, text), "vocabulary")
     known = docs.select(key, encode_label(F.col(category), labels).cast("double").alias("_label")).where("_label IS NOT NULL")
-    rows = sequence_rows(docs, text, [key], vocabulary, max_len).join(known, key)
-    rows = materialize(_pieces(rows), "sequences")
+    rows = sequence_rows(docs, text, [key], vocabulary, max_len).join(known, key).select("ids", "_label")
+    rows = _pieces(materialize(rows, "sequences"))
     hashed = HashingTF(inputCol="_pieces", outputCol="_features", numFeatures=features)
     softmax = LogisticRegression(
         featuresCol="_features", labelCol="_label", predictionCol="_class", rawPredictionCol="_raw",
