@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions.scores import argmax
 from docspark.functions.tokens import words
 from docspark.operators.labels import fit_labels, label_array
-from docspark.operators.lookup import join_terms
+from docspark.operators.lookup import Lists, meet_terms, places
 from docspark.session import materialize
 
 BACKOFF = 0.4
@@ -23,92 +25,85 @@ BACKOFF_LOG = math.log(BACKOFF)
 
 
 class NgramModel:
-    """Fitted labels with a weight per class for every gram, and one for unknown words."""
+    """Fitted labels, the counts per class of every gram, and the words of each class with one for each distinct word."""
 
-    def __init__(self, weights: DataFrame, unknown: list[float], labels: list[str]):
-        self.weights = weights
-        self.unknown = unknown
+    def __init__(self, counts: DataFrame, sizes: list[float], labels: list[str]):
+        self.counts = counts
+        self.sizes = sizes
         self.labels = labels
 
     def predict(self, df: DataFrame, keys: list[str], text: str, output: str = "prediction") -> DataFrame:
-        """``keys, prediction`` for rows told apart by ``keys``; null where there is no word.
+        """``keys, prediction``, a row per text; null where there is no word.
 
-        The grams of a text meet the weights by joins that deal out frequent ones. Their sums are
-        formed before the shuffle by key, which moves one row of scores per text and task.
+        The grams of a text meet their counts by chunks of texts, where the weights are made: a pair's words
+        are in its chunk, so no pair has to meet them elsewhere.
         """
-        ranks = range(len(self.labels))
-        names = [f"w_{i}" for i in ranks]
-        alone = self.weights.filter(~F.col("pair")).select(F.col("gram").alias("word"), *names)
-        pairs = self.weights.filter("pair").select(F.col("gram").alias("two"), *[F.col(n).alias(f"p{n}") for n in names])
-        rows = _word_rows(df, text, *keys, outer=True)
-        rows = join_terms(join_terms(rows, alone, "word", keys, "left"), pairs, "two", keys, "left")
-        # A row without a word stands for a text without one and scores nothing.
-        unknown = [F.when(F.col("word").isNotNull(), self.unknown[i]) for i in ranks]
-        each = [F.coalesce(f"w_{i}", unknown[i]) + F.coalesce(f"pw_{i}", F.lit(0.0)) for i in ranks]
-        sums = [F.sum(value).alias(f"s_{i}") for i, value in enumerate(each)]
-        scores = F.array(*[F.round(f"s_{i}", 8) for i in ranks])
-        label = F.get(label_array(self.labels), argmax(scores))
-        return rows.groupBy(*keys).agg(*sums).select(*keys, label.alias(output))
+        width, sizes = len(self.labels), np.array(self.sizes)
+
+        def best(lists: Lists, found: pa.Table) -> pa.Array:
+            n, owner, words = len(lists.lengths), lists.owners(), lists.tokens
+            alone = places(words, found["term"])
+            follows = np.append(False, owner[1:] == owner[:-1])[: len(owner)]
+            second = np.flatnonzero(follows)
+            two = pa.compute.binary_join_element_wise(words.take(pa.array(second - 1)), words.take(pa.array(second)), " ")
+            pair = places(two, found["term"])
+            known, paired = (at.is_valid().to_numpy(zero_copy_only=False) for at in (alone, pair))
+            alone, pair = (pa.compute.fill_null(at, 0).to_numpy() for at in (alone, pair))
+            second, pair = second[paired], pair[paired]
+            scores = np.zeros((n, width))
+            for i in range(width):
+                counts = np.append(found[f"n_{i}"].to_numpy(), 0)
+                single = np.log((np.where(known, counts[alone], 0) + 1) / sizes[i])
+                has = counts[pair] > 0
+                at = second[has]
+                # What a pair adds to the backed-off score of its second word, whose factor all classes share.
+                gain = np.log(counts[pair[has]] / counts[alone[at - 1]]) - BACKOFF_LOG - single[at]
+                scores[:, i] = np.bincount(owner, weights=single, minlength=n) + np.bincount(owner[at], weights=gain, minlength=n)
+            return pa.array(scores.round(8).argmax(axis=1).astype("int32"), mask=lists.lengths == 0)
+
+        rows = df.select(*keys, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
+        table = self.counts.withColumnRenamed("gram", "term")
+        ranked = meet_terms(rows, "_words", table, best, "_rank", "int", grams_of(F.col("_words")))
+        return ranked.select(*keys, F.get(label_array(self.labels), F.col("_rank")).alias(output))
 
     def save(self, path: str) -> None:
-        """Write the weights, and the labels with their unknown-word weights, below ``path``."""
-        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
-        rows = [(i, label, self.unknown[i]) for i, label in enumerate(self.labels)]
-        saved = SparkSession.getActiveSession().createDataFrame(rows, "id int, label string, unknown double")
+        """Write the counts, and the labels with their sizes, below ``path``."""
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        rows = [(i, label, self.sizes[i]) for i, label in enumerate(self.labels)]
+        saved = SparkSession.getActiveSession().createDataFrame(rows, "id int, label string, size double")
         saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
     @classmethod
     def load(cls, path: str) -> NgramModel:
         spark = SparkSession.getActiveSession()
         rows = spark.read.parquet(f"{path}/labels").orderBy("id").collect()
-        weights = spark.read.parquet(f"{path}/weights")
-        return cls(weights, [row.unknown for row in rows], [row.label for row in rows])
+        return cls(spark.read.parquet(f"{path}/counts"), [row["size"] for row in rows], [row.label for row in rows])
 
 
-def _word_rows(df: DataFrame, text: str, *keep: str, outer: bool = False) -> DataFrame:
-    """``keep, word, two``: a row per word, with the pair it forms with the word before it, if any."""
-    spread_out = F.posexplode_outer if outer else F.posexplode
-    rows = df.select(*keep, words(F.col(text)).alias("_words"))
-    rows = rows.select(*keep, "_words", spread_out("_words").alias("_pos", "word"))
-    before = F.when(F.col("_pos") > 0, F.get("_words", F.col("_pos") - 1))
-    return rows.select(*keep, "word", F.concat(before, F.lit(" "), F.col("word")).alias("two"))
+def grams_of(words: Column) -> Column:
+    """The words, then the pairs of words that follow each other, with a space between them."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int | None = None) -> NgramModel:
     """Fit on labelled texts. The model keeps all words and pairs, or the ``max_grams`` most frequent together.
 
     At equal counts words come before pairs, so the words of a kept pair are kept as well. The
-    weights are computed by joins among these rows and stay a table; only totals reach the driver.
+    model is the table of counts; only totals reach the driver.
     """
     labels = fit_labels(df, category)
     ranks = range(len(labels))
-    found = _word_rows(df.filter(F.col(category).isin(labels)), text, category)
-    both = F.array(
-        F.struct(F.col("word").alias("gram"), F.lit(False).alias("pair")),
-        F.struct(F.col("two").alias("gram"), F.lit(True).alias("pair")),
-    )
-    found = found.select(F.col(category).alias("_class"), F.inline(both)).filter(F.col("gram").isNotNull())
-    counts = found.groupBy("gram", "pair").agg(
+    found = df.filter(F.col(category).isin(labels)).select(F.col(category).alias("_class"), words(F.col(text)).alias("_words"))
+    found = found.select("_class", F.explode(grams_of(F.col("_words"))).alias("gram"))
+    counts = found.groupBy("gram").agg(
         *[F.count(F.when(F.col("_class") == label, True)).alias(f"n_{i}") for i, label in enumerate(labels)]
     )
     total = sum((F.col(f"n_{i}") for i in ranks[1:]), F.col("n_0"))
-    kept = counts if max_grams is None else counts.orderBy(total.desc(), "pair", "gram").limit(max_grams)
+    pair = F.col("gram").contains(" ")
+    kept = counts if max_grams is None else counts.orderBy(total.desc(), pair, "gram").limit(max_grams)
     kept = materialize(kept, "gram-counts")
-    single = ~F.col("pair")
-    totals = kept.filter(single).agg(F.count("*"), *[F.sum(f"n_{i}") for i in ranks]).first()
+    totals = kept.filter(~pair).agg(F.count("*"), *[F.sum(f"n_{i}") for i in ranks]).first()
     if not totals[0]:
         raise ValueError("no words to fit on")
-    sizes = [float(totals[1 + i] + totals[0]) for i in ranks]
-    share = {f"w_{i}": F.log((F.col(f"n_{i}") + 1) / sizes[i]) for i in ranks}
-    alone = kept.filter(single).withColumns(share)
-    first = alone.select(F.col("gram").alias("_first"), *[F.col(f"n_{i}").alias(f"f_{i}") for i in ranks])
-    second = alone.select(F.col("gram").alias("_second"), *[F.col(f"w_{i}").alias(f"g_{i}") for i in ranks])
-    words_of = {f"_{name}": F.split_part("gram", F.lit(" "), F.lit(i + 1)) for i, name in enumerate(("first", "second"))}
-    pairs = kept.filter("pair").withColumns(words_of)
-    pairs = join_terms(join_terms(pairs, first, "_first", ["gram"]), second, "_second", ["gram"])
-    # What a pair adds to the backed-off score of its second word, whose factor all classes share.
-    gain = [F.log(F.col(f"n_{i}") / F.col(f"f_{i}")) - F.lit(BACKOFF_LOG) - F.col(f"g_{i}") for i in ranks]
-    pairs = pairs.withColumns({f"w_{i}": F.when(F.col(f"n_{i}") > 0, gain[i]).otherwise(0.0) for i in ranks})
-    columns = ["gram", "pair", *[f"w_{i}" for i in ranks]]
-    weights = materialize(alone.select(*columns).unionByName(pairs.select(*columns)), "ngrams")
-    return NgramModel(weights, [-math.log(size) for size in sizes], labels)
+    return NgramModel(kept, [float(totals[1 + i] + totals[0]) for i in ranks], labels)

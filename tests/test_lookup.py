@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.models.language import fit_language_model
+from docspark.models.ngram import fit_ngrams
 from docspark.operators import lookup
 from docspark.operators.lookup import join_terms, lookup_terms
 from docspark.plans.sequence import sequence_rows, word_vocabulary
@@ -47,3 +48,11 @@ def test_languages_in_many_chunks(spark, monkeypatch):
     whole = sorted(model.transform(docs, "text").collect())
     monkeypatch.setattr(lookup, "CHUNK_TOKENS", 4)
     assert sorted(model.transform(docs, "text", keep=["doc_id", "text", "lang"]).collect()) == whole
+
+
+def test_pairs_of_words_meet_their_counts_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b", "xy"[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    model = fit_ngrams(docs, "text", "lang")
+    assert set(model.counts.columns) == {"gram", "n_0", "n_1"}
+    found = plan(model.predict(docs, ["doc_id"], "text"))
+    assert found.count("SortMergeJoin") == 1 and "FlatMapCoGroupsInArrow" in found
