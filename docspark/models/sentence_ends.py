@@ -36,6 +36,11 @@ def text_tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
 
 
+def has_mark(token: Column) -> Column:
+    """Whether a token may end a sentence; few do, and only those need its patterns."""
+    return token.contains(".") | token.contains("!") | token.contains("?")
+
+
 def type_counts(docs: DataFrame, text: str) -> DataFrame:
     """``type, with_period, plain``: how often every word stands with and without a period at its end.
 
@@ -73,7 +78,7 @@ def after_breaks(docs: DataFrame, text: str) -> DataFrame:
     """``type, next, n``: the tokens that follow a token ending in ``.``, ``!`` or ``?``, counted."""
     tokens = docs.select(text_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 1)
     pairs = F.transform(F.sequence(F.lit(0), F.size("tokens") - 2), lambda i: F.struct(F.get("tokens", i).alias("token"), F.get("tokens", i + 1).alias("next")))
-    ending = F.filter(pairs, lambda p: bare(p["token"]).rlike(r"[.!?]$"))
+    ending = F.filter(pairs, lambda p: has_mark(p["token"]) & bare(p["token"]).rlike(r"[.!?]$"))
     found = tokens.select(F.inline(ending))
     return found.groupBy(word_type(F.col("token")).alias("type"), F.regexp_replace(bare(F.col("next")), r"\.$", "").alias("next")).agg(F.count("*").alias("n"))
 
@@ -101,18 +106,18 @@ class SentenceEnds:
         tables by joins, and come back as a list of places. ``key`` is unique; texts without words give no rows.
         """
         rows = docs.select(F.col(key).alias("_key"), text_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-        places = F.transform("tokens", lambda t, i: F.struct(i.alias("at"), bare(t).alias("token"), F.get("tokens", i + 1).alias("next")))
-        open_places = rows.select("_key", F.inline(F.filter(places, lambda p: p["token"].rlike(r"\.$") & p["next"].isNotNull())))
+        places = F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.get("tokens", i + 1).alias("next")))
+        open_places = rows.select("_key", F.inline(F.filter(places, lambda p: p["token"].contains(".") & bare(p["token"]).rlike(r"\.$") & p["next"].isNotNull())))
         asked = open_places.select("_key", "at", word_type(F.col("token")).alias("type"), F.regexp_replace(bare(F.col("next")), r"\.$", "").alias("next"))
         known = join_terms(asked, self.abbreviations.select("type", F.lit(True).alias("_short")), "type", ["_key", "at"], "left")
         lower = known.withColumn("word", F.when(F.col("_short") & F.col("next").rlike(r"^\p{Lu}"), F.lower("next")))
         found = join_terms(lower, self.starters.select("word", F.lit(True).alias("_starts")), "word", ["_key", "at"], "left")
         inner = found.where(F.col("_short") & F.col("_starts").isNull()).groupBy("_key").agg(F.collect_set("at").alias("_inner"))
         both = join_back(rows, inner, ["_key"]).withColumn("_inner", F.coalesce("_inner", F.array().cast("array<int>")))
-        ends = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == F.size("tokens") - 1) | (bare(F.get("tokens", i)).rlike(r"[.!?]$") & ~F.array_contains("_inner", i)))
+        ends = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == F.size("tokens") - 1) | (has_mark(F.get("tokens", i)) & bare(F.get("tokens", i)).rlike(r"[.!?]$") & ~F.array_contains("_inner", i)))
         marked = both.select("_key", "tokens", ends.alias("_ends"))
-        starts = F.concat(F.array(F.lit(0)), F.transform("_ends", lambda e: e + 1))
-        cut = F.transform("_ends", lambda e, k: F.array_join(F.slice("tokens", F.get(starts, k) + 1, e + 1 - F.get(starts, k)), " "))
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get("_ends", k - 1) + 1)  # noqa: E731 (a list of starts would be made anew for every sentence)
+        cut = F.transform("_ends", lambda e, k: F.array_join(F.slice("tokens", start(k) + 1, e + 1 - start(k)), " "))
         return marked.select(F.col("_key").alias(key), F.posexplode(cut).alias("pos", "sentence"))
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -56,3 +57,14 @@ def test_empty_texts_learn_nothing(docs):
     ends = fit_sentence_ends(docs.where("id >= 900"), "text")
     assert ends.abbreviations.count() == 0 and ends.starters.count() == 0
     assert ends.split(docs.where(F.col("id") < 2), "id", "text").count() > 4
+
+
+def test_a_long_text_is_cut_in_linear_time(spark):
+    """Lists made anew for every sentence took minutes for this text."""
+    text = "One two three four. " * 40_000
+    docs = spark.createDataFrame([(1, text)], "i long, t string")
+    model = SentenceEnds(spark.createDataFrame([], "type string"), spark.createDataFrame([], "word string"))
+    start = time.perf_counter()
+    rows = model.split(docs, "i", "t").agg(F.count("*"), F.max("pos"), F.min("sentence"), F.max("sentence")).first()
+    assert tuple(rows) == (40_000, 39_999, "One two three four.", "One two three four.")
+    assert time.perf_counter() - start < 60
