@@ -9,7 +9,7 @@ from docspark.models.language import fit_language_model
 from docspark.models.ngram import fit_ngrams
 from docspark.operators import lookup
 from docspark.operators.lookup import join_terms, lookup_terms
-from docspark.plans.sequence import sequence_rows, word_vocabulary
+from docspark.plans.sequence import sequence_rows, word_ids, word_vocabulary
 from docspark.session import materialize
 
 
@@ -56,3 +56,10 @@ def test_pairs_of_words_meet_their_counts_once(spark):
     assert set(model.counts.columns) == {"gram", "n_0", "n_1"}
     found = plan(model.predict(docs, ["doc_id"], "text"))
     assert found.count("SortMergeJoin") == 1 and "FlatMapCoGroupsInArrow" in found
+
+
+def test_words_of_sequences_stay_in_their_row(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b") for i in range(20)], "doc_id long, text string")
+    table = materialize(word_vocabulary(docs, "text"), "vocabulary")
+    for df in (sequence_rows(docs, "text", ["doc_id"], table, 4), word_ids(docs, "text", ["doc_id"], table, None)):
+        assert plan(df).count("SortMergeJoin") == 1 and "FlatMapCoGroupsInArrow" in plan(df)
