@@ -43,9 +43,7 @@ class NgramModel:
         def best(lists: Lists, found: pa.Table) -> pa.Array:
             n, owner, words = len(lists.lengths), lists.owners(), lists.tokens
             alone = places(words, found["term"])
-            follows = np.append(False, owner[1:] == owner[:-1])[: len(owner)]
-            second = np.flatnonzero(follows)
-            two = pa.compute.binary_join_element_wise(words.take(pa.array(second - 1)), words.take(pa.array(second)), " ")
+            second, two = pairs_in(lists)
             pair = places(two, found["term"])
             known, paired = (at.is_valid().to_numpy(zero_copy_only=False) for at in (alone, pair))
             alone, pair = (pa.compute.fill_null(at, 0).to_numpy() for at in (alone, pair))
@@ -63,7 +61,7 @@ class NgramModel:
 
         rows = df.select(*keys, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
         table = self.counts.withColumnRenamed("gram", "term")
-        ranked = meet_terms(rows, "_words", table, best, "_rank", "int", grams_of(F.col("_words")))
+        ranked = meet_terms(rows, "_words", table, best, "_rank", "int", grams_in)
         return ranked.select(*keys, F.get(label_array(self.labels), F.col("_rank")).alias(output))
 
     def save(self, path: str) -> None:
@@ -86,6 +84,18 @@ def grams_of(words: Column) -> Column:
     return F.concat(words, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def pairs_in(lists: Lists) -> tuple[np.ndarray, pa.Array]:
+    """Where the second words of all pairs stand, and the pairs."""
+    owner, words = lists.owners(), lists.tokens
+    second = np.flatnonzero(np.append(False, owner[1:] == owner[:-1])[: len(owner)])
+    return second, pa.compute.binary_join_element_wise(words.take(pa.array(second - 1)), words.take(pa.array(second)), " ")
+
+
+def grams_in(lists: Lists) -> pa.Array:
+    """``grams_of`` all lists, each gram once."""
+    return pa.concat_arrays([lists.tokens.unique(), pairs_in(lists)[1].unique()])
+
+
 def fit_ngrams(df: DataFrame, text: str, category: str, max_grams: int | None = None) -> NgramModel:
     """Fit on labelled texts. The model keeps all words and pairs, or the ``max_grams`` most frequent together.
 

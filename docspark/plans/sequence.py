@@ -115,8 +115,8 @@ def fit_sequences(
     """Fit labels, vocabulary and head on labelled documents; the sequences are written once."""
     labels = fit_labels(docs, category)
     vocabulary = materialize(word_vocabulary(docs, text), "vocabulary")
-    known = docs.select(key, encode_label(F.col(category), labels).cast("double").alias("_label")).where("_label IS NOT NULL")
-    rows = sequence_rows(docs, text, [key], vocabulary, max_len).join(known, key).select("ids", "_label")
+    known = docs.withColumn("_label", encode_label(F.col(category), labels).cast("double")).where("_label IS NOT NULL")
+    rows = sequence_rows(known, text, [key, "_label"], vocabulary, max_len).select("ids", "_label")
     rows = _pieces(materialize(rows, "sequences"))
     hashed = HashingTF(inputCol="_pieces", outputCol="_features", numFeatures=features)
     softmax = LogisticRegression(

@@ -63,3 +63,19 @@ def test_words_of_sequences_stay_in_their_row(spark):
     table = materialize(word_vocabulary(docs, "text"), "vocabulary")
     for df in (sequence_rows(docs, "text", ["doc_id"], table, 4), word_ids(docs, "text", ["doc_id"], table, None)):
         assert plan(df).count("SortMergeJoin") == 1 and "FlatMapCoGroupsInArrow" in plan(df)
+
+
+def test_chunks_move_packed(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "CHUNK_TOKENS", 1000)
+    rng = random.Random(5)
+    rows = [(i, [f"rather-long-word-{rng.randrange(50)}" for _ in range(rng.choice([0, 1, 30]))]) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "i long, tokens array<string>").repartition(3)
+    chunks = lookup.in_chunks(df, "tokens").collect()
+    n = sum(max(1, len(t or [])) for _, t in rows)
+    assert n // 1000 <= len(chunks) <= n // 1000 + 3 and len({c["_chunk"] for c in chunks}) == len(chunks)
+    assert all(len(set(c.terms)) == len(c.terms) for c in chunks)
+    assert sum(len(c.rows) for c in chunks) < sum(len(w) for _, t in rows for w in t or []) / 4
+    table = spark.createDataFrame([("rather-long-word-7", 7)], "term string, value int")
+    found = plan(lookup_terms(df, ["i"], "tokens", table, "tokens", missing=0))
+    moved = [line for line in found.splitlines() if "Exchange hashpartitioning(" in line and "Exchange hashpartitioning(term" not in line]
+    assert moved and "Generate explode(terms" in found and "tokens" not in "".join(moved)
