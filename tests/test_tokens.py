@@ -4,7 +4,7 @@ import regex
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from docspark.functions.tokens import ENGLISH_STOP_WORDS, as_text, filter_tokens, first_words, sentences, words
+from docspark.functions.tokens import ENGLISH_STOP_WORDS, NON_WORD, _normal, as_text, filter_tokens, first_words, sentences, words
 
 
 def restated(text, limit=50, stops=ENGLISH_STOP_WORDS):
@@ -70,3 +70,13 @@ def test_null_text_policy(spark):
     assert apply(spark, [None, "a"], lambda t: as_text(t, "nan")) == ["nan", "a"]
     row = spark.range(1).select(as_text(F.lit(7)).alias("o")).first()
     assert row.o == "7"
+
+
+def test_one_pattern_over_the_text(spark):
+    rng = random.Random(11)
+    letters = ["a", "Z", "é", "Σ", "İ", "ß", "7", "٣", "²", "½", "Ⅷ", "漢", "\U0001d49c", "\U0001d7d8", "\u0301", "_", "-", " ", "'", "\n"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(400)] + ["NUM num 7 the", "\U0001d49c7 7", "7\U0001d49c x"]
+    each = lambda t: F.filter(F.transform(F.split(t, NON_WORD), lambda tok: _normal(tok, ["num", "z"])), lambda tok: tok != "")
+    assert apply(spark, texts, lambda t: filter_tokens(t, ["NUM", "z"])) == apply(spark, texts, each)
+    plan = spark.range(1).select(F.concat(F.lit("a "), "id").alias("t")).select(filter_tokens(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" in plan and "split(" not in plan
