@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -10,20 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docspark.llm.common import whole_text
+from docspark.llm.common import slices, whole_text
 from docspark.session import fresh_path, materialize
 
 LENGTH = 2048
 END_ID = 2
 BATCH = 256
-#: Chunks of text whose ids a worker remembers at most, and their greatest length.
-CACHE, CACHED_CHARS = 500_000, 40
+#: Chunks of text whose ids a worker remembers, about, and their greatest length. Bytes of text encoded at once, or one text.
+CACHE, CACHED_CHARS = 300_000, 40
+TOGETHER = 1 << 23
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
@@ -31,20 +34,25 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, as bytes of ids.
 
-    The vocabulary works on chunks that never reach across a single space before a word, so each
-    distinct chunk is encoded by the library once and remembered. A chunk of Latin letters, maybe
-    with one sign after them, is one or two pieces to the splitter and goes straight to the library's
-    merges. Texts where a space has white space or an end on both sides, or that name a special
-    token, are encoded whole; so are all texts if the file has another normaliser or splitter than
-    the byte-level one.
+    The vocabulary works on chunks that never reach across a single space before a word. Arrow cuts
+    texts at spaces and lists the distinct chunks, each is encoded once and remembered, and the
+    texts are put together from the list. Chunks of Latin letters, digits and signs are cut into
+    the splitter's pieces here and go straight to the library's merges. Texts where a space has
+    white space or an end on both sides, or that name a special token, are encoded whole; so are
+    all texts if the file has another normaliser or splitter than the byte-level one.
     """
 
     joined = re.compile(r"\s (?!\S)")
     simple = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
+    #: Neither an apostrophe, which starts pieces of its own, nor lines without text, whose breaks share one.
+    plain = re.compile(r"""(?!\n)(?:[A-Za-zÀ-ÖØ-öø-ɏ0-9!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]|\n(?!\n))++""")
+    pieces = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|\n|[^A-Za-zÀ-ÖØ-öø-ɏ0-9\n]+")
 
     def __init__(self, file: str, kind: str):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -55,36 +63,69 @@ class Encoder:
         self.by_chunk = not state.get("normalizer") and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
         self.special = [x["content"] for x in state.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.by_chunk:
             self.merges = self.tokenizer.model
-            self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if self.simple.fullmatch(chr(c))}
-            self.signs = dict(zip(["", *".,;:!?"], self.ids(["", *".,;:!?"])))
+            self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
+            self.signs = dict(zip(["", *".,;:!?\n"], self.ids(["", *".,;:!?\n"])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_chunk or bool(self.joined.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        rest = set().union(*[c[1:] for c in split]) - known.keys() if split else set()
-        rest = list(rest)
-        brief = {}
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, each after a space.
+
+        Remembered are words and other pieces, under their text where they start a chunk and after a
+        space where they do not, and whole chunks that the library cuts.
+        """
+        if len(self.known) > CACHE // 2:  # what has not been met since the last time is forgotten
+            self.older, self.known = self.known, {}
+        known, older, signs, written, code, merged = self.known, self.older, self.signs, self.written, self.code, self.merges.tokenize
+        simple, plain, findall, ascii_letter = self.simple.fullmatch, self.plain.fullmatch, self.pieces.findall, frozenset(string.ascii_letters).__contains__
+        out = list(map(known.get, chunks))
         other = []
-        for chunk in rest:
-            if len(chunk) <= CACHED_CHARS and (parts := self.simple.fullmatch(chunk)):
+
+        def piece(key: str, text: str, space: str = "") -> bytes:
+            if (ids := known.get(key)) is None:
+                if (ids := older.get(key)) is None:
+                    ids = array(code, [t.id for t in merged(space + (text if text.isascii() else text.translate(written)))]).tobytes()
+                if len(key) <= CACHED_CHARS:
+                    known[key] = ids
+            return ids
+
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            chunk = chunks[i]
+            if (sign := signs.get(chunk[-1:])) and (ids := known.get(chunk[:-1])) and ascii_letter(chunk[-2]):
+                out[i] = ids + sign
+            elif parts := simple(chunk):
                 word, sign = parts.groups()
-                known[chunk] = array(self.code, [t.id for t in self.merges.tokenize("Ġ" + (word if word.isascii() else word.translate(self.written)))]).tobytes() + self.signs[sign]
+                out[i] = piece(word, word, "Ġ") + signs[sign]
+            elif plain(chunk):
+                first, *more = findall(chunk)
+                out[i] = piece(first, first, "Ġ") + b"".join([signs.get(x) or piece(" " + x, x) for x in more])
+            elif (ids := older.get(chunk)) is not None:
+                out[i] = known[chunk] = ids
             else:
-                other.append(chunk)
-        for chunk, ids in zip(other, self.ids([" " + c for c in other])):
-            (known if len(chunk) <= CACHED_CHARS else brief)[chunk] = ids
-        if brief:
-            known = known | brief
-        firsts = iter(self.ids([c[0] if c else t for c, t in zip(split, texts)]))
-        return [next(firsts) + b"".join(map(known.__getitem__, c[1:])) for c in split]
+                other.append(i)
+        for i, ids in zip(other, self.ids([" " + chunks[i] for i in other])):
+            out[i] = ids
+            if len(chunks[i]) <= CACHED_CHARS:
+                known[chunks[i]] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [not self.by_chunk or bool(self.joined.search(t)) or any(s in t for s in self.special) for t in texts]
+        firsts = self.ids([t if w else t.partition(" ")[0] for t, w in zip(texts, whole)])
+        if all(whole):
+            return firsts
+        split = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        listed = split.flatten().dictionary_encode()
+        ids = pa.array(self.chunks(listed.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(listed.indices)
+        ends = np.frombuffer(ids.buffers()[1], "int64")[ids.offset :]  # chunk k of all lies from ends[k] to ends[k + 1]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        starts = ends[split.offsets.to_numpy()[:-1] + 1].tolist()  # a text's first chunk has no space before it
+        data = memoryview(ids.buffers()[2] or b"")
+        return [first + data[a:b] for first, a, b in zip(firsts, starts, cuts[1:])]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -196,8 +237,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
         def encoded() -> Iterator[tuple[list, list[bytes]]]:
             held = first
             while held is not None:
-                for at in range(0, held.num_rows, 1000):
-                    some = held.slice(at, 1000)
+                for some in slices(held, 1, TOGETHER):
                     yield some.column(0).to_pylist(), encode(some.column(1).to_pylist())
                 held = next(batches, None)
 

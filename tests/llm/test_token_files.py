@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from odd_rows import ODD
 
+from docspark.llm import token_files
 from docspark.llm.queries import tokenizer_path
 from docspark.llm.token_files import Encoder, TokenFile, read_token_files, write_token_files
 
@@ -24,6 +25,39 @@ def test_encoder_equals_the_library(tokenizer):
     assert found == [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def library(tokenizer, texts):
+    return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunks_cut_into_pieces_equal_the_library(tokenizer):
+    random.seed(2)
+    parts = ["on", "Heha", "é", "Éa", "ǅ", "ÿ", "12", "٣", "½", ".", ",", "***", "!?", "'", "'s", "'LL", "\\", "]", "_", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u0301", "Ġ", "Ċ", "日", "x" * 50]
+    texts = [" ".join("".join(random.choices(parts, k=random.randint(0, 5))) for _ in range(random.randint(1, 8))) for _ in range(6000)]
+    encoder = Encoder(tokenizer_path(), "<u2")
+    assert [x for k in range(0, 6000, 500) for x in encoder.encode(texts[k : k + 500])] == library(tokenizer, texts)
+    assert encoder.encode([]) == [] and encoder.encode(["", "a  ", " "]) == library(tokenizer, ["", "a  ", " "])
+
+
+def test_only_odd_chunks_go_through_the_splitter(monkeypatch):
+    encoder = Encoder(tokenizer_path(), "<u2")
+    sent = []
+    monkeypatch.setattr(encoder, "ids", lambda texts, ids=encoder.ids: sent.extend(texts) or ids(texts))
+    encoder.encode(["A line.\nThe next, of 12 (or 13) marked*** words: d'un mot 日本", "A line.\nThe next, d'un mot"])
+    assert sorted(sent) == [" d'un", " 日本", "A", "A"]
+
+
+def test_a_full_memory_forgets_what_was_not_met_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 200)
+    encoder = Encoder(tokenizer_path(), "<u2")
+    most = 0
+    for k in range(40):
+        texts = [" the same, " + " ".join(f"{a}{b}" for a in "abcde" for b in "vwxyz") + f" w{'abcdefghij'[k % 10] * (1 + k // 10)}" + "".join(f" q{x}{k}'" for x in "rstuvwxyz")]
+        assert encoder.encode(texts) == library(tokenizer, texts)
+        assert "same" in encoder.known
+        most = max(most, len(encoder.known) + len(encoder.older))
+    assert most <= 2 * 200
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     for d, t in sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
