@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +27,8 @@ COUNTERS = 1 << 22
 STEMS = (4, 5, 6)
 #: Weight of the examples of the grades between the lowest and the highest.
 INNER_WEIGHT = 0.25
+#: Entries of texts' features that are summed at a time.
+BLOCK = 1 << 16
 #: Share of the penalty that stays when the weights that are not zero are fitted again.
 REFIT = 0.02
 
@@ -56,6 +59,46 @@ class SeverityModel:
         return logistic(score[:, None] - np.array(self.thresholds)[None, :])
 
 
+class Entries:
+    """Which features each text has: the features' numbers, text by text, and how many a text has.
+
+    Sums go over some texts at a time, so that no array but the numbers is as long as all entries.
+    """
+
+    def __init__(self, column: np.ndarray, lengths: np.ndarray):
+        self.column, self.lengths = column, lengths
+        self.ends = np.cumsum(lengths)
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First text, end, and of each entry the text, counted from the first, and the feature."""
+        first, done = 0, 0
+        while first < len(self.lengths):
+            end = max(first + 1, int(np.searchsorted(self.ends, done + BLOCK, "right")))
+            yield first, end, np.repeat(np.arange(end - first), self.lengths[first:end]), self.column[done : self.ends[end - 1]]
+            first, done = end, int(self.ends[end - 1])
+
+    def only(self, kept: np.ndarray) -> Entries:
+        """The entries of some features, which are numbered anew in their order."""
+        number = (np.cumsum(kept) - 1).astype("int32")
+        lengths, columns = np.zeros_like(self.lengths), [self.column[:0]]
+        for first, end, row, column in self.blocks():
+            use = kept[column]
+            lengths[first:end] = np.bincount(row[use], minlength=end - first)
+            columns.append(number[column[use]])
+        return Entries(np.concatenate(columns), lengths)
+
+    def row_sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text the sum of its features' values."""
+        return np.concatenate([np.bincount(row, weights=values[column], minlength=end - first) for first, end, row, column in self.blocks()])
+
+    def column_sums(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Per feature the sum of its texts' values, in the order of the texts."""
+        sums = np.zeros(n)
+        for first, end, row, column in self.blocks():
+            np.add.at(sums, column, values[first:end][row])
+        return sums
+
+
 def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, penalty: float = PENALTY, steps: int = STEPS) -> SeverityModel:
     """Maximum likelihood of the cumulative logistic model, with an absolute penalty on the weights.
 
@@ -71,45 +114,46 @@ def fit_severity(texts: list[str], grades: np.ndarray, min_docs: int = MIN_DOCS,
     for text in texts:
         counters[np.unique(np.fromiter((hash(w) % COUNTERS for w in features(text)), "int64"))] += 1
     index: dict[str, int] = {}
-    rows, columns = [], []
-    for i, text in enumerate(texts):
+    columns, lengths = array("i"), []
+    for text in texts:
         found = [index.setdefault(w, len(index)) for w in sorted(features(text)) if counters[hash(w) % COUNTERS] >= min_docs]
-        rows.append(np.full(len(found), i, "int32"))
-        columns.append(np.array(found, "int32"))
-    row, column = np.concatenate(rows), np.concatenate(columns)
+        columns.extend(found)
+        lengths.append(len(found))
+    del counters
     if not index:
         return SeverityModel()
-    docs = np.bincount(column, minlength=len(index))
+    entries = Entries(np.frombuffer(columns, "int32"), np.array(lengths))
+    docs = sum(np.bincount(c, minlength=len(index)) for _, _, _, c in entries.blocks())
     kept = (docs >= min_docs) & (docs <= max(min_docs, max_share * len(texts)))
-    use = kept[column]
-    number = np.cumsum(kept) - 1
+    entries = entries.only(kept)
+    del columns
     weight = np.where((grades == 0) | (grades == top), 1.0, INNER_WEIGHT)
-    row, column, n_words, n = row[use], number[column[use]], int(kept.sum()), len(texts)
+    n_words, n = int(kept.sum()), len(texts)
     share = (np.array([(grades <= k).sum() for k in range(top)]) + 0.5) / (n + 1)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(top))
     first, gaps, w = start[0], np.log(np.maximum(np.diff(start), 1e-3)), np.zeros(n_words)
     for refit in (False, True):  # once more over the words found, almost without the penalty that shrinks them
         chosen = w != 0 if refit else np.ones(n_words, bool)
-        use = chosen[column]
-        r, c = row[use], column[use]
-        ahead, momentum, rate, force = w, 1.0, 4.0 / max(1.0, len(r) / n), penalty * (REFIT if refit else 1.0)
+        if refit:
+            entries, w = entries.only(chosen), w[chosen]
+        ahead, momentum, rate, force = w, 1.0, 4.0 / max(1.0, len(entries.column) / n), penalty * (REFIT if refit else 1.0)
         for _ in range(steps):
             edges = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]), [np.inf]])
-            score = np.bincount(r, weights=ahead[c], minlength=n)
+            score = entries.row_sums(ahead)
             high, low = logistic(edges[grades + 1] - score), logistic(edges[grades] - score)
             p = np.maximum(high - low, 1e-9)
             at = np.zeros(top + 2)
             np.add.at(at, grades + 1, weight * high * (1 - high) / p)
             np.add.at(at, grades, -weight * low * (1 - low) / p)
             at = at[1:-1] / n
-            gradient = np.bincount(c, weights=(weight * (high + low - 1))[r], minlength=n_words) / n
+            gradient = entries.column_sums(weight * (high + low - 1), len(w)) / n
             moved = ahead + rate * gradient
-            new = np.where(chosen, np.sign(moved) * np.maximum(np.abs(moved) - rate * force, 0), 0)
+            new = np.sign(moved) * np.maximum(np.abs(moved) - rate * force, 0)
             faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
             ahead, w, momentum = new + (momentum - 1) / faster * (new - w), new, faster
             first += 2.0 * at.sum()
             gaps = gaps + 2.0 * np.cumsum(at[::-1])[::-1][1:] * np.exp(gaps)
-    names = np.array(list(index), object)[kept]
+    names = np.array(list(index), object)[kept][chosen]
     edges = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     return SeverityModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(map(float, edges)))
 
@@ -135,7 +179,7 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = materialize(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade"), "labelled")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = sorted((r["doc_id"], r["text"], r["grade"]) for batch in batches for r in batch.to_pylist())
+        examples = sorted(row for batch in batches for row in zip(*[batch.column(name).to_pylist() for name in ("doc_id", "text", "grade")]))
         model = fit_severity([t for _, t, _ in examples], np.array([g for _, _, g in examples], "int64"), **options)
         words, values = [None] * len(model.thresholds) + list(model.weights), [*model.thresholds, *model.weights.values()]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(values, pa.float64())], ["word", "value"])

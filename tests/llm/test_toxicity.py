@@ -1,11 +1,13 @@
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from odd_rows import ODD
 
-from docspark.llm.toxicity import INNER_WEIGHT, REFIT, SeverityModel, fit_from_labels, fit_severity, graded_labels, label_sample, with_severity
+from docspark.llm import toxicity
+from docspark.llm.toxicity import INNER_WEIGHT, REFIT, Entries, SeverityModel, fit_from_labels, fit_severity, graded_labels, label_sample, with_severity
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -117,3 +119,27 @@ def test_the_fit_is_a_maximum_of_the_plain_likelihood():
     for k in range(3):
         for step in (-1e-2, 1e-2):
             assert value(model.weights, tuple(t + step * (i == k) for i, t in enumerate(model.thresholds))) < best + 1e-6
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_sums_by_blocks_are_those_of_all_entries(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    lengths = np.array([0, 0, 5, 20, 0, 1, 3, 0])
+    column = rng.integers(0, 9, lengths.sum()).astype("int32")
+    row, kept = np.repeat(np.arange(8), lengths), np.array([1, 0, 1, 1, 0, 1, 1, 1, 0], bool)
+    for entries, r, c, n in ((Entries(column, lengths), row, column, 9), (Entries(column, lengths).only(kept), row[kept[column]], (np.cumsum(kept) - 1)[column[kept[column]]], 6)):
+        values, of_texts = rng.normal(size=n), rng.normal(size=8)
+        assert entries.column.dtype == "int32" and entries.column.tolist() == c.tolist()
+        assert entries.row_sums(values).tolist() == np.bincount(r, weights=values[c], minlength=8).tolist()
+        assert entries.column_sums(of_texts, n).tolist() == np.bincount(c, weights=of_texts[r], minlength=n).tolist()
+
+
+def test_a_fit_holds_few_bytes_an_entry():
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxy" for b in "abcdefghijklmnopqrst"]
+    texts, grades = [" ".join(words)] * 4000, np.arange(4000) % 3
+    tracemalloc.start()
+    fit_severity(texts, grades, max_share=1.0, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(words) * len(texts)
