@@ -95,7 +95,7 @@ class Encoder:
 
         for i in [i for i, ids in enumerate(out) if ids is None]:
             chunk = chunks[i]
-            if (sign := signs.get(chunk[-1:])) and (ids := known.get(chunk[:-1])) and ascii_letter(chunk[-2]):
+            if (sign := signs.get(chunk[-1:])) and (ids := known.get(chunk[:-1])) and ascii_letter(chunk[-2:-1]):
                 out[i] = ids + sign
             elif parts := simple(chunk):
                 word, sign = parts.groups()

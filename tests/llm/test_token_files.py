@@ -38,6 +38,12 @@ def test_chunks_cut_into_pieces_equal_the_library(tokenizer):
     assert encoder.encode([]) == [] and encoder.encode(["", "a  ", " "]) == library(tokenizer, ["", "a  ", " "])
 
 
+def test_a_sign_alone_after_an_empty_chunk(tokenizer):
+    encoder = Encoder(tokenizer_path(), "<u2")
+    for texts in (["a  b"], ["a , b"], ["a \nb"], ["é , é, é"], ["12, 12"]):
+        assert encoder.encode(texts) == library(tokenizer, texts)
+
+
 def test_only_odd_chunks_go_through_the_splitter(monkeypatch):
     encoder = Encoder(tokenizer_path(), "<u2")
     sent = []
