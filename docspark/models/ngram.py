@@ -22,6 +22,8 @@ from docspark.session import materialize
 
 BACKOFF = 0.4
 BACKOFF_LOG = math.log(BACKOFF)
+#: Part of a chunk's tokens that is scored together: nearly every pair is a term of its own, with its counts.
+SHARE = 8
 
 
 class NgramModel:
@@ -61,7 +63,7 @@ class NgramModel:
 
         rows = df.select(*keys, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
         table = self.counts.withColumnRenamed("gram", "term")
-        ranked = meet_terms(rows, "_words", table, best, "_rank", "int", grams_in)
+        ranked = meet_terms(rows, "_words", table, best, "_rank", "int", grams_in, SHARE)
         return ranked.select(*keys, F.get(label_array(self.labels), F.col("_rank")).alias(output))
 
     def save(self, path: str) -> None:

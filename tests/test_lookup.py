@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from docspark.models.ngram import fit_ngrams
 from docspark.operators import lookup
 from docspark.operators.lookup import join_terms, lookup_terms
 from docspark.plans.sequence import sequence_rows, word_ids, word_vocabulary
+from docspark.registry import queries
 from docspark.session import materialize
 
 
@@ -79,3 +82,30 @@ def test_chunks_move_packed(spark, monkeypatch):
     found = plan(lookup_terms(df, ["i"], "tokens", table, "tokens", missing=0))
     moved = [line for line in found.splitlines() if "Exchange hashpartitioning(" in line and "Exchange hashpartitioning(term" not in line]
     assert moved and "Generate explode(terms" in found and "tokens" not in "".join(moved)
+
+
+def test_chunks_come_back_in_small_batches():
+    rows = pa.table({"i": list(range(9))})
+    lengths = np.array([3, 0, 4, 20, 1, 1, 1, 9, 2])
+    found = lookup.in_batches(rows, lengths, 8)
+    assert [b.column(0).to_pylist() for b in found.to_batches()] == [[0, 1, 2], [3], [4, 5, 6], [7], [8]]
+    assert lookup.in_batches(rows.slice(0, 0), lengths[:0], 8).equals(rows.slice(0, 0))
+
+
+def test_a_task_reads_few_chunks_and_pairs_fewer_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "CHUNK_TOKENS", 80)
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 9} c d e{i} f g h", "xy"[i % 2]) for i in range(120)], "doc_id long, text string, lang string").coalesce(1)
+    lists = docs.select("doc_id", F.split("text", " ").alias("tokens"))
+    assert lookup.in_chunks(lists, "tokens").count() == 12 and lookup.in_chunks(lists, "tokens", None, 8).count() == 60
+    found = fit_ngrams(docs, "text", "lang").predict(docs, ["doc_id"], "text")
+    moved = [line for line in plan(found).splitlines() if "hashpartitioning(_chunk#" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line and ", 30)" in line for line in moved)  # 60 chunks, 2 in a task
+    assert found.count() == 120
+
+
+def test_lemmas_travel_without_the_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "thes onen x"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.lemma_lookup(spark, str(tmp_path))
+    assert {r.doc_id: r.lemmas for r in found.collect()} == {1: "the on x", 2: ""}
+    back = [line for line in plan(found).splitlines() if "FlatMapCoGroupsInArrow" in line]
+    assert back and all("lemmas" not in line for line in back)

@@ -26,3 +26,23 @@ def test_files_of_a_run_can_be_dropped(spark):
         assert df.count() == 5 and len(os.listdir(folder.removeprefix("file:"))) == 1
     assert not os.path.exists(folder.removeprefix("file:"))
     assert materialize(spark.range(5), "some").count() == 5
+
+
+def test_files_are_written_from_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from docspark import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    monkeypatch.setattr(session, "BATCH_BYTES", 1 << 16)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "array_repeat('abcdefgh', 50) AS t").mapInArrow(sizes, "n long")
+    old = spark.conf.get(session.ARROW_BYTES)
+    for said, most in ((old, 1 << 16), ("20k", 20 << 10)):
+        spark.conf.set(session.ARROW_BYTES, said)
+        found = [r.n for r in session.materialize(rows, "sizes").collect()]
+        assert len(found) > 20 and max(found) < 1.2 * most and spark.conf.get(session.ARROW_BYTES) == said
+    spark.conf.set(session.ARROW_BYTES, old)
+    assert [session.fewest(x, 5 << 20) for x in ("-1", "64m", "2MB", "1024b", "77", "1g")] == [5 << 20, 5 << 20, 2 << 20, 1024, 77, 5 << 20]
