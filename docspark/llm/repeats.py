@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ PHRASE = 100
 SAMPLE, CROWD = 64, 50
 #: Bytes that are parsed at a time; longer texts are parsed in overlapping pieces.
 PIECE = 1 << 18
+#: Bytes of phrases whose suffixes a task ranks together, some 60 bytes of memory for each, but for those of a single core.
+GROUP = 1 << 20
+#: Bytes of text whose phrases one shard of the dictionary gets, whatever the splits of the input.
+SHARD = 1 << 25
 
 _PHRASE = np.dtype([("core", "<u8"), ("whole", "<u8"), ("row", "<u4"), ("start", "<u4"), ("starts", "<u2"), ("many", "u1")])
 _PLACE = np.dtype([("row", "<u4"), ("start", "<u4"), ("starts", "<u2")])
@@ -227,23 +232,51 @@ def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return rank
 
 
-def compared(texts: DataFrame, shards: int, length: int) -> DataFrame:
+def core_groups(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``core`` in groups of whole cores, with up to ``most`` bytes of phrases or one core."""
+    held = []
+    waiting = 0
+
+    def cut(last: bool) -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        core = table.column("core").to_numpy()
+        first = np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core))
+        ends = np.append(0, np.cumsum(table.column("starts").to_numpy().astype("int64") + length - 1))[first]
+        at, stop = 0, len(first) - (1 if last else 2)  # the last core may go on in the next batch
+        while at < stop:
+            to = min(stop, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+            if to == stop and not last and at:
+                break
+            yield table.slice(first[at], first[to] - first[at])
+            at = to
+        held[:] = table.slice(first[at]).to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            waiting += batch.num_rows * (length - 1) + int(pa.compute.sum(batch.column("starts")).as_py())
+            if waiting >= most:
+                yield from cut(False)
+                waiting = sum(b.num_rows * (length - 1) + int(pa.compute.sum(b.column("starts")).as_py()) for b in held)
+    if held:
+        yield from cut(True)
+
+
+def compared(texts: DataFrame, shards: int, length: int, most: int = GROUP) -> DataFrame:
     """Sort the strings of phrases that share a core; runs of starts whose string stands elsewhere too.
 
-    ``texts`` has ``core, asks, part, row, start, starts, data``, the bytes of each phrase. A task holds
-    all phrases of its cores, each once, and ranks all their suffixes of ``length`` bytes.
+    ``texts`` has ``core, asks, part, row, start, starts, data``, the bytes of each phrase. A task reads
+    its phrases core by core, each once, and ranks all suffixes of ``length`` bytes of some cores together.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+        for table in core_groups(batches, length, most):
+            yield from repeated(table)
+
+    def repeated(table: pa.Table) -> Iterator[pa.RecordBatch]:
         asks, part, row, start, starts = (table.column(k).to_numpy() for k in ("asks", "part", "row", "start", "starts"))
-        lists = table.column("data").combine_chunks().cast(pa.large_binary())
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         sizes = starts + length - 1
-        data = np.frombuffer(lists.buffers()[2], "uint8")[: sizes.sum()]
+        data = np.frombuffer(b"".join(table.column("data").to_pylist()), "uint8")
         first = np.cumsum(sizes) - sizes
         rank = suffix_ranks(data, length)
         owner = np.repeat(np.arange(len(starts)), starts)
@@ -261,7 +294,7 @@ def compared(texts: DataFrame, shards: int, length: int) -> DataFrame:
             [pa.array(part[o]), pa.array(row[o]), pa.array(start[o] + inner[at]), pa.array(count.astype("int32"))], ["part", "row", "start", "starts"]
         )
 
-    return texts.repartition(shards, "core").mapInArrow(compare, "part int, row long, start long, starts int")
+    return texts.repartition(shards, "core").sortWithinPartitions("core").mapInArrow(compare, "part int, row long, start long, starts int")
 
 
 def counted(texts: DataFrame, length: int) -> DataFrame:
@@ -349,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sharded by the hash of the bytes around their trigger; a phrase that stands twice is repeated
     as a whole, which settles copies of any size without looking at their bytes again, and a phrase
     that shares its core with no other has no repeated string. 3. Only the rest, where a copy begins
-    or ends, is fetched and its suffixes are sorted, a shard at a time; equal neighbours in corpus
+    or ends, is fetched and its suffixes are sorted, some cores at a time; equal neighbours in corpus
     order are repeated. Hashes have 128 bits where they settle a phrase; suffixes are compared exactly.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) per input row. A null text is empty;
@@ -357,8 +390,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurrences of their strings, so all of their long strings go. Strings end where their text ends. Empty
     tables give no rows; other columns are not read.
     """
-    shards = max(1, docs.rdd.getNumPartitions())
     rows = keyed(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, docs.rdd.getNumPartitions(), -(-size // SHARD))
     crowded = crowded_cores(rows, length, phrase, sample, crowd)
     known = materialize(settled_phrases(dictionary_rows(rows, shards, length, phrase, crowded), shards), "phrases")
     names = known.where("kind = 2").select("part", "row", "doc_id", "text_key")

@@ -83,3 +83,41 @@ def test_suffix_ranks():
         strings = [bytes(data[i : i + length]) for i in range(len(data) - length + 1)]
         order = {s: i for i, s in enumerate(sorted(set(strings)))}
         assert repeats.suffix_ranks(data, length).tolist() == [order[s] for s in strings]
+
+
+def test_suffixes_are_ranked_some_cores_at_a_time(spark):
+    """Cores stay whole whatever the batches, no group is larger than asked but for one core, and the strings found are the same."""
+    rng = random.Random(11)
+    rows = []
+    for core in range(60):
+        base = bytes(rng.randrange(97, 100) for _ in range(40))
+        for i in range(rng.choice([1, 2, 3, 9])):
+            data = base[: 20 + rng.randrange(12)] if rng.random() < 0.7 else bytes(rng.randrange(97, 100) for _ in range(25))
+            rows.append((core - 30, rng.random() < 0.8, 0, len(rows), 5, len(data) - 19, bytearray(data)))
+    schema = "core long, asks boolean, part int, row long, start long, starts int, data binary"
+    texts = spark.createDataFrame(rows, schema)
+    whole = sorted(map(tuple, repeats.compared(texts, 1, 20, 1 << 30).collect()))
+    assert len(whole) > 60
+    assert sorted(map(tuple, repeats.compared(texts, 3, 20, 100).collect())) == whole
+    columns = ["core", "asks", "part", "row", "start", "starts"]
+    table = pa.table({k: list(v) for k, v in zip([*columns, "data"], zip(*rows))})
+    table = table.set_column(5, "starts", table.column("starts").cast(pa.int32()))
+    size = lambda t: sum(len(d) for d in t.column("data").to_pylist())
+    for chunk in (1, 7, 1000):
+        groups = list(repeats.core_groups(iter(table.to_batches(max_chunksize=chunk)), 20, 300))
+        assert pa.concat_tables(groups).to_pylist() == table.to_pylist()
+        cores = [set(g.column("core").to_pylist()) for g in groups]
+        assert sum(map(len, cores)) == 60 and len(groups) > 10
+        assert all(size(g) <= 300 or len(c) == 1 for g, c in zip(groups, cores))
+
+
+def test_shards_follow_the_bytes_and_not_the_splits(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abc", k=300)), None) for i in range(20)] + [(90, None, None)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, other string").coalesce(1)
+    seen, settle = [], repeats.settled_phrases
+    monkeypatch.setattr(repeats, "settled_phrases", lambda found, shards: seen.append(shards) or settle(found, shards))
+    one = sorted(map(tuple, remove_repeats(df).collect()))
+    monkeypatch.setattr(repeats, "SHARD", 1000)
+    assert sorted(map(tuple, remove_repeats(df).collect())) == one
+    assert seen == [1, 7] and sum(r[2] > 0 for r in one) == 6
