@@ -55,3 +55,17 @@ def test_tokens_are_counted_by_slices(monkeypatch):
     lists = [["a"] * n for n in (4, 5, 0, 2, 30, 1, 9, 1)]
     batch = pa.RecordBatch.from_pydict({"key": list(range(8)), "tokens": pa.array(lists, pa.list_(pa.string()))})
     assert [some.column(0).to_pylist() for some in bags.token_slices(batch)] == [[0, 1, 2], [3], [4], [5, 6], [7]]
+
+
+def test_documents_are_whole_across_batches(monkeypatch):
+    monkeypatch.setattr(bags, "WHOLE", 12)
+    rng = np.random.default_rng(5)
+    rows = [(key, block, rng.integers(0, 5, n).tolist()) for key in range(30) for block, n in enumerate(rng.integers(1, 7, rng.integers(1, 6)))]
+    columns = dict(zip(("key", "block", "ids"), map(list, zip(*rows))))
+    table = pa.table({"key": columns["key"], "block": pa.array(columns["block"], pa.int32()), "ids": pa.array(columns["ids"], pa.list_(pa.int32()))})
+    found = list(bags.whole_documents(iter(table.to_batches(max_chunksize=7))))
+    assert pa.Table.from_batches(found).to_pylist() == table.to_pylist() and len(found) > 5
+    keys = [set(some.column(0).to_pylist()) for some in found]
+    assert sum(map(len, keys)) == len(set().union(*keys)) == 30
+    one = max(sum(len(r[2]) for r in rows if r[0] == key) for key in range(30))
+    assert all(len(some.column(2).flatten()) < 12 + 2 * one for some in found)

@@ -163,3 +163,14 @@ def test_a_sweep_sums_every_entry_once(docs, terms, bags):
     assert all(np.allclose(r.vector, [dense[r.doc] @ np.arange(dense.shape[1]), dense[r.doc].sum()]) for r in found) and len(found) == 150
 
 
+def test_topics_of_many_blocks_equal_those_of_one(docs, terms, monkeypatch, spark):
+    whole = packed(docs, terms, "doc")
+    one = fit_topics(whole, terms, "doc", k=3, passes=3, watch=True)
+    shares = {r.doc: r.topics for r in one.shares(whole, "doc").collect()}
+    monkeypatch.setattr(bag_tables, "BLOCK", 5)
+    cut = packed(docs, terms, "doc")
+    many = fit_topics(cut, terms, "doc", k=3, passes=3, watch=True)
+    found = many.shares(cut, "doc")
+    assert many.blocks > 3 and np.allclose(many.bounds, one.bounds)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]  # nothing to add up by document
+    assert all(np.allclose(r.topics, shares[r.doc]) for r in found.collect()) and len(shares) == 150
