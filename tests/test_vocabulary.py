@@ -6,6 +6,7 @@ from docspark.operators.lookup import lookup_terms
 from docspark.operators.vocabulary import (
     bag_of_words,
     document_frequency,
+    frequent_terms,
     number_terms,
     prune_terms,
     top_terms,
@@ -74,3 +75,18 @@ def test_lookup_of_null_and_repeated_keys_and_terms(spark):
     assert sorted(((r.doc_id, r.ids) for r in found), key=str) == sorted(expected, key=str)
     with pytest.raises(ValueError):
         lookup_terms(docs, ["doc_id"], "tokens", table.unionByName(table), "ids", missing=3)
+
+
+def test_vectors_know_every_term_that_occurs_three_times(spark):
+    """Terms of few documents, and of more than half of them, which the topics' vocabulary leaves out."""
+    from docspark.registry.queries import document_vectors
+
+    rows = [(i, ["all", "even" if i % 2 else "odd"]) for i in range(40)]
+    rows += [(40, ["twice", "twice", "thrice"]), (41, ["thrice", "thrice"]), (42, ["one", "one", "one"]), (43, ["twice"[:4], "two"]), (44, []), (45, None), (46, [None, None, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    found = {r.term: r.df for r in frequent_terms(docs).collect()}
+    assert found == {"all": 40, "even": 20, "odd": 20, "thrice": 2, "one": 1}
+    assert {r.term for r in frequent_terms(docs, min_count=2).collect()} == set(found) | {"twice"}
+    vectors = {r.doc_id: r.vector for r in document_vectors(docs, docs).collect()}
+    assert sorted(i for i in vectors if i > 39 and any(vectors[i])) == [40, 41, 42] and len(vectors) == 47
+    assert all(any(vectors[i]) for i in range(40))
