@@ -109,3 +109,18 @@ def test_lemmas_travel_without_the_tokens(spark, tmp_path):
     assert {r.doc_id: r.lemmas for r in found.collect()} == {1: "the on x", 2: ""}
     back = [line for line in plan(found).splitlines() if "FlatMapCoGroupsInArrow" in line]
     assert back and all("lemmas" not in line for line in back)
+
+
+def test_a_page_of_chunks_is_small(spark):
+    rng = random.Random(3)
+    rows = [(i, [f"{rng.randrange(1 << 60):x}" for _ in range(1 << 16)]) for i in range(8)]
+    lists = spark.createDataFrame(rows, "i long, tokens array<string>").coalesce(1)
+    big = lists.select("i", F.array_join("tokens", " ").cast("binary").alias("rows"))
+    pages = []
+    for options in ({}, lookup.PAGES):
+        files = materialize(big, "pages", **options).inputFiles()
+        java, conf = spark.sparkContext._jvm.org.apache, spark.sparkContext._jsc.hadoopConfiguration()
+        index = java.parquet.hadoop.ParquetFileReader.open(java.parquet.hadoop.util.HadoopInputFile.fromPath(java.hadoop.fs.Path(files[0]), conf))
+        pages.append(index.readOffsetIndex(index.getFooter().getBlocks().get(0).getColumns().get(1)).getPageCount())
+        index.close()
+    assert pages == [1, 8]
