@@ -105,7 +105,7 @@ def crowded_cores(docs: DataFrame, length: int, phrase: int, sample: int, crowd:
 
     some = docs.where(F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(sample)) == 0)
     counts = some.mapInArrow(cores, "core long, whole long").distinct().groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= crowd)
-    counts = materialize(counts, "crowded")
+    counts = materialize(counts, "crowded", small=True)
     least = (counts.agg(F.sum("n")).first()[0] or 0) / 100_000
     return np.sort(np.array([r["core"] for r in counts.where(F.col("n") >= least).select("core").collect()], "int64").view("uint64"))
 
@@ -311,7 +311,7 @@ def counted(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h1", "h2", "asks", "part", "row", "start"])
 
     each = texts.select("asks", "part", "row", "start", "starts", "data").mapInArrow(strings, "h1 long, h2 long, asks boolean, part int, row long, start long")
-    each = materialize(each, "strings")
+    each = materialize(each, "strings", small=True)
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return each.where("asks").join(again, ["h1", "h2"], "left_semi").select("part", "row", "start", F.lit(1).alias("starts"))
 
@@ -334,7 +334,7 @@ def fetch(rows: DataFrame, places: DataFrame, names: DataFrame, length: int) ->
             yield pa.RecordBatch.from_arrays([*fields.values(), pieces], [*fields, "data"])
 
     schema = "core long, asks boolean, apart boolean, part int, row long, start long, starts int, data binary"
-    return materialize(matched(rows, wanted, KEY).select("text", "places").mapInArrow(take, schema), "pieces")
+    return materialize(matched(rows, wanted, KEY).select("text", "places").mapInArrow(take, schema), "pieces", small=True)
 
 
 def cut(rows: DataFrame, runs: DataFrame, names: DataFrame, length: int) -> DataFrame:
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, docs.rdd.getNumPartitions(), -(-size // SHARD))
     crowded = crowded_cores(rows, length, phrase, sample, crowd)
-    known = materialize(settled_phrases(dictionary_rows(rows, shards, length, phrase, crowded), shards), "phrases")
+    known = materialize(settled_phrases(dictionary_rows(rows, shards, length, phrase, crowded), shards), "phrases", small=True)
     names = known.where("kind = 2").select("part", "row", "doc_id", "text_key")
     runs = known.where("kind = 1").select("part", "row", "start", "starts")
     fetched = fetch(rows, known.where("kind = 0"), names, length)

@@ -42,7 +42,7 @@ def test_files_are_written_from_small_batches(spark, monkeypatch):
     old = spark.conf.get(session.ARROW_BYTES)
     for said, most in ((old, 1 << 16), ("20k", 20 << 10)):
         spark.conf.set(session.ARROW_BYTES, said)
-        found = [r.n for r in session.materialize(rows, "sizes").collect()]
+        found = [r.n for r in session.materialize(rows, "sizes", small=True).collect()]
         assert len(found) > 20 and max(found) < 1.2 * most and spark.conf.get(session.ARROW_BYTES) == said
     spark.conf.set(session.ARROW_BYTES, old)
     assert [session.fewest(x, 5 << 20) for x in ("-1", "64m", "2MB", "1024b", "77", "1g")] == [5 << 20, 5 << 20, 2 << 20, 1024, 77, 5 << 20]
